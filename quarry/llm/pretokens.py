@@ -117,6 +117,10 @@ class BytePairEncoder:
         self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self._clear()
 
+    def vocabulary(self) -> int:
+        """The largest id."""
+        return max(self.library.get_vocab(with_added_tokens=True).values())
+
     def _clear(self) -> None:
         self.slot_key = np.zeros(_SLOTS, np.uint64)
         self.slot_at = np.full(_SLOTS, -1, np.int32)

@@ -2,8 +2,8 @@
 
 Documents are encoded, each is closed by an end id, and the ids of all documents, in ascending doc_id
 order, are cut into sequences of equal length. A file holds record batches of equal row counts with two
-fixed-size-list columns, `ids` (uint32) and `mask` (uint8: 1 for an id, 0 for padding). A reader maps
-the file and finds any sequence or any document's ids without a copy: sequence i lies in batch
+fixed-size-list columns, `ids` (uint16 where every id of the vocabulary fits, else uint32) and `mask`
+(bits: 1 for an id, 0 for padding). A reader maps the file and finds any sequence or any document's ids without a copy: sequence i lies in batch
 i // rows at row i % rows, and a list column's values are one flat buffer.
 
 A shard is written by one task under its final name through a rename, so a repeated task leaves the
@@ -49,20 +49,20 @@ def _place(uri: str) -> tuple[fs.FileSystem, str]:
 class ShardWriter:
     """Cuts a stream of ids into equal sequences and writes them in batches of equal row counts."""
 
-    def __init__(self, target, length: int, rows: int):
-        self.length, self.rows, self.parts, self.held, self.total = length, rows, [], 0, 0
-        self.schema = pa.schema([("ids", pa.list_(pa.field("item", pa.uint32(), False), length)), ("mask", pa.list_(pa.field("item", pa.uint8(), False), length))], {b"batch_rows": str(rows).encode()})
+    def __init__(self, target, length: int, rows: int, kind: type = np.uint32):
+        self.length, self.rows, self.kind, self.parts, self.held, self.total = length, rows, kind, [], 0, 0
+        self.schema = pa.schema([("ids", pa.list_(pa.field("item", pa.from_numpy_dtype(kind), False), length)), ("mask", pa.list_(pa.field("item", pa.bool_(), False), length))], {b"batch_rows": str(rows).encode()})
         self.out = pa.ipc.new_stream(target, self.schema)
 
     def _batch(self, ids: np.ndarray) -> None:
         size = self.length * self.rows
-        block, mask = np.zeros(size, np.uint32), np.zeros(size, np.uint8)
-        block[:len(ids)], mask[:len(ids)] = ids, 1
+        block, mask = np.zeros(size, self.kind), np.arange(size) < len(ids)
+        block[:len(ids)] = ids
         cut = lambda values, kind: pa.FixedSizeListArray.from_arrays(pa.array(values), type=self.schema.field(kind).type)
         self.out.write_batch(pa.RecordBatch.from_arrays([cut(block, "ids"), cut(mask, "mask")], schema=self.schema))
 
     def add(self, ids: np.ndarray) -> None:
-        self.parts.append(ids.astype(np.uint32, copy=False))
+        self.parts.append(ids.astype(self.kind))
         self.held += len(ids)
         self.total += len(ids)
         size = self.length * self.rows
@@ -92,11 +92,11 @@ class ShardReader:
     def __len__(self) -> int:
         return len(self.batches) * self.rows
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, mask) of sequence i, as views of the file."""
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """(ids, mask) of sequence i, both views of the file; the mask is one bit an id."""
         b, r = divmod(i, self.rows)
-        cut = slice(r * self.length, (r + 1) * self.length)
-        return tuple(self.batches[b].column(k).flatten().to_numpy(zero_copy_only=True)[cut] for k in (0, 1))
+        ids, mask = (self.batches[b].column(k).flatten().slice(r * self.length, self.length) for k in (0, 1))
+        return ids.to_numpy(zero_copy_only=True), mask
 
     def ids(self, first: int, n: int) -> Iterator[np.ndarray]:
         """Views that together hold the n ids from position first on."""
@@ -135,7 +135,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, tokenizer: str | None
                     encoder = BytePairEncoder(tokenizer)
                     place.create_dir(folder, recursive=True)
                     sink = place.open_output_stream(draft)
-                    writer = ShardWriter(sink, length, rows)
+                    writer = ShardWriter(sink, length, rows, np.uint16 if max(encoder.vocabulary(), end_id) < 1 << 16 else np.uint32)
                 ids, offsets = encoder.encode(part.column(1))
                 sizes = np.diff(offsets) + 1
                 flat = np.full(len(ids) + len(sizes), end_id, np.uint32)
@@ -178,7 +178,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     open_shard, reader = shard[i], ShardReader(f"{path}/shard-{shard[i]:06d}.arrows")
                 value = 0
                 for part in reader.ids(int(first[i]), int(n[i])):
-                    value = zlib.crc32(part, value)
+                    value = zlib.crc32(part.astype("<u4"), value)
                 crc[i] = value
             start = first + np.array([before[s] for s in shard.tolist()], np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(start), pa.array(n), pa.array(crc)], names=schema.names)
