@@ -1,0 +1 @@
+"""The surface that this engine covers has no streams; events are ordinary tables here."""
