@@ -8,9 +8,12 @@ chunk with every choice of ERRORS positions left out, and all such pairs meet un
 similarity 0.8 a pair differs in 12.8 of 64 positions on average; more than the 27 that are guaranteed
 to be found comes up about once in a hundred thousand such pairs, and less the closer they are.
 
-Under a key, members are first paired with its smallest one alone. Confirmed links make components;
-then only keys whose members are still in different components pair those members across components,
-so no pair is lost and copies of one text never make all their pairs. A link needs the full sets.
+Under a key, members are first paired with its smallest one alone. Confirmed links make components.
+Where members of a key are still apart, blocks of them are compared by signature: first each key gives
+only a spanning forest of its closest pairs across components, and once these are joined, all pairs
+across components within the distances. So no pair is lost, and copies of one text never make all their
+pairs. EXTRA further 8-bit values sharpen the distance before texts are fetched; a pair at similarity 0.8
+differs in more than EXTRA_REACH of them about twice in a million times. A link needs the full sets.
 """
 from __future__ import annotations
 
@@ -31,7 +34,10 @@ CHUNKS = 14
 ERRORS = 1
 #: Largest distance at which every pair is found.
 REACH = CHUNKS * (ERRORS + 1) - 1
+EXTRA, EXTRA_REACH = 192, 64
 WORDS, SIMILARITY = 5, 80
+#: Members of a key that are compared at once, and the distance of pairs that are probably linked.
+BLOCK, CLOSE = 1024, 13
 
 
 def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,13 +69,13 @@ def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(6_364_136)
-    return rng.integers(0, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, POSITIONS, dtype=np.uint64)
+    return rng.integers(0, 1 << 63, POSITIONS + EXTRA, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, POSITIONS + EXTRA, dtype=np.uint64)
 
 
 def signatures(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """uint16 matrix, POSITIONS for each row; rows with an empty set are zero."""
+    """uint16 matrix, POSITIONS + EXTRA for each row; rows with an empty set are zero."""
     rows = len(offsets) - 1
-    out = np.zeros((rows, POSITIONS), np.uint16)
+    out = np.zeros((rows, POSITIONS + EXTRA), np.uint16)
     full = np.flatnonzero(offsets[1:] > offsets[:-1])
     if not len(full):
         return out
@@ -82,6 +88,17 @@ def signatures(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def packed(sig: np.ndarray) -> list[bytes]:
+    """Signatures as bytes: 16 bits for each of POSITIONS, 8 for each of EXTRA."""
+    index, extra = np.ascontiguousarray(sig[:, :POSITIONS]).view(np.uint8), (sig[:, POSITIONS:] & 0xFF).astype(np.uint8)
+    return [r.tobytes() for r in np.concatenate([index, extra], 1)]
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 2 * POSITIONS + EXTRA)
+    return np.ascontiguousarray(raw[:, :2 * POSITIONS]).view(np.uint16), raw[:, 2 * POSITIONS:]
+
+
 def chunk_keys(sig: np.ndarray) -> np.ndarray:
     """The index keys of each signature: a row for each signature, a column for each chunk and position left out."""
     edges = np.linspace(0, POSITIONS, CHUNKS + 1).astype(int)
@@ -113,7 +130,7 @@ def shingled(docs: DataFrame, n: int) -> DataFrame:
                 sig = signatures(grams, offsets)
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(2), pa.array(node, mask=size == 0), pa.array(size.astype(np.int64)),
-                    pa.array([s.tobytes() for s in sig], pa.binary()),
+                    pa.array(packed(sig), pa.binary()),
                 ], names=["doc_id", "tie", "node", "n_shingles", "sig"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, tie long, node long, n_shingles long, sig binary")
@@ -123,39 +140,118 @@ def _indexed(classes: DataFrame) -> DataFrame:
     """(key, node): each class under all its keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, POSITIONS)
-            keys = chunk_keys(sig)
+            keys = chunk_keys(unpacked(batch.column(1))[0])
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), POSITIONS))], names=["key", "node"])
 
     return classes.select("node", "sig").mapInArrow(run, "key long, node long")
 
 
+def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) whose signatures are within the distances."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (x, more_x), (y, more_y) = unpacked(batch.column(2)), unpacked(batch.column(3))
+            good = ((x != y).sum(1) <= REACH) & ((more_x != more_y).sum(1) <= EXTRA_REACH)
+            yield batch.select(["a", "b"]).filter(pa.array(good))
+
+    sig = lambda name: classes.select(F.col("node").alias(name), F.col("sig").alias(f"sig_{name}"))
+    return pairs.join(sig("b"), "b").join(sig("a"), "a").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+
+
+def _pairs_of_key(node, label, block, low, high, sig, extra, forest: bool) -> list[tuple[int, int]]:
+    """Pairs of one key's blocks low and high across components, within the distances; with forest, of
+    the probable ones just those that join components, the closest first."""
+    found = []
+    one, two = (np.flatnonzero(block == low), np.flatnonzero(block == high))
+    for at in range(0, len(one), 64):
+        rows = one[at:at + 64]
+        far = label[rows][:, None] != label[two][None]
+        if low == high:
+            far &= rows[:, None] < two[None]
+        i, j = np.nonzero(far)
+        if not len(i):
+            continue
+        for cut in range(0, len(i), 1 << 16):
+            a, b = rows[i[cut:cut + (1 << 16)]], two[j[cut:cut + (1 << 16)]]
+            d = (sig[a] != sig[b]).sum(1)
+            ok = np.flatnonzero(d <= (CLOSE if forest else REACH))
+            ok = ok[(extra[a[ok]] != extra[b[ok]]).sum(1) <= EXTRA_REACH]
+            found += zip(d[ok].tolist(), a[ok].tolist(), b[ok].tolist())
+    if not forest:
+        return [(int(node[a]), int(node[b])) for _, a, b in found]
+    head: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while head.setdefault(x, x) != x:
+            head[x] = head[head[x]]
+            x = head[x]
+        return x
+
+    out = []
+    for _, a, b in sorted(found):
+        x, y = root(int(label[a])), root(int(label[b]))
+        if x != y:
+            head[x] = y
+            out.append((int(node[a]), int(node[b])))
+    return out
+
+
+def _across(members: DataFrame, classes: DataFrame, forest: bool) -> DataFrame:
+    """Pairs (a, b) of members (key, node, label, n) of a key across components. A key with more than BLOCK
+    members is cut into blocks by hash, and each two blocks meet in a group of their own."""
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    rows = members.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label").join(classes.select("node", "sig"), "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def out(table: pa.Table) -> pa.RecordBatch:
+            key, low, high, block, node, label = (table.column(c).to_numpy() for c in ("key", "low", "high", "block", "node", "label"))
+            sig, extra = unpacked(table.column("sig").combine_chunks())
+            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+            pairs = []
+            for a, b in zip(new, np.append(new[1:], len(key))):
+                pairs += _pairs_of_key(node[a:b], label[a:b], block[a:b], low[a], high[a], sig[a:b], extra[a:b], forest)
+            pairs = sorted({(min(p), max(p)) for p in pairs})
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if held.num_rows >= 4 * BLOCK:
+                last = [held.column(c)[-1].as_py() for c in ("key", "low", "high")]
+                same = np.logical_and.reduce([held.column(c).to_numpy() == v for c, v in zip(("key", "low", "high"), last)])
+                cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+                if cut:
+                    yield out(held.slice(0, cut))
+                    held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield out(held)
+
+    order = ["key", "low", "high"]
+    return rows.select(*order, "block", "node", "label", "sig").repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(run, "a long, b long").distinct()
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) within REACH whose full sets have percent of their union in common."""
-    one = texts.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"), F.col("text").alias("text_b"))
+    """Those of pairs (a, b) whose full sets have percent of their union in common."""
+    one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in row_blocks(batch, "text_b", 1 << 20):
-                col = lambda name: part.column(part.schema.get_field_index(name))
-                sigs = [np.frombuffer(b"".join(col(k).to_pylist()), np.uint16).reshape(-1, POSITIONS) for k in ("sig_a", "sig_b")]
-                part = part.filter(pa.array((sigs[0] != sigs[1]).sum(1) <= REACH))
-                if not part.num_rows:
-                    continue
-                ga, oa = shingle_sets(col("text_a").dictionary_encode().dictionary, n)
-                at = col("text_a").dictionary_encode().indices.to_numpy()
-                gb, ob = shingle_sets(col("text_b"), n)
+            for part in row_blocks(batch, "text_b"):
+                first = part.column(2).dictionary_encode()  # a head's text is read once for all its pairs here
+                at = first.indices.to_numpy()
+                (ga, oa), (gb, ob) = shingle_sets(first.dictionary, n), shingle_sets(part.column(3), n)
                 linked = np.zeros(part.num_rows, bool)
                 for i in range(part.num_rows):
                     x, y = ga[oa[at[i]]:oa[at[i] + 1]], gb[ob[i]:ob[i + 1]]
                     both = np.sort(np.concatenate([x, y]), kind="stable")
                     common = int((both[1:] == both[:-1]).sum())
                     linked[i] = 100 * common >= percent * (len(x) + len(y) - common)
-                yield pa.RecordBatch.from_arrays([col("a"), col("b")], names=["a", "b"]).filter(pa.array(linked))
+                yield part.select(["a", "b"]).filter(pa.array(linked))
 
-    joined = pairs.join(two, "b").join(one, "a").select("a", "b", "sig_a", "sig_b", "text_a", "text_b")
-    return joined.mapInArrow(run, "a long, b long")
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def near_components(docs: DataFrame, n: int = WORDS, percent: int = SIMILARITY) -> DataFrame:
@@ -170,22 +266,24 @@ def near_components(docs: DataFrame, n: int = WORDS, percent: int = SIMILARITY)
     index = staged(_indexed(classes), "index")
     heads = index.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1").select("key", "head")
     shared = staged(index.join(heads, "key"), "shared-keys")
-    pairs = staged(shared.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    stars = shared.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = staged(_close(stars, classes), "pairs")
     ends = staged(shared.select("node").distinct(), "ends")
-    wanted = ends.join(classes, "node").select("node", "tie", "sig")
+    wanted = ends.join(classes, "node").select("node", "tie")
     sources = docs.select(row_key("doc_id", "text").alias("tie"), F.col("text").cast("string").alias("text"))
-    texts = staged(sources.join(wanted, "tie").dropDuplicates(["node"]).select("node", "sig", "text"), "texts")
+    texts = staged(sources.join(wanted, "tie").dropDuplicates(["node"]).select("node", "text"), "texts")
     links = staged(_confirmed(pairs, texts, n, percent), "links")
     labels = connected_components(links)
-    # Keys whose members are still apart: each of them against those of other components.
-    placed = shared.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    apart = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    left = staged(placed.join(apart, "key"), "apart")
-    x, y = left.alias("x"), left.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label"))).select(
-        F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    more = staged(_confirmed(across.join(pairs, ["a", "b"], "left_anti"), texts, n, percent), "more-links")
-    labels = connected_components(links.union(more))
+    for forest in (True, False):
+        placed = shared.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+        apart = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low < high").select("key", "n")
+        members = staged(placed.join(apart, "key"), "apart")
+        new = staged(_across(members, classes, forest).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        if not new.limit(1).count():
+            continue
+        pairs = pairs.union(new)
+        links = links.union(staged(_confirmed(new, texts, n, percent), "links"))
+        labels = connected_components(links)
     grouped = classes.select("node", "least").join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("group"))
     least = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
     of_class = staged(grouped.join(least, "group").select("node", "group", "component_id"), "components")
