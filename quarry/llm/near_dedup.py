@@ -12,8 +12,9 @@ Under a key, members are first paired with its smallest one alone. Confirmed lin
 Where members of a key are still apart, blocks of them are compared by signature: first each key gives
 only a spanning forest of its closest pairs across components, and once these are joined, all pairs
 across components within the distances. So no pair is lost, and copies of one text never make all their
-pairs. EXTRA further 8-bit values sharpen the distance before texts are fetched; a pair at similarity 0.8
-differs in more than EXTRA_REACH of them about twice in a million times. A link needs the full sets.
+pairs. EXTRA further 8-bit values sharpen the distance before texts are fetched: of all 256 values a pair at
+similarity 0.8 differs in 51 on average and in more than ALL_REACH about three times in a million. Sets
+whose sizes alone rule out the similarity are never paired. A link needs the full sets.
 """
 from __future__ import annotations
 
@@ -34,10 +35,12 @@ CHUNKS = 14
 ERRORS = 1
 #: Largest distance at which every pair is found.
 REACH = CHUNKS * (ERRORS + 1) - 1
-EXTRA, EXTRA_REACH = 192, 64
+EXTRA, ALL_REACH = 192, 81
 WORDS, SIMILARITY = 5, 80
 #: Members of a key that are compared at once, and the distance of pairs that are probably linked.
 BLOCK, CLOSE = 1024, 13
+#: Rounds of spanning forests at most; a round without a new pair ends them.
+FORESTS = 3
 
 
 def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,15 +91,23 @@ def signatures(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def packed(sig: np.ndarray) -> list[bytes]:
-    """Signatures as bytes: 16 bits for each of POSITIONS, 8 for each of EXTRA."""
+def packed(sig: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Signatures as bytes: 16 bits for each of POSITIONS, 8 for each of EXTRA, then the set's size."""
     index, extra = np.ascontiguousarray(sig[:, :POSITIONS]).view(np.uint8), (sig[:, POSITIONS:] & 0xFF).astype(np.uint8)
-    return [r.tobytes() for r in np.concatenate([index, extra], 1)]
+    return [r.tobytes() for r in np.concatenate([index, extra, size.astype(np.int64)[:, None].view(np.uint8)], 1)]
 
 
-def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 2 * POSITIONS + EXTRA)
-    return np.ascontiguousarray(raw[:, :2 * POSITIONS]).view(np.uint16), raw[:, 2 * POSITIONS:]
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 2 * POSITIONS + EXTRA + 8)
+    end = 2 * POSITIONS + EXTRA
+    return np.ascontiguousarray(raw[:, :2 * POSITIONS]).view(np.uint16), raw[:, 2 * POSITIONS:end], np.ascontiguousarray(raw[:, end:]).view(np.int64)[:, 0]
+
+
+def near(a: tuple, b: tuple, percent: int) -> np.ndarray:
+    """For rows of two unpacked signatures: within both distances and of sizes that allow the similarity."""
+    d = (a[0] != b[0]).sum(1)
+    fit = 100 * np.minimum(a[2], b[2]) >= percent * np.maximum(a[2], b[2])
+    return fit & (d <= REACH) & (d + (a[1] != b[1]).sum(1) <= ALL_REACH)
 
 
 def chunk_keys(sig: np.ndarray) -> np.ndarray:
@@ -130,7 +141,7 @@ def shingled(docs: DataFrame, n: int) -> DataFrame:
                 sig = signatures(grams, offsets)
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(2), pa.array(node, mask=size == 0), pa.array(size.astype(np.int64)),
-                    pa.array(packed(sig), pa.binary()),
+                    pa.array(packed(sig, size), pa.binary()),
                 ], names=["doc_id", "tie", "node", "n_shingles", "sig"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, tie long, node long, n_shingles long, sig binary")
@@ -146,19 +157,17 @@ def _indexed(classes: DataFrame) -> DataFrame:
     return classes.select("node", "sig").mapInArrow(run, "key long, node long")
 
 
-def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (a, b) whose signatures are within the distances."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (x, more_x), (y, more_y) = unpacked(batch.column(2)), unpacked(batch.column(3))
-            good = ((x != y).sum(1) <= REACH) & ((more_x != more_y).sum(1) <= EXTRA_REACH)
-            yield batch.select(["a", "b"]).filter(pa.array(good))
+            yield batch.select(["a", "b"]).filter(pa.array(near(unpacked(batch.column(2)), unpacked(batch.column(3)), percent)))
 
     sig = lambda name: classes.select(F.col("node").alias(name), F.col("sig").alias(f"sig_{name}"))
     return pairs.join(sig("b"), "b").join(sig("a"), "a").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _pairs_of_key(node, label, block, low, high, sig, extra, forest: bool) -> list[tuple[int, int]]:
+def _pairs_of_key(node, label, block, low, high, sig, percent: int, forest: bool) -> list[tuple[int, int]]:
     """Pairs of one key's blocks low and high across components, within the distances; with forest, of
     the probable ones just those that join components, the closest first."""
     found = []
@@ -173,9 +182,9 @@ def _pairs_of_key(node, label, block, low, high, sig, extra, forest: bool) -> li
             continue
         for cut in range(0, len(i), 1 << 16):
             a, b = rows[i[cut:cut + (1 << 16)]], two[j[cut:cut + (1 << 16)]]
-            d = (sig[a] != sig[b]).sum(1)
+            d = (sig[0][a] != sig[0][b]).sum(1)
             ok = np.flatnonzero(d <= (CLOSE if forest else REACH))
-            ok = ok[(extra[a[ok]] != extra[b[ok]]).sum(1) <= EXTRA_REACH]
+            ok = ok[near(tuple(x[a[ok]] for x in sig), tuple(x[b[ok]] for x in sig), percent)]
             found += zip(d[ok].tolist(), a[ok].tolist(), b[ok].tolist())
     if not forest:
         return [(int(node[a]), int(node[b])) for _, a, b in found]
@@ -196,7 +205,7 @@ def _pairs_of_key(node, label, block, low, high, sig, extra, forest: bool) -> li
     return out
 
 
-def _across(members: DataFrame, classes: DataFrame, forest: bool) -> DataFrame:
+def _across(members: DataFrame, classes: DataFrame, percent: int, forest: bool) -> DataFrame:
     """Pairs (a, b) of members (key, node, label, n) of a key across components. A key with more than BLOCK
     members is cut into blocks by hash, and each two blocks meet in a group of their own."""
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
@@ -208,11 +217,11 @@ def _across(members: DataFrame, classes: DataFrame, forest: bool) -> DataFrame:
 
         def out(table: pa.Table) -> pa.RecordBatch:
             key, low, high, block, node, label = (table.column(c).to_numpy() for c in ("key", "low", "high", "block", "node", "label"))
-            sig, extra = unpacked(table.column("sig").combine_chunks())
+            sig = unpacked(table.column("sig").combine_chunks())
             new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
             pairs = []
             for a, b in zip(new, np.append(new[1:], len(key))):
-                pairs += _pairs_of_key(node[a:b], label[a:b], block[a:b], low[a], high[a], sig[a:b], extra[a:b], forest)
+                pairs += _pairs_of_key(node[a:b], label[a:b], block[a:b], low[a], high[a], tuple(x[a:b] for x in sig), percent, forest)
             pairs = sorted({(min(p), max(p)) for p in pairs})
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
@@ -267,23 +276,28 @@ def near_components(docs: DataFrame, n: int = WORDS, percent: int = SIMILARITY)
     heads = index.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1").select("key", "head")
     shared = staged(index.join(heads, "key"), "shared-keys")
     stars = shared.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = staged(_close(stars, classes), "pairs")
+    pairs = staged(_close(stars, classes, percent), "pairs")
     ends = staged(shared.select("node").distinct(), "ends")
     wanted = ends.join(classes, "node").select("node", "tie")
     sources = docs.select(row_key("doc_id", "text").alias("tie"), F.col("text").cast("string").alias("text"))
     texts = staged(sources.join(wanted, "tie").dropDuplicates(["node"]).select("node", "text"), "texts")
     links = staged(_confirmed(pairs, texts, n, percent), "links")
     labels = connected_components(links)
-    for forest in (True, False):
+    forest, rounds = True, 0
+    while True:
         placed = shared.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
         apart = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low < high").select("key", "n")
         members = staged(placed.join(apart, "key"), "apart")
-        new = staged(_across(members, classes, forest).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if not new.limit(1).count():
-            continue
-        pairs = pairs.union(new)
-        links = links.union(staged(_confirmed(new, texts, n, percent), "links"))
-        labels = connected_components(links)
+        new = staged(_across(members, classes, percent, forest).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        found = new.limit(1).count() > 0
+        if found:
+            pairs = pairs.union(new)
+            links = links.union(staged(_confirmed(new, texts, n, percent), "links"))
+            labels = connected_components(links)
+        if not forest:
+            break
+        rounds += 1
+        forest = found and rounds < FORESTS
     grouped = classes.select("node", "least").join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("group"))
     least = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
     of_class = staged(grouped.join(least, "group").select("node", "group", "component_id"), "components")

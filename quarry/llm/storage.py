@@ -49,8 +49,9 @@ def path_of(df: DataFrame) -> str:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan, from file sizes; used to size partitions, never results."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Catalyst's size estimate of a plan, from file sizes, 0 where it has none; sizes partitions, never results."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else 0
 
 
 def partitions_for(spark: SparkSession, size: int, each: int = 32 << 20) -> int:
