@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .storage import new_path
 
 VERSION = "WARC/1.1"
+#: Compression level of the records.
+LEVEL = 3
 #: Records without a date of their own carry this one.
 NO_DATE = "1970-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space for URLs of RFC 9562
@@ -43,22 +45,26 @@ def record_id(name: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, name)}>"
 
 
-def plain_text(page: str) -> str:
-    """What a page shows as text: markup, scripts, styles and comments go, blocks end lines, entities are read."""
-    page = _UNSEEN.sub(" ", page)
-    page = _TAG.sub("", _BREAK.sub("\n", page))
-    lines = (re.sub(r"[ \t\r\f\v ]+", " ", line).strip() for line in html.unescape(page).split("\n"))
-    return "\n".join(line for line in lines if line)
+def shown(page: str) -> str:
+    """A page without comments, scripts, styles and the like."""
+    return _UNSEEN.sub(" ", page)
 
 
-def links(page: str) -> list[str]:
-    return [html.unescape(a or b or c) for a, b, c in _LINK.findall(_UNSEEN.sub(" ", page))]
+def plain_text(page: str, seen: str | None = None) -> str:
+    """What a page shows as text: markup goes, blocks end lines, entities are read, white space collapses."""
+    text = html.unescape(_TAG.sub("", _BREAK.sub("\n", shown(page) if seen is None else seen)))
+    return "\n".join(line for line in (" ".join(x.split()) for x in text.split("\n")) if line)
+
+
+def links(seen: str) -> list[str]:
+    """Targets of the anchors of a page without its unseen parts."""
+    return [html.unescape(a or b or c) for a, b, c in _LINK.findall(seen)]
 
 
 def encode_record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     """One record, as a gzip member of its own; header values lose line breaks."""
     lines = [VERSION, *(f"{k}: {' '.join(v.split())}" for k, v in headers), f"Content-Length: {len(block)}"]
-    return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 6, mtime=0)
+    return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", LEVEL, mtime=0)
 
 
 def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -97,12 +103,13 @@ def derive(headers: dict[str, str], block: bytes) -> list[tuple[list[tuple[str,
     status, *fields = head.decode("utf-8", "replace").split("\r\n")
     page = body.decode("utf-8", "replace")
     source = headers["WARC-Record-ID"]
-    text = plain_text(page).encode()
+    seen = shown(page)
+    text = plain_text(page, seen).encode()
     shared = [("WARC-Refers-To", source), ("WARC-Refers-To-Target-URI", headers.get("WARC-Target-URI", "")), ("WARC-Refers-To-Date", headers.get("WARC-Date", NO_DATE)),
               ("WARC-Target-URI", headers.get("WARC-Target-URI", "")), ("WARC-Date", headers.get("WARC-Date", NO_DATE)), ("WARC-Source-Payload-Digest", headers.get("WARC-Payload-Digest") or digest(body))]
     conversion = record_id(f"conversion:{source}")
     title = _TITLE.search(page)
-    out = [f"http-status: {status}", *(f"http-{f}" for f in fields), f"title: {' '.join(html.unescape(title[1]).split()) if title else ''}", f"text-bytes: {len(text)}", f"conversion: {conversion}", *(f"outlink: {' '.join(u.split())}" for u in links(page))]
+    out = [f"http-status: {status}", *(f"http-{f}" for f in fields), f"title: {' '.join(html.unescape(title[1]).split()) if title else ''}", f"text-bytes: {len(text)}", f"conversion: {conversion}", *(f"outlink: {' '.join(u.split())}" for u in links(seen))]
     meta = "\r\n".join(out).encode()
     made = []
     for kind, name, media, block in (("metadata", record_id(f"metadata:{source}"), "application/warc-fields", meta), ("conversion", conversion, "text/plain; charset=utf-8", text)):
