@@ -11,10 +11,11 @@ to be found comes up about once in a hundred thousand such pairs, and less the c
 Under a key, members are first paired with its smallest one alone. Confirmed links make components.
 Where members of a key are still apart, blocks of them are compared by signature: first each key gives
 only a spanning forest of its closest pairs across components, and once these are joined, all pairs
-across components within the distances. So no pair is lost, and copies of one text never make all their
-pairs. EXTRA further 8-bit values sharpen the distance before texts are fetched: of all 256 values a pair at
-similarity 0.8 differs in 51 on average and in more than ALL_REACH about three times in a million. Sets
-whose sizes alone rule out the similarity are never paired. A link needs the full sets.
+across components within the distance. So no pair is lost, and copies of one text never make all their
+pairs. Before texts are fetched, a set's odd sketch rules pairs out: it has BITS bits, and each shingle flips
+one, so two sketches differ in no more bits than the sets have shingles that aren't common. A pair whose
+sketches differ in more than the similarity allows sets of their sizes is no link, without any error; sketches
+of sets of some thousand shingles fill up and rule out less. A link needs the full sets.
 """
 from __future__ import annotations
 
@@ -35,7 +36,8 @@ CHUNKS = 14
 ERRORS = 1
 #: Largest distance at which every pair is found.
 REACH = CHUNKS * (ERRORS + 1) - 1
-EXTRA, ALL_REACH = 192, 81
+#: Size of the odd sketch.
+BITS = 2048
 WORDS, SIMILARITY = 5, 80
 #: Members of a key that are compared at once, and the distance of pairs that are probably linked.
 BLOCK, CLOSE = 1024, 13
@@ -72,13 +74,13 @@ def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(6_364_136)
-    return rng.integers(0, 1 << 63, POSITIONS + EXTRA, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, POSITIONS + EXTRA, dtype=np.uint64)
+    return rng.integers(0, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, POSITIONS, dtype=np.uint64)
 
 
 def signatures(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """uint16 matrix, POSITIONS + EXTRA for each row; rows with an empty set are zero."""
+    """uint16 matrix, POSITIONS for each row; rows with an empty set are zero."""
     rows = len(offsets) - 1
-    out = np.zeros((rows, POSITIONS + EXTRA), np.uint16)
+    out = np.zeros((rows, POSITIONS), np.uint16)
     full = np.flatnonzero(offsets[1:] > offsets[:-1])
     if not len(full):
         return out
@@ -91,23 +93,31 @@ def signatures(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def packed(sig: np.ndarray, size: np.ndarray) -> list[bytes]:
-    """Signatures as bytes: 16 bits for each of POSITIONS, 8 for each of EXTRA, then the set's size."""
-    index, extra = np.ascontiguousarray(sig[:, :POSITIONS]).view(np.uint8), (sig[:, POSITIONS:] & 0xFF).astype(np.uint8)
-    return [r.tobytes() for r in np.concatenate([index, extra, size.astype(np.int64)[:, None].view(np.uint8)], 1)]
+def sketches(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Odd sketches, BITS / 64 words for each row: a bit is set if an odd number of shingles fall on it."""
+    rows, each = len(offsets) - 1, BITS // 64
+    out = np.zeros(rows * each, np.uint64)
+    at = np.repeat(np.arange(rows) * each, np.diff(offsets)) + (grams >> np.uint64(32)).astype(np.int64) % each
+    np.bitwise_xor.at(out, at, np.uint64(1) << (grams >> np.uint64(58)))
+    return out.reshape(rows, each)
+
+
+def packed(sig: np.ndarray, sketch: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Signatures as bytes: 16 bits for each of POSITIONS, the odd sketch, then the set's size."""
+    return [r.tobytes() for r in np.concatenate([np.ascontiguousarray(x).view(np.uint8) for x in (sig, sketch, size.astype(np.int64)[:, None])], 1)]
 
 
 def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 2 * POSITIONS + EXTRA + 8)
-    end = 2 * POSITIONS + EXTRA
-    return np.ascontiguousarray(raw[:, :2 * POSITIONS]).view(np.uint16), raw[:, 2 * POSITIONS:end], np.ascontiguousarray(raw[:, end:]).view(np.int64)[:, 0]
+    end = 2 * POSITIONS + BITS // 8
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), end + 8)
+    return np.ascontiguousarray(raw[:, :2 * POSITIONS]).view(np.uint16), np.ascontiguousarray(raw[:, 2 * POSITIONS:end]).view(np.uint64), np.ascontiguousarray(raw[:, end:]).view(np.int64)[:, 0]
 
 
 def near(a: tuple, b: tuple, percent: int) -> np.ndarray:
-    """For rows of two unpacked signatures: within both distances and of sizes that allow the similarity."""
-    d = (a[0] != b[0]).sum(1)
-    fit = 100 * np.minimum(a[2], b[2]) >= percent * np.maximum(a[2], b[2])
-    return fit & (d <= REACH) & (d + (a[1] != b[1]).sum(1) <= ALL_REACH)
+    """For rows of two unpacked signatures: within the distance, with sketches that differ in no more bits
+    than the similarity allows sets of these sizes to differ in."""
+    apart = np.maximum(np.bitwise_count(a[1] ^ b[1]).sum(1, dtype=np.int64), np.abs(a[2] - b[2]))
+    return ((100 + percent) * apart <= (100 - percent) * (a[2] + b[2])) & ((a[0] != b[0]).sum(1) <= REACH)
 
 
 def chunk_keys(sig: np.ndarray) -> np.ndarray:
@@ -141,7 +151,7 @@ def shingled(docs: DataFrame, n: int) -> DataFrame:
                 sig = signatures(grams, offsets)
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(2), pa.array(node, mask=size == 0), pa.array(size.astype(np.int64)),
-                    pa.array(packed(sig, size), pa.binary()),
+                    pa.array(packed(sig, sketches(grams, offsets), size), pa.binary()),
                 ], names=["doc_id", "tie", "node", "n_shingles", "sig"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, tie long, node long, n_shingles long, sig binary")
@@ -158,7 +168,7 @@ def _indexed(classes: DataFrame) -> DataFrame:
 
 
 def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose signatures are within the distances."""
+    """Those of pairs (a, b) whose signatures don't rule a link out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.select(["a", "b"]).filter(pa.array(near(unpacked(batch.column(2)), unpacked(batch.column(3)), percent)))
@@ -168,7 +178,7 @@ def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _pairs_of_key(node, label, block, low, high, sig, percent: int, forest: bool) -> list[tuple[int, int]]:
-    """Pairs of one key's blocks low and high across components, within the distances; with forest, of
+    """Pairs of one key's blocks low and high across components that signatures don't rule out; with forest, of
     the probable ones just those that join components, the closest first."""
     found = []
     one, two = (np.flatnonzero(block == low), np.flatnonzero(block == high))
