@@ -6,8 +6,9 @@ again as the next stage's docs. All but the last return the columns that they ar
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm.decontaminate import contaminated, find_overlaps
+from quarry.llm.decontaminate import SPAN, contaminated, find_overlaps
 from quarry.llm.mixing import mix
 from quarry.llm.near_dedup import near_dedup
 from quarry.llm.quality import SAMPLE, fit_quality, score_quality
@@ -17,6 +18,8 @@ from quarry.llm.token_files import read_tokens, write_tokens
 
 #: Documents that score less go.
 LEAST_QUALITY = 0.3
+#: Documents with windows of so many benchmark items go: a passage of a single item is contamination.
+LEAST_ITEMS = 1
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +35,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which windows of fewer than two benchmark items occur."""
-    return find_overlaps(docs, read(spark, sf_dir, "benchmark")).filter(~contaminated()).select(*docs.columns)
+    """Documents without a benchmark passage. Those in which windows of an item occur go, if the words hit
+    fill a whole window: a name or phrase that makes up a short item removes nothing by itself."""
+    found = find_overlaps(docs, read(spark, sf_dir, "benchmark"))
+    return found.filter(~(contaminated(LEAST_ITEMS) & (F.col("n_hit") >= SPAN))).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
