@@ -202,7 +202,10 @@ class Session:
                     continue
                 raise CatalogError(f"{kind.lower()} {name} does not exist")
             for s in spaces:
-                self.spark.sql(f"DROP SCHEMA IF EXISTS `{name if kind == 'DATABASE' else self.database}__{s}` CASCADE")
+                space = f"{name if kind == 'DATABASE' else self.database}__{s}"
+                if self.spark.catalog.currentDatabase().lower() == space.lower():
+                    self.spark.catalog.setCurrentDatabase("default")  # no statement resolves in a dropped schema
+                self.spark.sql(f"DROP SCHEMA IF EXISTS `{space}` CASCADE")
             self.databases.pop(name) if kind == "DATABASE" else self.databases[self.database].pop(name)
 
     # Tables
