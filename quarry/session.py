@@ -45,15 +45,53 @@ class Meta:
     identity: list[str] = field(default_factory=list)
 
 
+#: Strings, quoted names and dollar-quoted bodies: what is inside is never rewritten.
+_QUOTED = re.compile(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|\$(\w*)\$.*?\$\1\$", re.S)
+
+
+def flattened(text: str) -> str:
+    """text without comments (block comments nest), with single blanks outside quotes."""
+    out, i = [], 0
+    while i < len(text):
+        if quoted := _QUOTED.match(text, i):
+            out.append(quoted[0])
+            i = quoted.end()
+        elif text.startswith("--", i):
+            i = end if (end := text.find("\n", i)) >= 0 else len(text)
+        elif text.startswith("/*", i):
+            depth = 0
+            for mark in re.finditer(r"/\*|\*/", text[i:]):
+                depth += 1 if mark[0] == "/*" else -1
+                if not depth:
+                    break
+            if depth:
+                raise ParseError("a comment doesn't end")
+            i += mark.end()
+            out.append(" ")
+        else:
+            out.append(" " if text[i].isspace() else text[i])
+            i += 1
+        if len(out) > 1 and out[-1] == " " and out[-2] == " ":
+            out.pop()
+    return "".join(out).strip()
+
+
+def unquoted_sub(pattern: str, value: str, text: str) -> str:
+    """re.sub on what stands outside quotes."""
+    out, at = [], 0
+    for quoted in _QUOTED.finditer(text):
+        out += [re.sub(pattern, lambda m: value, text[at:quoted.start()]), quoted[0]]
+        at = quoted.end()
+    return "".join(out) + re.sub(pattern, lambda m: value, text[at:])
+
+
 def split(text: str, at: str = ",") -> list[str]:
     """Parts of text between top-level separators; quotes and brackets protect."""
     out, depth, start, i = [], 0, 0, 0
     while i < len(text):
         c = text[i]
-        if c in "'\"`":
-            i += 1
-            while i < len(text) and text[i] != c:
-                i += 1
+        if c in "'\"`$" and (quoted := _QUOTED.match(text, i)):
+            i = quoted.end() - 1
         elif c in "([":
             depth += 1
         elif c in ")]":
@@ -69,17 +107,23 @@ def split(text: str, at: str = ",") -> list[str]:
 
 def cut(text: str, word: str) -> tuple[str, str | None]:
     """Text before and after the first top-level keyword."""
+    if leading := re.match(rf"\s*{word}\b", text, re.I):
+        return "", text[leading.end():].strip()
     parts = split(text, word.upper())
     return (parts[0], f" {word} ".join(parts[1:])) if len(parts) > 1 else (text, None)
 
 
 def inner(text: str) -> tuple[str, str]:
     """Content of the leading bracket and what follows it."""
-    text, depth = text.strip(), 0
-    for i, c in enumerate(text):
-        depth += (c == "(") - (c == ")")
+    text, depth, i = text.strip(), 0, 0
+    while i < len(text):
+        if quoted := _QUOTED.match(text, i):
+            i = quoted.end()
+            continue
+        depth += (text[i] == "(") - (text[i] == ")")
         if not depth:
             return text[1:i], text[i + 1:].strip()
+        i += 1
     raise ParseError(f"unbalanced: {text[:40]}")
 
 
@@ -130,18 +174,16 @@ class Session:
 
     def sql(self, text: str) -> DataFrame | None:
         """Run one statement; queries and RETURNING give a DataFrame, others None."""
-        text = re.sub(r"--[^\n]*", " ", text)
-        text = re.sub(r"/\*.*?\*/", " ", text, flags=re.S).strip().rstrip(";").strip()
-        flat = re.sub(r"\s+", " ", text)
+        flat = flattened(text).rstrip(";").strip()
         for pattern, run in self._STATEMENTS:
             if m := re.match(pattern, flat, re.I):
                 return run(self, m, flat[m.end():].strip())
-        if re.match(r"(SELECT|WITH|VALUES|\(|EXPLAIN|DESCRIBE|SHOW|ANALYZE)\b|\(", flat, re.I):
-            return self.query(text)
+        if re.match(r"(SELECT|WITH|VALUES|EXPLAIN|DESCRIBE|SHOW|ANALYZE)\b|\(", flat, re.I):
+            return self.query(flat)
         raise ParseError(f"unsupported statement: {flat[:60]}")
 
     def script(self, text: str) -> list[DataFrame | None]:
-        return [self.sql(s) for s in split(text, ";")]
+        return [self.sql(s) for s in split(flattened(text), ";")]
 
     def query(self, text: str) -> DataFrame:
         """A query in the engine's dialect."""
@@ -158,7 +200,7 @@ class Session:
             ranked = f"SELECT {columns}, row_number() OVER (PARTITION BY {keys} ORDER BY {order or keys}) AS __rn FROM {source}"
             text = f"SELECT * EXCEPT (__rn) FROM ({ranked}) WHERE __rn = 1" + (f" LIMIT {limit}" if limit else "")
         for schema in self.databases.get(self.database, {}):
-            text = re.sub(rf"(?<![\w.`]){re.escape(schema)}\.(?=[A-Za-z_\"`])", f"`{self._space(schema)}`.", text)
+            text = unquoted_sub(rf"(?<![\w.`]){re.escape(schema)}\.(?=[A-Za-z_]|$)", f"`{self._space(schema)}`.", text)
         return text
 
     # Databases and schemas
@@ -467,11 +509,15 @@ class Session:
         return out
 
     def _returned(self, rows: DataFrame, returning: str | None) -> DataFrame | None:
-        """The rows that RETURNING gives, fixed before the table moves on."""
-        if returning is None:
-            return None
-        out = rows.selectExpr(*split(returning))
-        return self.spark.createDataFrame(out.collect(), out.schema)
+        """The rows that RETURNING gives, written before the table moves on: they may be as many as the table's."""
+        return None if returning is None else self._kept(rows.selectExpr(*split(returning)), "returned")
+
+    def _kept(self, rows: DataFrame, label: str) -> DataFrame:
+        """rows, written beside the tables of `public` and read back, so that later reads see the same."""
+        root = self.spark.sql(f"DESCRIBE SCHEMA `{self._space()}`").filter("info_name = 'Location'").first()["info_value"]
+        path = f"{root}/{label}-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
 
     def _value(self, text: str, column: str, kind: str, meta: Meta) -> str:
         if text.upper() == "DEFAULT":
@@ -493,15 +539,23 @@ class Session:
         name, meta = m[1], self._meta(m[1])
         rest, returning = cut(rest, "RETURNING")
         rest, where = cut(rest, "WHERE")
-        if cut(rest, "FROM")[1]:
-            raise ParseError("UPDATE ... FROM: use INSERT ... ON CONFLICT DO UPDATE")
+        rest, source = cut(rest, "FROM")
         sets = {bare(k): v.strip() for k, v in (x.split("=", 1) for x in split(rest))}
         if bad := [c for c in sets if c not in meta.columns]:
             raise BindError(f"column {bad[0]} does not exist")
-        df = self.table(name)
-        hit = F.coalesce(F.expr(where), F.lit(False)) if where else F.lit(True)
-        new = df.select(*[(F.when(hit, F.expr(sets[c])).otherwise(F.col(c)) if c in sets else F.col(c)).cast(k).alias(c) for c, k in zip(meta.columns, meta.types)], hit.alias("__hit"))
-        self._validate(df.limit(0), new.drop("__hit"), meta, name)
+        sets = {c: meta.defaults.get(c, "NULL") if e.upper() == "DEFAULT" else e for c, e in sets.items()}
+        sets = {c: self._sequenced(e) for c, e in sets.items()}
+        kinds = dict(zip(meta.columns, meta.types))
+        if source or self._nested(where, *sets.values()):
+            rows, found = self._matches(m, source, where, {c: f"CAST({e} AS {kinds[c]})" for c, e in sets.items()})
+            df, value = rows.join(found, "__row", "left"), {c: F.col(f"__new.{c}") for c in sets}
+            hit = F.col("__new").isNotNull()
+        else:
+            df, value = self.table(name).alias(bare(m[2] or name.split(".")[-1])), {c: F.expr(e) for c, e in sets.items()}
+            hit = F.coalesce(F.expr(where), F.lit(False)) if where else F.lit(True)
+        new = df.select(*[(F.when(hit, value[c]).otherwise(F.col(c)) if c in sets else F.col(c)).cast(k).alias(c) for c, k in kinds.items()], hit.alias("__hit"))
+        new = new.withColumns({c: F.expr(e).cast(kinds[c]) for c, e in meta.generated.items()})
+        self._validate(new.drop("__hit").limit(0), new.drop("__hit"), meta, name)
         out = self._returned(new.filter("__hit").drop("__hit"), returning)
         self._save(name, new.drop("__hit"), meta)
         return out
@@ -509,13 +563,39 @@ class Session:
     def _delete(self, m, rest):
         name, meta = m[1], self._meta(m[1])
         rest, returning = cut(rest, "RETURNING")
-        where = re.match(r"WHERE\b(.+)$", rest, re.I)
-        df = self.table(name)
-        hit = F.coalesce(F.expr(where[1]), F.lit(False)) if where else F.lit(True)
-        out = self._returned(df.filter(hit), returning)
-        self._save(name, df.filter(~hit), meta)
+        rest, where = cut(rest, "WHERE")
+        source = cut(rest, "USING")[1]
+        if source or self._nested(where):
+            rows, found = self._matches(m, source, where, {})
+            gone, left = (rows.join(found, "__row", how).drop("__row") for how in ("left_semi", "left_anti"))
+        else:
+            df = self.table(name).alias(bare(m[2] or name.split(".")[-1]))
+            hit = F.coalesce(F.expr(where), F.lit(False)) if where else F.lit(True)
+            gone, left = df.filter(hit), df.filter(~hit)
+        out = self._returned(gone.select(*meta.columns), returning)
+        self._save(name, left.select(*meta.columns), meta)
         return out
 
+    @staticmethod
+    def _nested(*texts: str | None) -> bool:
+        """Whether an expression holds a subquery."""
+        return any(t and re.search(r"\(\s*(SELECT|WITH)\b", t, re.I) for t in texts)
+
+    def _matches(self, m, source: str | None, where: str | None, sets: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+        """The target's rows with a number `__row`, and for each row that joins `source` under `where` its
+        number and new values `__new`. A row that joins more than once takes the least of its new values, so
+        that reruns agree. RETURNING sees the target's columns only."""
+        numbered = self._kept(self.table(m[1]).withColumn("__row", F.monotonically_increasing_id()), "numbered")
+        view = f"__numbered_{uuid.uuid4().hex}"
+        numbered.createOrReplaceTempView(view)
+        alias = bare(m[2] or m[1].split(".")[-1])
+        values = ", ".join(f"{e} AS `{c}`" for c, e in sets.items()) or "true AS `__any`"
+        try:
+            found = self.query(f"SELECT `{alias}`.`__row` AS `__row`, struct({values}) AS `__new` FROM {view} AS `{alias}`{', ' + source if source else ''}{' WHERE ' + where if where else ''}")
+        finally:
+            self.spark.catalog.dropTempView(view)
+        return numbered, found.groupBy("__row").agg(F.min("__new").alias("__new"))
+
     # Other objects
 
     def _view(self, m, rest):
@@ -606,8 +686,8 @@ class Session:
         (r"TRUNCATE TABLE ()", _truncate),
         (rf"ALTER TABLE (?:IF EXISTS )?{_TABLE} ", _alter),
         (rf"INSERT INTO {_TABLE}\s*(?:AS {_NAME}\s*)?", _insert),
-        (rf"UPDATE {_TABLE} SET ", _update),
-        (rf"DELETE FROM {_TABLE}\s*", _delete),
+        (rf"UPDATE {_TABLE}(?: (?:AS )?((?!SET\b){_NAME}))? SET ", _update),
+        (rf"DELETE FROM {_TABLE}(?: (?:AS )?((?!(?:USING|WHERE|RETURNING)\b){_NAME}))?\s*", _delete),
         (rf"CREATE ((?:OR REPLACE )?(?:TEMP(?:ORARY)? )?)(?:MATERIALIZED )?VIEW {_TABLE}\s*(?:\(([^)]*)\))?\s*(?:WITH \([^)]*\) )?AS ", _view),
         (r"DROP VIEW (IF EXISTS )?", _drop_view),
         (rf"CREATE SEQUENCE (IF NOT EXISTS )?({_NAME})", _sequence),

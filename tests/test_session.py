@@ -64,6 +64,38 @@ def test_upsert_update_delete_returning(db):
     assert len(rows(db, "SELECT * FROM k")) == 2
 
 
+def test_quoted_text_is_kept(db):
+    db.sql("CREATE TABLE q (a INT, b TEXT)")
+    db.sql("INSERT INTO q VALUES (1, 'two  blanks -- no comment'), -- a comment; 'quoted\n (2, 'a /* b */ (public.q'), /* outer /* inner */ still */ (3, 'x, y; z')")
+    assert sorted(rows(db, "SELECT a, b FROM public.q")) == [(1, "two  blanks -- no comment"), (2, "a /* b */ (public.q"), (3, "x, y; z")]
+    assert rows(db, "SELECT a FROM q WHERE b = 'a /* b */ (public.q'") == [(2,)]
+    db.script("DELETE FROM q WHERE b = 'x, y; z'; -- done; really\nUPDATE q SET b = 'c' WHERE a = 1;")
+    assert sorted(rows(db, "SELECT a, b FROM q")) == [(1, "c"), (2, "a /* b */ (public.q")]
+    with pytest.raises(ParseError):
+        db.sql("SELECT 1 /* open")
+
+
+def test_update_from_and_delete_using(db):
+    db.sql("CREATE TABLE t (id INT PRIMARY KEY, v INT DEFAULT 7, twice INT GENERATED ALWAYS AS (v * 2) STORED)")
+    db.sql("CREATE TABLE s (id INT, v INT)")
+    db.sql("INSERT INTO t (id, v) VALUES (1, 10), (2, 20), (3, 30), (4, NULL)")
+    db.sql("INSERT INTO s VALUES (2, 5), (3, 9), (3, 1), (8, 8)")
+    got = db.sql("UPDATE t AS x SET v = x.v + s.v FROM s WHERE s.id = x.id RETURNING id, v, twice")
+    assert sorted(map(tuple, got.collect())) == [(2, 25, 50), (3, 31, 62)]  # of two matches the least new value
+    assert sorted(rows(db, "SELECT id, v FROM t")) == [(1, 10), (2, 25), (3, 31), (4, None)]
+    db.sql("UPDATE t SET v = DEFAULT WHERE id IN (SELECT id FROM s WHERE v = 5)")
+    db.sql("UPDATE t SET v = (SELECT max(v) FROM s) WHERE id = 4")
+    assert sorted(rows(db, "SELECT id, v, twice FROM t")) == [(1, 10, 20), (2, 7, 14), (3, 31, 62), (4, 9, 18)]
+    with pytest.raises(ConstraintError):
+        db.sql("UPDATE t SET id = 1 FROM s WHERE s.id = t.id")
+    gone = db.sql("DELETE FROM t USING s WHERE s.id = t.id AND s.v < 6 RETURNING id")
+    assert sorted(map(tuple, gone.collect())) == [(2,), (3,)]
+    db.sql("DELETE FROM t AS y WHERE y.id = 1 OR NOT EXISTS (SELECT 1 FROM s WHERE s.v = y.v)")
+    assert rows(db, "SELECT id FROM t") == [(4,)]
+    assert [tuple(r) for r in db.sql("DELETE FROM t RETURNING id, v").collect()] == [(4, 9)]
+    assert rows(db, "SELECT id FROM t") == []
+
+
 def test_composite_key_and_null_members(db):
     db.sql("CREATE TABLE e (a INT, b INT, UNIQUE (a, b))")
     db.sql("INSERT INTO e VALUES (1, 1), (1, 2), (NULL, 1), (NULL, 1)")
