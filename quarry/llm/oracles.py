@@ -1,10 +1,31 @@
 """DuckDB statements for the queries that SQL can express."""
 from __future__ import annotations
 
+import re
+
+from .secret_scan import BASE, RULES, Rule
 from .tables import LOWER, UPPER
 
 _LOW = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 
+
+def _pattern(rule: Rule) -> str:
+    """A rule's regex for RE2, whose (?i) also folds letters beyond ASCII and whose \\s lacks \\x0B."""
+    either = lambda m: re.sub("[a-z]", lambda c: f"[{c[0].upper()}{c[0]}]", m[1])
+    return re.sub(r"\(\?i:(\([^)]*\))\)", either, rule.regex).replace("\\s", r"\x20\x09-\x0D").replace("'", "''")
+
+
+def _matches(place: int, rule: Rule) -> str:
+    """(rid, place, kind, i, gap, m, g): a rule's matches, the text before each since the last, the counted group."""
+    p = _pattern(rule)
+    return f"""SELECT rid, {place} AS place, '{rule.kind}' AS kind, {rule.least} AS least, unnest(range(1, len(m) + 1)) AS i, unnest(gaps[:len(m)]) AS gap, unnest(m) AS m, unnest(g) AS g
+  FROM (SELECT rid, string_split_regex(t, '{p}') AS gaps, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {rule.counted}) AS g FROM d) WHERE len(m) > 0"""
+
+
+_ALL_MATCHES = "\n  UNION ALL ".join(_matches(k, r) for k, r in enumerate(RULES))
+_BASE = ", ".join(f"'{r.kind}'" for r in BASE)
+_SPAN_ORDER = "',' ORDER BY start, place, size"
+
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": f"""
 WITH t AS (SELECT doc_id, sha256({_LOW}) AS text_sha256 FROM documents)
@@ -20,6 +41,16 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b F
 c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM d JOIN c ON c.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op5_secret_scan": rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({_ALL_MATCHES}),
+p AS (SELECT rid, place, kind, length(m) AS size, length(g) >= least AS long_enough,
+  sum(length(gap)) OVER w + sum(length(m)) OVER w - length(m) AS start FROM m WINDOW w AS (PARTITION BY rid, place ORDER BY i)),
+s AS (SELECT rid, {", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in BASE)},
+  string_agg(kind || ':' || start || ':' || (start + size), {_SPAN_ORDER}) FILTER (WHERE kind IN ({_BASE})) AS base, string_agg(kind || ':' || start || ':' || (start + size), {_SPAN_ORDER}) AS spans
+  FROM p WHERE long_enough GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN s USING (rid)""",
     "op10_decontaminate": rf"""
 WITH dw AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 bw AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
