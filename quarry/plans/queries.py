@@ -132,6 +132,21 @@ def upsert(spark, d):
     return ops.upsert(df.filter("c_custkey <= 100"), rows, ["c_custkey"], {"c_acctbal": F.col("s.c_acctbal") + 1})
 
 
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_mktsegment IS DISTINCT FROM 'MACHINERY' UNION ALL SELECT c_custkey, upper(c_name), c_acctbal FROM customer WHERE c_mktsegment IN ('MACHINERY', 'BUILDING')")
+def insert_select_whole(spark, d):
+    df = table(spark, d, "customer")
+    rows = df.filter("c_mktsegment IN ('MACHINERY', 'BUILDING')").select("c_custkey", F.upper("c_name").alias("c_name"), "c_acctbal")
+    return df.filter("NOT c_mktsegment <=> 'MACHINERY'").select("c_custkey", "c_name", "c_acctbal").unionByName(rows)
+
+
+@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer")
+def upsert_whole(spark, d):
+    df = table(spark, d, "customer")
+    rows = df.filter("c_mktsegment IN ('MACHINERY', 'BUILDING')").select("c_custkey", "c_acctbal")
+    target = df.filter("NOT c_mktsegment <=> 'MACHINERY'").select("c_custkey", "c_acctbal")
+    return ops.upsert(target, rows, ["c_custkey"], {"c_acctbal": F.col("s.c_acctbal") + 1})
+
+
 @query("SELECT s_suppkey, CASE WHEN s_nationkey < 5 THEN 0.0 ELSE s_acctbal END AS s_acctbal FROM supplier")
 def update_rows(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_nationkey") < 5, 0.0).otherwise(F.col("s_acctbal")).alias("s_acctbal"))

@@ -35,3 +35,10 @@ def test_against_oracle(spark, duck, name):
     rows = Counter(tuple(plain(r[c]) for c in order) for r in got.collect())
     at = [want.columns.index(c) for c in order]
     assert rows == Counter(tuple(plain(r[i]) for i in at) for r in want.fetchall())
+
+
+@pytest.mark.parametrize("name", ["upsert_whole", "insert_select_whole"])
+def test_every_customer_takes_part(spark, duck, name):
+    ids = {r[0] for r in duck.sql("SELECT c_custkey FROM customer").fetchall()}
+    rows = [r.c_custkey for r in QUERIES[name](spark, SF).collect()]
+    assert set(rows) == ids and len(rows) == len(ids) + (name == "insert_select_whole") * duck.sql("SELECT * FROM customer WHERE c_mktsegment = 'BUILDING'").shape[0]
