@@ -21,6 +21,7 @@ SAME = {
     "filter_compare_and_or_not": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE (l_quantity >= 40 OR l_quantity < 3) AND NOT (l_returnflag = 'R') AND l_linenumber <> 2",
     "between_in_like": "SELECT p_partkey, p_name FROM part WHERE p_size BETWEEN 5 AND 15 AND p_brand IN (SELECT p_brand FROM part WHERE p_size = 7) AND p_name LIKE '%a%' AND p_type NOT LIKE 'X%'",
     "null_tests": "SELECT o_orderkey, l_linenumber IS NULL AS missing, coalesce(l_linenumber, -1) AS line FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 3 = 0 OR l_linenumber IS NULL",
+    "null_tests_whole": "SELECT o_orderkey, l_linenumber IS NULL AS missing, coalesce(l_linenumber, -1) AS line FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey",
     "case_searched": "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 50000 THEN 'mid' END AS band FROM orders",
     "case_simple": "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 0 END AS code FROM orders",
     "project_alias": "SELECT c_custkey AS id, c_name AS label FROM customer AS c",
