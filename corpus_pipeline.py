@@ -8,18 +8,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.decontaminate import SPAN, contaminated, find_overlaps
+from quarry.llm.decontaminate import contaminated, find_overlaps
 from quarry.llm.mixing import mix
 from quarry.llm.near_dedup import near_dedup
 from quarry.llm.quality import SAMPLE, fit_quality, score_quality
 from quarry.llm.storage import staged
-from quarry.llm.tables import labelled_sample, read, unique_name
+from quarry.llm.tables import labelled_sample, lowered, read, text_of, unique_name
 from quarry.llm.token_files import read_tokens, write_tokens
 
 #: Documents that score less go.
 LEAST_QUALITY = 0.3
 #: Documents with windows of so many benchmark items go: a passage of a single item is contamination.
 LEAST_ITEMS = 1
+#: Benchmark items of fewer words are names or phrases and remove nothing.
+LEAST_WORDS = 5
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +37,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage. Those in which windows of an item occur go, if the words hit
-    fill a whole window: a name or phrase that makes up a short item removes nothing by itself."""
-    found = find_overlaps(docs, read(spark, sf_dir, "benchmark"))
-    return found.filter(~(contaminated(LEAST_ITEMS) & (F.col("n_hit") >= SPAN))).select(*docs.columns)
+    """Documents without a benchmark passage. Each item decides by itself: a document goes if a window of it
+    occurs, or the whole of an item of LEAST_WORDS to 7 words; a shorter item removes nothing."""
+    words = F.regexp_count(lowered(text_of()), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
+    found = find_overlaps(docs, read(spark, sf_dir, "benchmark").filter(words >= LEAST_WORDS))
+    return found.filter(~contaminated(LEAST_ITEMS)).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

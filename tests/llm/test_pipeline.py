@@ -35,6 +35,13 @@ def test_short_items_remove_nothing(spark, tmp_path):
     assert pipeline.benchmark_decontamination(spark, none, str(tmp_path)).count() == 0
 
 
+def test_items_of_five_to_seven_words_remove_by_themselves(spark, tmp_path):
+    spark.createDataFrame([(1, "What is the capital of France?"), (2, "Name Five Big Red Dogs"), (3, "one two three four"), (4, "red green blue pink")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = ["x what is the capital of france y", "name five big red dogs", "one two three four x red green blue pink", "what is the capital of spain", "five big red dogs name"]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(r.doc_id for r in pipeline.benchmark_decontamination(spark, docs, str(tmp_path)).collect()) == [2, 3, 4]
+
+
 def test_run(spark):
     at = spark.read.parquet(f"{SF}/documents.parquet")
     columns = at.columns
