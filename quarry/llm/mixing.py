@@ -41,7 +41,9 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, table: int = TABLE
 
     Shares are proportional and rounded down; then the largest lengths that fit are taken until at
     most `table` words are missing; these are filled by a dynamic program over bounded counts, whose
-    table also reaches the shortest left length beyond the budget. Of equally near sums the lower wins.
+    table also reaches the shortest left length beyond the budget. Where only documents longer than what
+    is missing are left, too long for the table, the shortest is taken if that ends nearer. Of equally
+    near sums the lower wins.
     """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     take = np.zeros(len(lengths), np.int64)
@@ -66,8 +68,10 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, table: int = TABLE
     usable = [int(i) for i in order[::-1] if left[i] and lengths[i]]
     if not usable or rest <= 0:
         return take
-    size = rest + int(lengths[usable[0]])
-    if size > 4 * table:  # only documents far longer than what is missing are left
+    shortest = int(lengths[usable[0]])
+    size = rest + shortest
+    if size > 4 * table:  # every document left is longer than what is missing, so the shortest alone can end nearer
+        take[usable[0]] += shortest - rest < rest
         return take
     reached = np.zeros(size + 1, bool)
     reached[0] = True

@@ -65,6 +65,13 @@ def test_fit_reaches_the_budget():
         assert abs(int((take * lengths).sum()) - budget) <= max(lengths)
 
 
+def test_fit_takes_a_very_long_document_where_that_ends_nearer():
+    fit = lambda lengths, counts, budget: mixing.fit(np.array(lengths), np.array(counts), budget).tolist()
+    assert fit([150_000], [3], 270_000) == [2] and fit([300_000], [1], 225_000) == [1]
+    assert fit([300_000], [1], 150_000) == [0] and fit([300_000], [1], 140_000) == [0]
+    assert fit([200_000, 300_000], [1, 1], 180_000) == [1, 0]
+
+
 def test_mixing(spark, docs, none):
     out = mixing.mix(docs)
     assert out.columns == docs.columns
