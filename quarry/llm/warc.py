@@ -2,8 +2,9 @@
 
 For every response record the builder writes a `metadata` record (fields of the response, counts and
 outlinks) and a `conversion` record (the page's text). Both name the response in WARC-Refers-To, keep its
-target URI and date, carry the source's headers along and have digests of their own block; record ids
-are name-based UUIDs of the response's id and the record type, so a repeated task writes the same file.
+target URI, date and payload digest and have digests of their own block; all of the response's WARC headers
+stand in the metadata record's block as source-<name> fields. Record ids are name-based UUIDs of the
+response's id and the record type, so a repeated task writes the same file.
 """
 from __future__ import annotations
 
@@ -14,7 +15,7 @@ import html
 import io
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
@@ -90,15 +91,19 @@ def response_block(page: str) -> bytes:
     return b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: " + str(len(body)).encode() + b"\r\n\r\n" + body
 
 
-def response(url: str, page: str, name: str, date: str = NO_DATE) -> tuple[list[tuple[str, str]], bytes]:
-    """Headers and block of a response record for a page."""
+def response(url: str, page: str, name: str, date: str = NO_DATE, more: Iterable[tuple[str, str]] = ()) -> tuple[list[tuple[str, str]], bytes]:
+    """Headers and block of a response record for a page; headers of `more` that it has already are left as they are."""
     block = response_block(page)
-    return [("WARC-Type", "response"), ("WARC-Record-ID", record_id(f"response:{name}")), ("WARC-Date", date), ("WARC-Target-URI", url),
-            ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", digest(page.encode())), ("WARC-Block-Digest", digest(block))], block
+    headers = [("WARC-Type", "response"), ("WARC-Record-ID", record_id(f"response:{name}")), ("WARC-Date", date), ("WARC-Target-URI", url),
+               ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", digest(page.encode())), ("WARC-Block-Digest", digest(block))]
+    own = {k.lower() for k, _ in headers} | {"content-length"}
+    return headers + [(k, v) for k, v in more if k.lower() not in own], block
 
 
-def derive(headers: dict[str, str], block: bytes) -> list[tuple[list[tuple[str, str]], bytes]]:
-    """The metadata and the conversion record of a response record."""
+def derive(headers: dict[str, str] | list[tuple[str, str]], block: bytes) -> list[tuple[list[tuple[str, str]], bytes]]:
+    """The metadata and the conversion record of a response record; as pairs, its headers may repeat."""
+    every = list(headers.items()) if isinstance(headers, dict) else headers
+    headers = dict(every)
     head, _, body = block.partition(b"\r\n\r\n")
     status, *fields = head.decode("utf-8", "replace").split("\r\n")
     page = body.decode("utf-8", "replace")
@@ -109,7 +114,7 @@ def derive(headers: dict[str, str], block: bytes) -> list[tuple[list[tuple[str,
               ("WARC-Target-URI", headers.get("WARC-Target-URI", "")), ("WARC-Date", headers.get("WARC-Date", NO_DATE)), ("WARC-Source-Payload-Digest", headers.get("WARC-Payload-Digest") or digest(body))]
     conversion = record_id(f"conversion:{source}")
     title = _TITLE.search(page)
-    out = [f"http-status: {status}", *(f"http-{f}" for f in fields), f"title: {' '.join(html.unescape(title[1]).split()) if title else ''}", f"text-bytes: {len(text)}", f"conversion: {conversion}", *(f"outlink: {' '.join(u.split())}" for u in links(seen))]
+    out = [f"http-status: {status}", *(f"http-{f}" for f in fields), *(f"source-{k}: {' '.join(v.split())}" for k, v in every), f"title: {' '.join(html.unescape(title[1]).split()) if title else ''}", f"text-bytes: {len(text)}", f"conversion: {conversion}", *(f"outlink: {' '.join(u.split())}" for u in links(seen))]
     meta = "\r\n".join(out).encode()
     made = []
     for kind, name, media, block in (("metadata", record_id(f"metadata:{source}"), "application/warc-fields", meta), ("conversion", conversion, "text/plain; charset=utf-8", text)):
@@ -117,16 +122,23 @@ def derive(headers: dict[str, str], block: bytes) -> list[tuple[list[tuple[str,
     return made
 
 
+def source_headers(meta: bytes) -> str:
+    """The response's headers from the block of its metadata record, a line each."""
+    return "\n".join(x.removeprefix("source-") for x in meta.decode().split("\r\n") if x.startswith("source-"))
+
+
 def build_derivatives(pages: DataFrame, path: str | None = None) -> str:
     """Write pages (page_id, url, html) as response records and their derivatives; returns the path.
 
     One file a task: each response is followed by its two derivatives. Null url or html count as empty;
-    rows are told apart by page_id, url and html, so equal rows give equal records. Beside the files
+    a column warc_headers (map of strings), if there is one, gives more headers of a response and its
+    WARC-Date. Rows are told apart by all of these, so equal rows give equal records. Beside the files
     stands a Parquet table `records` of (file, records).
     """
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
-    rows = pages.select(F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    rows = pages.select(F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
+                        (F.col("warc_headers") if "warc_headers" in pages.columns else F.lit(None)).cast("map<string,string>").alias("more"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -136,12 +148,14 @@ def build_derivatives(pages: DataFrame, path: str | None = None) -> str:
         draft, final = f"{folder}/.{part:06d}-{uuid.uuid4().hex}", f"{folder}/part-{part:06d}.warc.gz"
         for batch in batches:
             for i in range(batch.num_rows):
-                page_id, url, page = (batch.column(k)[i].as_py() for k in range(3))
+                page_id, url, page, more = (batch.column(k)[i].as_py() for k in range(4))
+                more = sorted((k, v) for k, v in more or () if v is not None)
                 if sink is None:
                     place.create_dir(folder, recursive=True)
                     sink = place.open_output_stream(draft)
-                headers, block = response(url, page, f"{page_id}\n{url}\n{hashlib.sha256(page.encode()).hexdigest()}")
-                for h, b in [(headers, block), *derive(dict(headers), block)]:
+                name = f"{page_id}\n{url}\n{hashlib.sha256(page.encode()).hexdigest()}" + (f"\n{more}" if more else "")
+                headers, block = response(url, page, name, next((v for k, v in more if k.lower() == "warc-date"), NO_DATE), more)
+                for h, b in [(headers, block), *derive(headers, block)]:
                     sink.write(encode_record(h, b))
                     n += 1
         if sink is not None:
@@ -155,9 +169,10 @@ def build_derivatives(pages: DataFrame, path: str | None = None) -> str:
 
 def read_derivatives(spark: SparkSession, path: str) -> DataFrame:
     """One row per record of the files at path, read back: type, record_id, refers_to, target_uri, date,
-    content_type, payload_digest (of the source), block_digest, digest_ok, content_length, text_sha256."""
+    content_type, payload_digest (of the source), block_digest, digest_ok, content_length, block_sha256 and,
+    of metadata records, source_headers: the response's headers, a `name: value` line each."""
     files = spark.read.schema("file string, records long").parquet(f"{path}/records").select("file").repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    schema = "type string, record_id string, refers_to string, target_uri string, date string, content_type string, payload_digest string, block_digest string, digest_ok boolean, content_length long, block_sha256 string"
+    schema = "type string, record_id string, refers_to string, target_uri string, date string, content_type string, payload_digest string, block_digest string, digest_ok boolean, content_length long, block_sha256 string, source_headers string"
 
     def members(source) -> Iterator[tuple[dict[str, str], bytes]]:
         stream = gzip.GzipFile(fileobj=source)
@@ -180,7 +195,7 @@ def read_derivatives(spark: SparkSession, path: str) -> DataFrame:
                 with place.open_input_stream(f"{folder}/{name}", compression=None) as source:
                     for h, b in members(source):
                         rows.append([h.get("WARC-Type"), h.get("WARC-Record-ID"), h.get("WARC-Refers-To"), h.get("WARC-Target-URI"), h.get("WARC-Date"), h.get("Content-Type"),
-                                     h.get("WARC-Source-Payload-Digest") or h.get("WARC-Payload-Digest"), h.get("WARC-Block-Digest"), h.get("WARC-Block-Digest") == digest(b), len(b), hashlib.sha256(b).hexdigest()])
+                                     h.get("WARC-Source-Payload-Digest") or h.get("WARC-Payload-Digest"), h.get("WARC-Block-Digest"), h.get("WARC-Block-Digest") == digest(b), len(b), hashlib.sha256(b).hexdigest(), source_headers(b) if h.get("WARC-Type") == "metadata" else None])
                         if len(rows) == 2000:
                             yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows])
                             rows = []

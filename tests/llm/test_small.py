@@ -124,6 +124,22 @@ def test_warc_round_trip(spark):
     assert len(rows) == 9 and all(r.digest_ok for r in rows)
 
 
+def test_warc_keeps_every_source_header(spark):
+    more = {"WARC-IP-Address": "192.0.2.1", "WARC-Warcinfo-ID": "<urn:uuid:1>", "WARC-Date": "2024-05-01T00:00:00Z"}
+    pages = spark.createDataFrame([(1, "http://x/", "<p>a</p>", more), (2, "http://y/", "<p>b</p>", None)], "page_id long, url string, html string, warc_headers map<string,string>")
+    rows = read_derivatives(spark, build_derivatives(pages)).collect()
+    response_of = {r.record_id: r for r in rows if r.type == "response"}
+    for r in (r for r in rows if r.type == "metadata"):
+        source, kept = response_of[r.refers_to], dict(line.split(": ", 1) for line in r.source_headers.split("\n"))
+        assert kept["WARC-Block-Digest"] == source.block_digest and kept["Content-Type"] == source.content_type and kept["WARC-Record-ID"] == source.record_id
+        assert kept["WARC-Date"] == source.date == r.date == ("2024-05-01T00:00:00Z" if r.target_uri == "http://x/" else "1970-01-01T00:00:00Z")
+        assert (kept.get("WARC-IP-Address"), kept.get("WARC-Warcinfo-ID")) == (("192.0.2.1", "<urn:uuid:1>") if r.target_uri == "http://x/" else (None, None))
+    assert len(rows) == 6 and all(r.source_headers is None for r in rows if r.type != "metadata")
+    headers, block = response("http://x/", "", "1")
+    meta = derive([*headers, ("WARC-Concurrent-To", "<a>"), ("WARC-Concurrent-To", "<b>")], block)[0][1]
+    assert meta.count(b"source-WARC-Concurrent-To: ") == 2
+
+
 def test_tokens(spark, docs, none):
     from tokenizers import Tokenizer
 
