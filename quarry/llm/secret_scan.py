@@ -37,13 +37,15 @@ BASE = (
     Rule("hex", r"[0-9a-f]{16,}", (), 16),
 )
 #: Formats that issuers of credentials document; spans of these are added to the base ones.
+#: A URL's user may be empty and its password of any length. Neither holds white space, @ or /; a user holds no :, ?, #,
+#: quote or angle bracket, a password not both one of the last two and a colon.
 MORE = (
     Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", (("-----begin ",), ("private key-----",))),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36}", (("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),)),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", (("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-"),)),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}", (("aiza",),)),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", (("eyj",), (".eyj",))),
-    Rule("url", r"[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9._-]{1,64}:[^\s:@/]{6,128}@", (("://",),)),
+    Rule("url", r"""[a-z][a-z0-9+.-]{1,20}://[^\s:@/?#"<>]*:(?:[^\s:@/]+|[^\s@/"<>]+)@""", (("://",),)),
 )
 RULES = BASE + MORE
 

@@ -112,6 +112,14 @@ def test_secrets(spark, docs):
     assert candidates(build_index(docs), RULES).count() == 0
 
 
+def test_urls_with_any_user_and_password(spark):
+    urls = ["redis://:password@", "ftp://u:12345@", f"https://{'u' * 65}:{'p' * 129}@", "amqp://a%40b:p:w@", "pg://u:" + "x" * 50_000 + "@"]
+    plain = ["http://host:8080/a@b", '{"u":"http://x","mail":"a@b"}', "http://u:@h", "http://x y:z@h", "see http://a/b:c@d"]
+    rows = spark.createDataFrame([(i, f"é {t}host") for i, t in enumerate(urls + plain)], "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.secrets if s.kind == "url"] for r in scan(rows).collect()}
+    assert got == {i: [("url", 2, 2 + len(t))] if i < len(urls) else [] for i, t in enumerate(urls + plain)}
+
+
 def test_warc_round_trip(spark):
     page = "<html><head><title>A &amp; B</title><style>p{}</style></head><body><p>One<br>two</p><script>x()</script><a href='/u'>go</a></body></html>"
     headers, block = response("http://x/", page, "1")
