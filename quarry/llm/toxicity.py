@@ -3,7 +3,8 @@
 Terms are whole words and their first 4, 5 and 6 bytes (inflected forms share a stem), hashed. On the
 labelled sample Spark counts each term by class; the terms whose shares differ most are the machine's
 inputs. The machine adds to linear weights an inner product of factors for each pair of terms that a
-text holds, so that words which are harmless alone can count together.
+text holds. Known limit: only chosen terms take part in pairs, so a pair of words of which neither has a
+gap of its own is not learnt.
 """
 from __future__ import annotations
 
