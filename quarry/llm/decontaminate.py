@@ -1,13 +1,17 @@
 """Benchmark decontamination by winnowing.
 
-Every K-gram of words is hashed, and of each window of W K-grams the minimum stays (the rightmost of
-equal ones).  Two texts that share K + W - 1 = 8 words therefore share a kept fingerprint at the same
-words.  Fingerprints of documents are joined with those of the benchmark, and each hit is extended to
-both sides as far as the words agree; a run of 8 words or more holds occurrences of the item's windows.
-Items of fewer than 8 words are one window, shorter than the guarantee: their single gram is looked up.
-
-The benchmark's side is cut into blocks of at most BLOCK_WORDS words by hash of the item, so what a
-task holds is bounded whatever the benchmark's size; every block meets every document.
+Every K-gram of words is hashed, and of each SPAN-word window, which holds W K-grams, the minimum hash is kept
+as its fingerprint (the same one for runs of windows, so a text keeps few). Equal windows have equal
+fingerprints, so every shared span of K + W - 1 = 8 words or more shares one. Fingerprints of documents are
+joined with those of the benchmark, and in the same equi-join a hit is extended over the window's other words:
+the key is the pair (fingerprint, hash of the window's words), 128 bits together. A longer shared span is the
+union of its windows. Items of fewer than 8 words are one window, shorter than the guarantee; their whole
+sequence is its own fingerprint.
+
+Equal windows of a text are one row with all their places, so repeated words cost no more than other ones, and
+no pairs of places are ever made. What reaches every task is a bit filter of the benchmark's hashes, MOST_BITS
+at most; a benchmark that fills it costs more candidates in the join, never results. Neither items nor
+documents are collected.
 """
 from __future__ import annotations
 
@@ -15,178 +19,191 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import unique_name
+from .storage import staged
+from .tables import lowered, row_key, text_of, unique_name
 from .wordhash import ALNUM, mix, row_blocks, words_of
 
 SPAN = 8
 K = 5
 W = SPAN - K + 1
-#: Words of benchmark items that are held by a task at once (about 60 bytes each).
-BLOCK_WORDS = 1_000_000
+#: The filter's size at most, in bits (8 MiB), and its bits for each benchmark window below that.
+MOST_BITS, BITS_EACH = 1 << 26, 16
+_GRAM, _WINDOW = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Hash of the k words from each position on; positions near the end, without k words, are left out."""
-    n = len(words) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
+def gram_hashes(words: np.ndarray, at: np.ndarray, n: int, base: int) -> np.ndarray:
+    """Hash of the n words from each place on."""
+    out = np.full(len(at), n, np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(k):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + words[i:i + n]
+        for i in range(n):
+            out = out * np.uint64(base) + words[at + i]
     return mix(out)
 
 
-def winnow(hashes: np.ndarray, w: int = W) -> np.ndarray:
-    """Positions that hold the minimum of a window of w hashes, the rightmost of equal ones.
-
-    Fewer than w hashes make one window.
+def winnowed(words: np.ndarray) -> np.ndarray:
+    """For each place with SPAN words from it on: the minimum hash of its window's K-grams."""
+    if len(words) < SPAN:
+        return np.zeros(0, np.uint64)
+    grams = gram_hashes(words, np.arange(len(words) - K + 1), K, _GRAM)
+    return np.minimum.reduce([grams[i:len(grams) - W + 1 + i] for i in range(W)])
+
+
+def _starts(first: np.ndarray, n: int) -> np.ndarray:
+    """Places that have n words of their own row from them on."""
+    length = np.diff(first)
+    ok = np.zeros(int(first[-1]) + 1, np.int32)
+    rows = np.flatnonzero(length >= n)
+    ok[first[:-1][rows]] += 1
+    ok[first[1:][rows] - n + 1] -= 1
+    return np.flatnonzero(np.cumsum(ok)[:-1] > 0)
+
+
+def _windows(words: np.ndarray, first: np.ndarray, n: int, known=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, fingerprint, extension) of the n-word windows; known(hash) drops those that can't be in the benchmark."""
+    at = _starts(first, n)
+    prints = winnowed(words)[at] if n == SPAN else gram_hashes(words, at, n, _GRAM)
+    if known is not None:
+        some = known(prints)
+        at, prints = at[some], prints[some]
+    more = gram_hashes(words, at, n, _WINDOW)
+    if known is not None:
+        some = known(more)
+        at, prints, more = at[some], prints[some], more[some]
+    return at, prints, more
+
+
+def benchmark_windows(benchmark: DataFrame) -> DataFrame:
+    """(print, more, n, item): the distinct windows of each item; null ids count as '', null texts have no words."""
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), text_of().alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in row_blocks(batch, "text"):
+                _, _, _, first, words = words_of(part.column(1), ALNUM)
+                length = np.diff(first)
+                for n in range(1, SPAN + 1):
+                    whole = np.flatnonzero((length == n) if n < SPAN else (length >= SPAN))
+                    if not len(whole):
+                        continue
+                    at, prints, more = _windows(words, first, n)
+                    row = np.searchsorted(first, at, side="right") - 1
+                    own = np.isin(row, whole)
+                    every = np.unique(np.stack([row[own].astype(np.uint64), prints[own], more[own]], 1), axis=0)
+                    item = part.column(0).take(pa.array(every[:, 0].astype(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(every[:, 1].view(np.int64)), pa.array(every[:, 2].view(np.int64)), pa.array(np.full(len(every), n, np.int32)), item], names=["print", "more", "n", "item"])
+
+    return staged(rows.mapInArrow(run, "print long, more long, n int, item string").distinct(), "benchmark-windows")
+
+
+def _bit_filter(windows: DataFrame, n: int) -> np.ndarray:
+    """Bits of both hashes of all n windows, as 64-bit words; the number of words is a power of two, MOST_BITS / 64 at most."""
+    size = 1 << 10
+    while size < MOST_BITS and size < 2 * BITS_EACH * n:
+        size *= 2
+    place = F.explode(F.array("print", "more")).alias("h")
+    words = windows.select(place).select(F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(size // 64 - 1)).alias("word"), F.col("h").bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.uint64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _candidates(docs: DataFrame, windows: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """keep, key, n_words and, of each text, its windows that the filter lets through: (print, more, n, places)."""
+    spark = docs.sparkSession
+    counts = {r["n"]: r["count"] for r in windows.groupBy("n").count().collect()}  # eight rows at most
+    bits, lengths = spark.sparkContext.broadcast(_bit_filter(windows, sum(counts.values()))), sorted(counts)  # MOST_BITS at most
+    rows = docs.select(*keep, row_key(text).alias("key"), text_of(text).alias("_text"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("n_words", T.LongType()),
+                           T.StructField("found", T.ArrayType(T.StructType([T.StructField("print", T.LongType()), T.StructField("more", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("places", T.BinaryType())])))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = bits.value
+        known = lambda h: (table[((h >> np.uint64(6)) & np.uint64(len(table) - 1)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1) > 0
+        for batch in batches:
+            for part in row_blocks(batch, "_text"):
+                _, _, _, first, words = words_of(part.column(part.num_columns - 1), ALNUM)
+                at, prints, more, size = [np.concatenate(x) for x in zip(
+                    *[(*w, np.full(len(w[0]), n, np.int32)) for n in lengths for w in [_windows(words, first, n, known)]], [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32)])]
+                row = np.searchsorted(first, at, side="right") - 1
+                order = np.lexsort((at, size, more, prints, row))
+                at, prints, more, size, row = at[order], prints[order], more[order], size[order], row[order]
+                new = np.ones(len(at), bool)
+                new[1:] = (row[1:] != row[:-1]) | (prints[1:] != prints[:-1]) | (more[1:] != more[:-1]) | (size[1:] != size[:-1])
+                group = np.flatnonzero(new)
+                places = (at - first[row]).astype(np.int32)
+                edges = np.append(group, len(at)).astype(np.int32) * 4
+                struct = pa.StructArray.from_arrays([pa.array(prints[group].view(np.int64)), pa.array(more[group].view(np.int64)), pa.array(size[group]), pa.Array.from_buffers(pa.binary(), len(group), [None, pa.py_buffer(edges), pa.py_buffer(places)])], names=["print", "more", "n", "places"])
+                found = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[group], np.arange(part.num_rows + 1)).astype(np.int32)), struct)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(np.diff(first)), found], names=[f.name for f in schema.fields])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, n_hit of rows key, found (n, places): words that lie in any of a text's windows."""
+    for batch in batches:
+        n_hit = []
+        for windows in batch.column(1).to_pylist():
+            places = np.concatenate([np.frombuffer(w["places"], np.int32) for w in windows])
+            ends = np.concatenate([np.frombuffer(w["places"], np.int32) + w["n"] for w in windows])
+            edge = np.zeros(int(ends.max()) + 1, np.int64)
+            np.add.at(edge, places, 1)
+            np.add.at(edge, ends, -1)
+            n_hit.append(int((np.cumsum(edge) > 0).sum()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_hit, pa.int64())], names=["key", "n_hit"])
+
+
+def _hits(candidates: DataFrame, windows: DataFrame) -> DataFrame:
+    """key, n_hit, items of the texts that hold a window of the benchmark; equal texts are one row.
+
+    What is gathered for a key is one text's own windows and its own items.
     """
-    n = len(hashes)
-    if not n:
-        return np.zeros(0, np.int64)
-    w = min(w, n)
-    best = np.arange(n - w + 1)
-    low = hashes[:n - w + 1].copy()
-    for i in range(1, w):
-        other = hashes[i:i + n - w + 1]
-        better = other <= low
-        low[better] = other[better]
-        best[better] = np.flatnonzero(better) + i
-    return np.unique(best)
-
-
-class Benchmark:
-    """Fingerprints and words of a block of items, sorted for lookup."""
-
-    def __init__(self, items: list[tuple[str, str]]):
-        self.ids = [i for i, _ in items]
-        _, _, _, first, hashes = words_of(pa.array([t for _, t in items], pa.large_string()), ALNUM)
-        # A gap between items stops every extension.
-        self.words, self.item, self.at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
-        prints, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        self.short: dict[int, dict[int, list[int]]] = {}
-        base = 0
-        for k in range(len(items)):
-            own = hashes[first[k]:first[k + 1]]
-            if 0 < len(own) < SPAN:
-                self.short.setdefault(len(own), {}).setdefault(int(gram_hashes(own, len(own))[0]), []).append(k)
-            elif len(own):
-                grams = gram_hashes(own, K)
-                kept = winnow(grams)
-                prints.append(grams[kept])
-                places.append(kept + base)
-                self.words.append(own)
-                self.item.append(np.full(len(own), k))
-                base += len(own)
-        self.words, self.item = np.concatenate(self.words), np.concatenate(self.item)
-        prints, places = np.concatenate(prints), np.concatenate(places)
-        order = np.argsort(prints, kind="stable")
-        self.prints, self.places = prints[order], places[order]
-
-    def match(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hit flag of each word of a run of documents; (document, item) of every occurring window's item."""
-        hit = np.zeros(len(words) + 1, np.int64)
-        docs, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        # Winnowing runs over the joined words of all rows; a minimum within one row is one of its own windows.
-        grams = gram_hashes(words, K)
-        if len(grams) and len(self.prints):
-            kept = winnow(grams)
-            low = np.searchsorted(self.prints, grams[kept], side="left")
-            high = np.searchsorted(self.prints, grams[kept], side="right")
-            found = np.flatnonzero(high > low)
-            times = (high - low)[found]
-            here = np.repeat(kept[found], times)
-            there = self.places[np.repeat(low[found] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())]
-            docs_of, left, right = row[here], np.zeros(len(here), np.int64), np.zeros(len(here), np.int64)
-            for step, reach in ((-1, left), (1, right)):
-                going = np.arange(len(here))
-                far = 0 if step > 0 else 1
-                while len(going):
-                    a, b = here[going] + step * far, there[going] + step * far
-                    ok = (a >= 0) & (a < len(words)) & (b >= 0) & (b < len(self.words))
-                    going, a, b = going[ok], a[ok], b[ok]
-                    ok = (row[a] == docs_of[going]) & (self.item[b] == self.item[there[going]]) & (words[a] == self.words[b])
-                    going = going[ok]
-                    reach[going] += 1
-                    far += 1
-            whole = left + right >= SPAN
-            start = here - left
-            np.add.at(hit, start[whole], 1)
-            np.add.at(hit, (here + right)[whole], -1)
-            docs.append(docs_of[whole])
-            items.append(self.item[there[whole]])
-        for n, table in self.short.items():
-            grams = gram_hashes(words, n)
-            known = np.array(sorted(table), np.uint64)
-            if not len(grams):
-                continue
-            at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-            for p in np.flatnonzero((known[at] == grams) & (row[:len(grams)] == row[n - 1:])):
-                hit[p] += 1
-                hit[p + n] -= 1
-                for k in table[int(grams[p])]:
-                    docs.append(np.array([row[p]]))
-                    items.append(np.array([k]))
-        pair = np.unique(np.stack([np.concatenate(docs), np.concatenate(items)]), axis=1)
-        return np.cumsum(hit)[:-1] > 0, pair[0], pair[1]
-
-
-def _blocks(benchmark: DataFrame) -> list[list[tuple[str, str]]]:
-    """Items in blocks of bounded size. An item is one block's; only one block is on the driver at a time
-    while its rows are read, and each is kept as the task's closure."""
-    sized = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total = sized.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = int(total // (BLOCK_WORDS * 5)) + 1
-    if n == 1:
-        return [sorted((r["id"], r["text"]) for r in sized.collect())]
-    return [sorted((r["id"], r["text"]) for r in sized.filter(F.pmod(F.xxhash64("id"), F.lit(n)) == b).collect()) for b in range(n)]
+    texts = candidates.filter(F.size("found") > 0).select("key", "found").dropDuplicates(["key"])
+    rows = texts.select("key", F.explode("found").alias("f")).select("key", "f.*")
+    # Items may share a window: it meets the documents once, and its items only where it is found.
+    met = staged(rows.join(windows.select("print", "more", "n").distinct(), ["print", "more", "n"]), "benchmark-hits")
+    key = met.schema["key"].dataType
+    n_hit = met.groupBy("key").agg(F.collect_list(F.struct("n", "places")).alias("found")).mapInArrow(_covered, T.StructType([T.StructField("key", key), T.StructField("n_hit", T.LongType())]))
+    items = met.select("key", "print", "more", "n").join(windows, ["print", "more", "n"]).select("key", "item").distinct().groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    return staged(n_hit.join(items, "key"), "overlaps")
+
+
+def _filled(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))})
+
+
+def overlap_counts(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """The columns `keep` of docs with `n_words`, `n_hit` and `items`, as `find_overlaps` gives them, without the texts:
+    these are read once and never shuffled."""
+    windows = benchmark_windows(benchmark)
+    kept = [F.col(f"`{c}`").alias(f"_kept{k}") for k, c in enumerate(keep)]
+    rows = staged(_candidates(docs.select(*kept, F.col(f"`{text}`").alias("_source")), windows, "_source", [f"_kept{k}" for k in range(len(keep))]), "fingerprints")
+    filled = _filled(rows.drop("found").join(_hits(rows, windows), "key", "left"))
+    return filled.select(*[F.col(f"_kept{k}").alias(c) for k, c in enumerate(keep)], "n_words", "n_hit", "items")
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """docs with `n_words` (long), `n_hit` (long) and `items` (array of item ids as strings, sorted).
 
     Null texts have no words. Items without words or text match nothing; a null item_id counts as ''.
-    Equal item_ids are one item. Columns of these names are replaced.
+    Equal item_ids are one item, and repeated rows of docs get the same result each. Columns of these names are
+    replaced. Texts without a hit are matched with none by a left join: Spark broadcasts the hits where their
+    written size is under its threshold and sorts both sides where it isn't.
     """
-    added = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))]
-    flags = unique_name(docs, "_hit_words")
-    out = docs.drop("n_words", "n_hit", "items")
-    blocks = _blocks(benchmark)
-    for b, items in enumerate(blocks):
-        # Between blocks the hit words travel as a bit a word, so that a word hit twice counts once.
-        before = b > 0
-        schema = T.StructType([f for f in out.schema.fields if f.name not in ("n_words", "n_hit", "items", flags)] + added + ([T.StructField(flags, T.BinaryType())] if len(blocks) > 1 else []))
-
-        def run(batches: Iterator[pa.RecordBatch], items=items, before=before, schema=schema) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(items)
-            for batch in batches:
-                for part in row_blocks(batch, text):
-                    get = lambda name: part.column(part.schema.get_field_index(name))
-                    _, _, _, first, hashes = words_of(get(text), ALNUM)
-                    hit, rows, found = bench.match(hashes, first)
-                    if before:
-                        for k, bits in enumerate(get(flags).to_pylist()):
-                            own = slice(first[k], first[k + 1])
-                            hit[own] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=int(first[k + 1] - first[k])).astype(bool)
-                    ids: list[set[str]] = [set(x) for x in get("items").to_pylist()] if before else [set() for _ in range(part.num_rows)]
-                    for r, k in zip(rows.tolist(), found.tolist()):
-                        ids[r].add(bench.ids[k])
-                    sums = np.concatenate([[0], np.cumsum(hit)])
-                    made = {"n_words": pa.array(np.diff(first)), "n_hit": pa.array(sums[first[1:]] - sums[first[:-1]]), "items": pa.array([sorted(x, key=lambda s: s.encode()) for x in ids], pa.list_(pa.string()))}
-                    if flags in schema.names:
-                        made[flags] = pa.array([np.packbits(hit[first[k]:first[k + 1]]).tobytes() for k in range(part.num_rows)], pa.binary())
-                    yield pa.RecordBatch.from_arrays([made[n] if n in made else get(n) for n in schema.names], names=schema.names)
-
-        out = out.mapInArrow(run, schema)
-    return out.drop(flags)
-
-
-def contaminated(least: int = 2):
+    windows = benchmark_windows(benchmark)
+    key = unique_name(docs, "_overlap_key")
+    hits = _hits(staged(_candidates(docs, windows, text, []).filter(F.size("found") > 0), "fingerprints"), windows).withColumnRenamed("key", key)
+    rows = docs.drop("n_words", "n_hit", "items").withColumn(key, row_key(text))
+    n_words = F.regexp_count(lowered(text_of(text)), F.lit(_WORDS)).cast("long")
+    return _filled(rows.withColumn("n_words", n_words).join(hits, key, "left")).drop(key)
+
+
+def contaminated(least: int = 2) -> Column:
     """A document is contaminated when windows of `least` items or more occur in it."""
     return F.size("items") >= least

@@ -154,7 +154,7 @@ def shingled(docs: DataFrame, n: int) -> DataFrame:
                     pa.array(packed(sig, sketches(grams, offsets), size), pa.binary()),
                 ], names=["doc_id", "tie", "node", "n_shingles", "sig"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, tie long, node long, n_shingles long, sig binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, tie struct<a:long,b:long>, node long, n_shingles long, sig binary")
 
 
 def _indexed(classes: DataFrame) -> DataFrame:

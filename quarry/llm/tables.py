@@ -24,11 +24,11 @@ def lowered(column: Column) -> Column:
 
 
 def row_key(*columns: str) -> Column:
-    """A 64-bit key of a row's values; nulls take part by position."""
+    """A 128-bit key of a row's values, as a pair of 64-bit hashes; nulls take part by position."""
     parts: list[Column] = []
     for c in columns:
         parts += [F.col(c).isNull(), F.col(c)]
-    return F.xxhash64(*parts)
+    return F.struct(F.xxhash64(F.lit(1), *parts).alias("a"), F.xxhash64(F.lit(2), *parts).alias("b"))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -209,16 +209,6 @@ def test_overlaps(spark, none):
     assert find_overlaps(none, bench).count() == 0 and find_overlaps(docs, bench.limit(0)).count() == 3
 
 
-def test_overlaps_in_blocks(spark, monkeypatch):
-    from quarry.llm import decontaminate
-
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
-    want = sorted(map(str, find_overlaps(docs, bench).collect()))
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 400)
-    assert sorted(map(str, find_overlaps(docs, bench).collect())) == want
-
-
 def removed(texts):
     seen, out = set(), []
     for t in texts:
