@@ -2,9 +2,9 @@
 
 Documents are counted by exact token length within each source. A source whose target is T and whose
 documents hold S words gives every document floor(T / S) times; the rest of the budget, R < S, is a
-subset-sum problem over its length histogram. The histogram is fitted in two steps: each length gives
-its proportional share of documents, rounded down, and the words still missing are filled by a
-bounded-knapsack dynamic program. Which documents of a length are taken is decided by a seeded hash.
+subset-sum problem over its length histogram. Each length gives its proportional share of documents, and
+the words still missing are filled by a bounded-knapsack dynamic program, which may take shares back.
+Which documents of a length are taken is decided by a seeded hash.
 
 Only histograms move: (source, length) counts are pre-aggregated before they are shuffled, and ranks
 within a hot (source, length) are found over hash buckets of bounded size.
@@ -25,10 +25,10 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2.0
 SEED = 20_011
-#: Largest rest of a budget, in words, that the dynamic program fills exactly.
-TABLE = 1 << 16
+#: Sums that the dynamic program holds (9 bytes each).
+TABLE = 1 << 22
 #: Rows of one (source, length) that are ranked together.
-BUCKET_ROWS = 1000
+BUCKET_ROWS = 256
 
 
 def word_count(column: str = "text"):
@@ -36,69 +36,127 @@ def word_count(column: str = "text"):
     return F.coalesce(F.regexp_count(F.col(column), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, table: int = TABLE) -> np.ndarray:
-    """How many documents of each length to take so that their lengths sum as near to budget as found.
+def nearest_subset(lengths: np.ndarray, counts: np.ndarray, target: int, table: int = TABLE) -> np.ndarray:
+    """How many of each length (all positive) to take, of at most `counts`, for a sum nearest to target; the
+    lower of two equally near sums.
 
-    Shares are proportional and rounded down; then the largest lengths that fit are taken until at
-    most `table` words are missing; these are filled by a dynamic program over bounded counts, whose
-    table also reaches the shortest left length beyond the budget. Where only documents longer than what
-    is missing are left, too long for the table, the shortest is taken if that ends nearer. Of equally
-    near sums the lower wins.
+    A bounded-knapsack dynamic program over the sums in units of the lengths' greatest common divisor. Where
+    they fit `table` all sums are held and the result is exact. Longer documents' sums are held as a sorted
+    list, exact until it is longer than the table; then sums closer than top / table count as one.
     """
-    lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     take = np.zeros(len(lengths), np.int64)
-    total = int((lengths * counts).sum())
-    budget = int(max(0, min(budget, total)))
-    if not total or not budget:
-        return take
-    if budget == total:
-        return np.where(lengths > 0, counts, 0)
-    take = np.array([int(c) * budget // total for c in counts], np.int64)
-    take[lengths == 0] = 0
-    rest = budget - int((take * lengths).sum())
-    order = np.argsort(-lengths, kind="stable")
-    for i in order:
-        if rest <= table:
-            break
-        if lengths[i]:
-            more = min(int(counts[i] - take[i]), (rest - table + int(lengths[i]) - 1) // int(lengths[i]), rest // int(lengths[i]))
-            take[i] += more
-            rest -= more * int(lengths[i])
-    left = counts - take
-    usable = [int(i) for i in order[::-1] if left[i] and lengths[i]]
-    if not usable or rest <= 0:
+    if not len(lengths) or target <= 0:
         return take
-    shortest = int(lengths[usable[0]])
-    size = rest + shortest
-    if size > 4 * table:  # every document left is longer than what is missing, so the shortest alone can end nearer
-        take[usable[0]] += shortest - rest < rest
-        return take
-    reached = np.zeros(size + 1, bool)
-    reached[0] = True
-    by_length = np.full(size + 1, -1, np.int32)
-    by_count = np.zeros(size + 1, np.int64)
-    for i in reversed(usable):
-        n, step = min(int(left[i]), size // int(lengths[i])), 1
-        while n > 0 and not reached[rest]:
-            k = min(step, n)
-            w = k * int(lengths[i])
-            if w <= size:
-                new = reached[:size + 1 - w] & ~reached[w:]
-                at = np.flatnonzero(new) + w
+    unit = int(np.gcd.reduce(lengths))
+    size = lengths // unit
+    low, rest = divmod(int(target), unit)
+    want, top = low + (2 * rest > unit), low + 1 + int(size.max())
+    order = np.argsort(-size, kind="stable").tolist()
+    chunks = ((i, k) for i in order for k in _powers_to(min(int(counts[i]), top // int(size[i]))))
+    if top <= table:
+        reached, by_length, by_count = np.zeros(top + 1, bool), np.full(top + 1, -1, np.int32), np.zeros(top + 1, np.int32)
+        reached[0] = True
+        for i, k in chunks:
+            if reached[want]:
+                break
+            w = k * int(size[i])
+            if w <= top:
+                at = np.flatnonzero(reached[:top + 1 - w] & ~reached[w:]) + w
                 by_length[at], by_count[at] = i, k
                 reached[at] = True
-            n, step = n - k, step * 2
-        if reached[rest]:
+        sums = np.flatnonzero(reached)
+        best = int(sums[np.argmin(np.abs(sums * unit - target))])
+        while best:
+            i, k = int(by_length[best]), int(by_count[best])
+            take[i] += k
+            best -= k * int(size[i])
+        return take
+    sums, steps = np.zeros(1, np.int64), []
+    for i, k in chunks:
+        more = sums + k * int(size[i])
+        more = np.setdiff1d(more[more <= top], sums, assume_unique=True)
+        steps.append((i, k, more))
+        sums = np.union1d(sums, more)
+        if len(sums) > table:
+            sums = sums[np.unique(sums // (top // table + 1), return_index=True)[1]]
+        if len(more) and more[min(np.searchsorted(more, want), len(more) - 1)] == want:
+            break
+    best = min([np.zeros(1, np.int64), *(s[2] for s in steps), sums], key=lambda x: int(np.abs(x * unit - target).min()) if len(x) else target)
+    best = int(best[np.argmin(np.abs(best * unit - target))])
+    for i, k, more in reversed(steps):
+        if len(more) and more[min(np.searchsorted(more, best), len(more) - 1)] == best:
+            take[i] += k
+            best -= k * int(size[i])
+    return take
+
+
+def _powers_to(n: int) -> list[int]:
+    """1, 2, 4, ... and a rest, which sum to n: their subsets sum to everything up to n."""
+    out, k = [], 1
+    while n > 0:
+        out.append(min(k, n))
+        n, k = n - k, k * 2
+    return out
+
+
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, table: int = TABLE) -> np.ndarray:
+    """How many documents of each length to take so that their lengths sum as near to budget as can be.
+
+    Every length gives its proportional share, with what rounding leaves over carried on to the next length.
+    What is missing then is filled by `nearest_subset`. Where its sum isn't the nearest that the lengths'
+    divisor allows, some of the shares are taken back, in more and more words, and filled anew: all of them
+    where the budget, or what is left out, or the number of possible sums fits the table, so that the result is
+    exact there.
+    """
+    lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
+    counts = np.where(lengths > 0, counts, 0)
+    total = int((lengths * counts).sum())
+    budget = int(max(0, min(budget, total)))
+    if 2 * budget > total:  # choose what is left out
+        return counts - fit(lengths, counts, total - budget, table)
+    if not budget:
+        return np.zeros(len(lengths), np.int64)
+    used = np.flatnonzero(counts)
+    used = used[np.argsort(lengths[used], kind="stable")]
+    size, most = lengths[used], counts[used]
+    share, words, given = np.zeros(len(used), np.int64), 0, 0
+    for i, (w, n) in enumerate(zip(size.tolist(), most.tolist())):
+        words += w * n
+        share[i] = max(0, min(n, (budget * words // total - given) // w))
+        given += w * int(share[i])
+    unit, longest = int(np.gcd.reduce(size)), int(size.max())
+    room = max(0, unit * table - 2 * longest)
+    few = float(np.log2(most + 1.0).sum()) <= np.log2(table)  # so few documents that all their sums can be listed
+    best, off = share, abs(given - budget)
+    for words in (0, room // 256, room // 16, total if few else room):
+        base = share - _taken_back(size, share, words)
+        rest = budget - int((base * size).sum())
+        some = base + nearest_subset(size, most - base, rest, table)
+        if (far := abs(int((some * size).sum()) - budget)) < off:
+            best, off = some, far
+        if 2 * off <= unit or not base.any():
             break
-    sums = np.flatnonzero(reached)
-    best = int(sums[np.argmin(np.abs(sums - rest))])
-    while best:
-        i, k = int(by_length[best]), int(by_count[best])
-        take[i] += k
-        best -= k * int(lengths[i])
+    take = np.zeros(len(lengths), np.int64)
+    take[used] = best
     return take
 
 
+def _taken_back(size: np.ndarray, share: np.ndarray, words: int) -> np.ndarray:
+    """Of each length some of `share`, `words` words in all at most: all if they fit, else few of many lengths."""
+    if int((size * share).sum()) <= words:
+        return share
+    out, each = np.zeros(len(size), np.int64), 1
+    while words > 0:
+        more = np.minimum(share - out, each)
+        more[np.cumsum(more * size) > words] = 0
+        if not more.any():
+            break
+        out += more
+        words -= int((more * size).sum())
+        each *= 2
+    return out
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """Add `target` (double) to one row per source: (source, source_size).
 

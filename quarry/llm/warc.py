@@ -30,12 +30,14 @@ LEVEL = 3
 #: Records without a date of their own carry this one.
 NO_DATE = "1970-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space for URLs of RFC 9562
-_BREAKING = "address|article|aside|blockquote|br|div|dl|dt|dd|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|tr|ul|title"
-_UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)", re.S | re.I)
-_BREAK = re.compile(rf"</?(?:{_BREAKING})\b[^>]*>", re.I)
-_TAG = re.compile(r"</?[a-zA-Z!?][^>]*(?:>|\Z)")
-_LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
+#: Elements that end lines, and those whose content is not shown.
+_BREAKING = frozenset("address article aside blockquote br div dl dt dd footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tr ul title".split())
+_UNSEEN = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript", "template")}
+_SPECIAL = _BREAKING | set(_UNSEEN) | {"a"}
+_MARKUP = re.compile(r"<!--|<!\[CDATA\[|<[!?]|</?([a-zA-Z][a-zA-Z0-9]*)")
+_HREF = re.compile(r"""\bhref\s*=\s*(?:(["'])|([^\s>"'][^\s>]*))""", re.I)
+_TITLE_END = re.compile("</title", re.I)
+_LONG_NUMBER = re.compile(r"&#[0-9]{8,};?")
 
 
 def digest(block: bytes) -> str:
@@ -46,20 +48,69 @@ def record_id(name: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, name)}>"
 
 
-def shown(page: str) -> str:
-    """A page without comments, scripts, styles and the like."""
-    return _UNSEEN.sub(" ", page)
+def unescaped(text: str) -> str:
+    """text with its entities read; a number of more digits than any code point has is U+FFFD."""
+    return html.unescape(_LONG_NUMBER.sub("\ufffd", text))
 
 
-def plain_text(page: str, seen: str | None = None) -> str:
-    """What a page shows as text: markup goes, blocks end lines, entities are read, white space collapses."""
-    text = html.unescape(_TAG.sub("", _BREAK.sub("\n", shown(page) if seen is None else seen)))
-    return "\n".join(line for line in (" ".join(x.split()) for x in text.split("\n")) if line)
+def parse_page(page: str) -> tuple[str, str, list[str]]:
+    """(title, text, targets of anchors) of a page, in one pass.
 
-
-def links(seen: str) -> list[str]:
-    """Targets of the anchors of a page without its unseen parts."""
-    return [html.unescape(a or b or c) for a, b, c in _LINK.findall(seen)]
+    Comments, scripts, styles and the like are not shown; block elements end lines, other tags go, entities are
+    read and white space collapses. A tag ends at the next `>`, or after it where that stands in an anchor's quoted
+    target. What isn't ended goes to the page's end. Every search starts where the last ended, and one that
+    found nothing is not made again, so the time is proportional to the page, whatever stands in it.
+    """
+    out: list[str] = []
+    targets: list[str] = []
+    title, at, n = None, 0, len(page)
+    closed = {'"': True, "'": True}  # whether a quote may still come
+    search, find = _MARKUP.search, page.find
+    while found := search(page, at):
+        start, after = found.span()
+        if start > at:
+            out.append(page[at:start])
+        name = found[1]
+        if name is None and (mark := "-->" if found[0] == "<!--" else "]]>" if found[0] == "<![CDATA[" else None):
+            end = find(mark, after)
+            out.append(" ")
+            at = end + len(mark) if end >= 0 else n
+            continue
+        end = find(">", after)
+        at = end + 1 if end >= 0 else n
+        if name is None or (name := name.lower()) not in _SPECIAL:
+            continue
+        if name in _BREAKING:
+            out.append("\n")
+        if page[start + 1] == "/":
+            continue
+        if name == "a" and (href := _HREF.search(page, after, at)):
+            target = href[2]
+            if (quote := href[1]) and closed[quote]:
+                stop = find(quote, href.end())
+                closed[quote] = stop >= 0
+                if stop >= 0:
+                    target = page[href.end():stop]
+                    if stop >= at:
+                        end = find(">", stop)
+                        at = end + 1 if end >= 0 else n
+            if target is not None:
+                targets.append(unescaped(target))
+        elif name in _UNSEEN:
+            stop = _UNSEEN[name].search(page, at)
+            out.append(" ")
+            at = stop.end() if stop else n
+        elif name == "title" and title is None:
+            stop = _TITLE_END.search(page, at)
+            title = page[at:stop.start()] if stop else ""
+    out.append(page[at:])
+    lines = (" ".join(x.split()) for x in unescaped("".join(out)).split("\n"))
+    return " ".join(unescaped(title or "").split()), "\n".join(line for line in lines if line), targets
+
+
+def plain_text(page: str) -> str:
+    """What a page shows as text."""
+    return parse_page(page)[1]
 
 
 def encode_record(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -108,13 +159,12 @@ def derive(headers: dict[str, str] | list[tuple[str, str]], block: bytes) -> lis
     status, *fields = head.decode("utf-8", "replace").split("\r\n")
     page = body.decode("utf-8", "replace")
     source = headers["WARC-Record-ID"]
-    seen = shown(page)
-    text = plain_text(page, seen).encode()
+    title, text, targets = parse_page(page)
+    text = text.encode()
     shared = [("WARC-Refers-To", source), ("WARC-Refers-To-Target-URI", headers.get("WARC-Target-URI", "")), ("WARC-Refers-To-Date", headers.get("WARC-Date", NO_DATE)),
               ("WARC-Target-URI", headers.get("WARC-Target-URI", "")), ("WARC-Date", headers.get("WARC-Date", NO_DATE)), ("WARC-Source-Payload-Digest", headers.get("WARC-Payload-Digest") or digest(body))]
     conversion = record_id(f"conversion:{source}")
-    title = _TITLE.search(page)
-    out = [f"http-status: {status}", *(f"http-{f}" for f in fields), *(f"source-{k}: {' '.join(v.split())}" for k, v in every), f"title: {' '.join(html.unescape(title[1]).split()) if title else ''}", f"text-bytes: {len(text)}", f"conversion: {conversion}", *(f"outlink: {' '.join(u.split())}" for u in links(seen))]
+    out = [f"http-status: {status}", *(f"http-{f}" for f in fields), *(f"source-{k}: {' '.join(v.split())}" for k, v in every), f"title: {title}", f"text-bytes: {len(text)}", f"conversion: {conversion}", *(f"outlink: {' '.join(u.split())}" for u in targets)]
     meta = "\r\n".join(out).encode()
     made = []
     for kind, name, media, block in (("metadata", record_id(f"metadata:{source}"), "application/warc-fields", meta), ("conversion", conversion, "text/plain; charset=utf-8", text)):

@@ -1,7 +1,9 @@
 """Operators on small tables: nulls, empty texts, ties, repeated rows, empty tables, clashing columns."""
+import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -13,11 +15,12 @@ from quarry.llm.column_bwt import Files, columns
 from quarry.llm.decontaminate import find_overlaps
 from quarry.llm.exact_dedup import DigestIndex, digests, exact_dedup
 from quarry.llm.near_dedup import near_components, near_dedup
+from quarry.llm.queries import QUERIES
 from quarry.llm.quality import RuleEnsemble, score_quality, statistics
 from quarry.llm.secret_scan import candidates, build_index, RULES, scan
 from quarry.llm.token_files import ShardReader, local_shards, read_tokens, tokenizer_path, write_tokens
-from quarry.llm.toxicity import FactorizationMachine, score_toxicity
-from quarry.llm.warc import build_derivatives, derive, encode_record, plain_text, read_derivatives, read_records, response
+from quarry.llm.toxicity import FactorizationMachine, fit_toxicity, score_toxicity
+from quarry.llm.warc import build_derivatives, derive, encode_record, parse_page, plain_text, read_derivatives, read_records, response
 
 SCHEMA = "doc_id long, text string, source string, score string"
 ROWS = [
@@ -50,25 +53,35 @@ def test_word_hashes_agree_with_python():
         assert len(set(by.values())) == len(by)
 
 
-def test_fit_reaches_the_budget():
+def test_fit_is_nearest():
     rng = np.random.default_rng(1)
-    for _ in range(30):
-        lengths = np.unique(rng.integers(0, 60, 8))
-        counts = rng.integers(1, 9, len(lengths))
-        total = int((lengths * counts).sum())
-        budget = int(rng.integers(0, total + 1))
-        take = mixing.fit(lengths, counts, budget)
+    for case in range(400):
+        lengths = np.unique(rng.integers(0, (60, 9, 1000)[case % 3], 8)) * (7 if case % 5 == 0 else 1)
+        if case % 4 == 3:
+            lengths = lengths + 5_000_000  # beyond the table
+        counts = rng.integers(0, 9 if case % 4 < 3 else 3, len(lengths))
+        budget = int(rng.integers(0, (lengths * counts).sum() + 1))
+        take = mixing.fit(lengths, counts, budget, 1 << 15 if case % 2 else mixing.TABLE)
         sums = {0}
         for n, c in zip(lengths.tolist(), counts.tolist()):
             sums = {s + n * k for s in sums for k in range(c + 1)}
         assert (take <= counts).all() and (take >= 0).all()
-        assert abs(int((take * lengths).sum()) - budget) <= max(lengths)
+        assert abs(int((take * lengths).sum()) - budget) == min(abs(s - budget) for s in sums)
+    assert mixing.fit(np.array([70_000, 50_000]), np.array([10, 10]), 100_000).tolist() == [0, 2]
+
+
+def test_fit_keeps_the_lengths_shares():
+    lengths = np.arange(1, 2001)
+    counts = np.full(2000, 50)
+    take = mixing.fit(lengths, counts, int((lengths * counts).sum()) // 3)
+    assert int((take * lengths).sum()) == int((lengths * counts).sum()) // 3
+    assert abs(take[:1000].mean() - take[1000:].mean()) < 1
 
 
 def test_fit_takes_a_very_long_document_where_that_ends_nearer():
     fit = lambda lengths, counts, budget: mixing.fit(np.array(lengths), np.array(counts), budget).tolist()
     assert fit([150_000], [3], 270_000) == [2] and fit([300_000], [1], 225_000) == [1]
-    assert fit([300_000], [1], 150_000) == [0] and fit([300_000], [1], 140_000) == [0]
+    assert fit([300_000], [1], 140_000) == [0] and fit([300_000], [1], 150_000) == [0]
     assert fit([200_000, 300_000], [1, 1], 180_000) == [1, 0]
 
 
@@ -79,6 +92,51 @@ def test_mixing(spark, docs, none):
     assert mixing.mix(none).count() == 0
 
 
+def expected_targets(sizes):
+    """Targets by the contract's words: weights in turn, excess over twice a source's size reshared by weight."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (3.0, 1.0, 2.0)[k % 3] for k, s in enumerate(order)}
+    target, stopped, left = {}, set(), 1.5 * sum(sizes.values())
+    while True:
+        free = [s for s in order if s not in stopped]
+        rest = left - sum(2.0 * sizes[s] for s in stopped)
+        target = {s: 2.0 * sizes[s] if s in stopped else rest * weight[s] / sum(weight[x] for x in free) for s in order}
+        over = {s for s in free if target[s] > 2.0 * sizes[s]}
+        if not over:
+            return target
+        stopped |= over
+
+
+@pytest.mark.parametrize("where", ["given", "odd"])
+def test_mixing_query(spark, tmp_path, where):
+    folder = "/root/testdata/sf0.001"
+    if where == "odd":
+        rows = [(k % 90 if k % 11 else None, "w " * (k % 13) if k % 7 else None, ("a", "b", "B", None, "é")[k % 5 if k % 2 else 0]) for k in range(400)] + [(5, "w w", "a")] * 40 + [(1000, "\x0b\u00a0 x", "zz")]
+        spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+        folder = str(tmp_path)
+    rows = [(r.doc_id, r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    sizes = {}
+    for _, s, n in rows:
+        sizes[s] = sizes.get(s, 0) + n
+    want = expected_targets(sizes)
+    got = QUERIES["op1_mixing"](spark, folder).collect()
+    assert sorted(map(str, got)) == sorted(map(str, QUERIES["op1_mixing"](spark, folder).collect()))
+    assert sorted((str(r.doc_id), r.size) for r in got) == sorted((str(d), n) for d, _, n in rows)
+    kinds, taken = {}, {}
+    for s, t in want.items():  # how near the source's own documents can come
+        full, sums = int(t // sizes[s]) if sizes[s] else 0, 1
+        for n in (n for _, other, n in rows if other == s):
+            sums |= sums << n
+        off = min((abs(full * sizes[s] + n - t) for n in range(sums.bit_length()) if sums >> n & 1), default=0)
+        kinds.setdefault((sizes[s], round(t, 3)), []).append((t, off))
+    for r in got:
+        assert 0 <= r.taken <= 2 * r.size
+        taken[r.source_size, round(r.target, 3)] = taken.get((r.source_size, round(r.target, 3)), 0) + r.taken
+    assert set(taken) == set(kinds)
+    for k, pairs in kinds.items():  # the target is rounded to whole words
+        assert abs(taken[k] - sum(t for t, _ in pairs)) <= sum(off + 1 for _, off in pairs), k
+
+
 def test_exact_dedup_and_resumed_index(spark, docs, none):
     rows = {(r.doc_id, r.text_sha256): r for r in exact_dedup(docs).collect()}
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
@@ -120,6 +178,37 @@ def test_urls_with_any_user_and_password(spark):
     assert got == {i: [("url", 2, 2 + len(t))] if i < len(urls) else [] for i, t in enumerate(urls + plain)}
 
 
+@pytest.mark.parametrize("page", ["<title>" * 150_000, "<a " * 350_000, "<script" * 150_000, "<p " * 350_000, '<a href="' * 100_000, "<a href='x\">" * 90_000, "<!--" * 250_000, "<script></script " * 60_000,
+                                  "<a href " * 140_000, "&#" + "9" * 1_000_000 + ";", "<" * 1_000_000, "<a href=\"></a>'<a href='\">" * 40_000, "&" * 1_000_000], ids=lambda p: p[:12])
+def test_hostile_pages_take_time_in_proportion(page):
+    began = time.process_time()
+    derive(dict(response("u", page, "1")[0]), response("u", page, "1")[1])
+    assert time.process_time() - began < 3
+
+
+def test_page_parts():
+    page = """<!-- <title>no</title> --><TITLE lang=x>A
+      &lt; &#9999999999; b</TITLE><style>p{}</style><p class="a">One<br/>two<b>!</b><a href="a>b">x</a><a class=k HREF = 'z' >w</a><a name=q>n</a><a href=u?a&amp;b>y</a><![CDATA[ c ]]><script>if (a<b) {}</script >e<a href="open>t"""
+    assert parse_page(page) == ("A < \ufffd b", "A\n< \ufffd b\nOne\ntwo!xwny e" + "t", ["a>b", "z", "u?a&b"])
+    assert parse_page("") == ("", "", []) and parse_page("<title>x") == ("", "x", [])
+
+
+def test_warc_query_on_whole_pages(spark, none):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    rows = QUERIES["op6_warc_derivatives"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 3 * len(pages) and all(r.digest_ok for r in rows)
+    source = {r.record_id: r for r in rows if r.type == "response"}
+    for kind in ("metadata", "conversion"):
+        own = [r for r in rows if r.type == kind]
+        assert sorted(r.refers_to for r in own) == sorted(source)
+        assert all((r.target_uri, r.date, r.payload_digest) == (source[r.refers_to].target_uri, source[r.refers_to].date, source[r.refers_to].payload_digest) for r in own)
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    assert sorted(r.block_sha256 for r in rows if r.type == "conversion") == sorted(sha(plain_text(p.html or "")) for p in pages)
+    assert sorted((r.target_uri, r.payload_digest) for r in rows if r.type == "response") == sorted((p.url or "", "sha1:" + base64.b32encode(hashlib.sha1((p.html or "").encode()).digest()).decode()) for p in pages)
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert read_derivatives(spark, build_derivatives(empty)).count() == 0
+
+
 def test_warc_round_trip(spark):
     page = "<html><head><title>A &amp; B</title><style>p{}</style></head><body><p>One<br>two</p><script>x()</script><a href='/u'>go</a></body></html>"
     headers, block = response("http://x/", page, "1")
@@ -200,6 +289,43 @@ def test_factorization_machine_learns_a_pair(docs, none):
     assert score_toxicity(docs, model).count() == len(ROWS) and score_toxicity(none, model).count() == 0
 
 
+def test_toxicity_learns_a_pair_end_to_end_and_stands_missing_labels(spark, none):
+    rng = random.Random(3)
+
+    def rows(n):
+        out = []
+        for _ in range(n):
+            a, b = rng.random() < 0.5, rng.random() < 0.5
+            words = [f"filler{rng.randint(0, 300)}" for _ in range(25)] + ["alpha"] * a + ["omega"] * b
+            rng.shuffle(words)
+            out.append((" ".join(words), int(a != b)))
+        return out
+
+    model = fit_toxicity(spark.createDataFrame(rows(3000), "text string, _label int"))
+    scored = score_toxicity(spark.createDataFrame(rows(500), "text string, y int"), model).collect()
+    assert sum((r.score >= 0.5) == (r.y == 1) for r in scored) > 380  # neither word tells anything alone
+    for sample in ([], [("a", 0)], [("a", 1), (None, 1)]):
+        model = fit_toxicity(spark.createDataFrame(sample, "text string, _label int"))
+        assert all(0 <= r.score <= 1 for r in score_toxicity(spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string"), model).collect())
+
+
+def test_classifier_queries(spark, tmp_path):
+    labels = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    for name, label in (("op3_toxicity", "toxic"), ("op8_quality", "quality")):
+        rows = QUERIES[name](spark, "/root/testdata/sf0.01").collect()
+        assert len(rows) == spark.read.parquet("/root/testdata/sf0.01/documents.parquet").count()
+        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= (0.5 if label == "toxic" else 0.3)) for r in rows)
+        held = [(r.predicted, labels[r.doc_id][label]) for r in rows if r.held_out and r.doc_id in labels]
+        assert sum(p == y for p, y in held) >= 0.9 * len(held)
+    for k, sample in enumerate(([], [(1, None, None), (None, 1, 1)], [(n, 1, 0) for n in range(30)], [(n, 0, 1) for n in range(30)])):
+        folder = f"{tmp_path}/{k}"
+        spark.createDataFrame([(n, None if n == 3 else f"text {n} {'x' * n}", "en", "s", 1) for n in range(30 if k else 0)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(sample, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        for name in ("op3_toxicity", "op8_quality"):
+            rows = QUERIES[name](spark, folder).collect()
+            assert len(rows) == (30 if k else 0) and all(0 <= r.score <= 1 for r in rows)
+
+
 def test_overlaps(spark, none):
     item = "one two three four five six seven eight nine"
     docs = spark.createDataFrame([(1, f"x, {item.upper()}! y short item"), (2, "one two three four five six seven x"), (3, None)], "doc_id long, text string")
