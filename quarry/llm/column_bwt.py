@@ -7,31 +7,43 @@ them in the next column's order (none if their symbols differ). Order and common
 sequential files, read and rewritten once a round; the transform is a file that grows by one column.
 
 The strings are aligned: only suffixes that start in one column are ever compared, so the transform is
-kept column by column and a round costs the number of strings, not the size of the transform so far.
+kept column by column, a file each, and a round costs the number of strings, not the size of the transform
+so far. A column of the transform is what the next round inserts: the symbols before its suffixes, in order.
 """
 from __future__ import annotations
 
-import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+from pyarrow import fs
 
 #: Common prefixes are counted up to this.
 MOST = 255
 
 
 class Files:
-    """Arrays as sequential files of a folder."""
+    """Arrays as sequential files of a folder of the shared storage (a URI or a local path); a rewritten one
+    is a new file, and the folder goes when the block ends."""
 
     def __init__(self, folder: str):
-        self.folder = folder
+        self.place, self.folder = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        self.folder += f"/{uuid.uuid4().hex}"
 
-    def write(self, name: str, values: np.ndarray, append: bool = False) -> None:
-        with open(os.path.join(self.folder, name), "ab" if append else "wb") as f:
+    def __enter__(self) -> Files:
+        self.place.create_dir(self.folder, recursive=True)
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.place.delete_dir(self.folder)
+
+    def write(self, name: str, values: np.ndarray) -> None:
+        with self.place.open_output_stream(f"{self.folder}/{name}", compression=None) as f:
             f.write(np.ascontiguousarray(values).data)
 
     def read(self, name: str, kind: type) -> np.ndarray:
-        return np.fromfile(os.path.join(self.folder, name), kind)
+        with self.place.open_input_stream(f"{self.folder}/{name}", compression=None) as f:
+            return np.frombuffer(f.read(), kind)
 
 
 def _range_minimum(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -57,17 +69,14 @@ def columns(strings: np.ndarray, files: Files) -> Iterator[tuple[int, np.ndarray
 
     strings is a uint8 matrix, a string a row. order lists the rows by their suffix from the column on,
     equal ones by row; common[i] is the length that suffix i shares with the one before it in order,
-    up to MOST. The transform's file `bwt` gets, for every column, the symbols before its suffixes.
+    up to MOST. File `bwt-<column>` holds the symbols of the column in the order of the suffixes after it.
     """
     n, width = strings.shape
     files.write("order", np.arange(n, dtype=np.int32))
-    files.write("common", np.where(np.arange(n) > 0, MOST, 0).astype(np.uint8))
-    files.write("bwt", strings[:, width - 1])
+    files.write("common", np.zeros(n, np.uint8))  # empty suffixes share nothing
+    files.write(f"bwt-{width - 1}", strings[:, width - 1])
     for column in range(width - 1, -1, -1):
-        order, common = files.read("order", np.int32), files.read("common", np.uint8)
-        if column == width - 1:
-            common = np.zeros(n, np.uint8)  # empty suffixes share nothing
-        symbol = strings[order, column]
+        order, common, symbol = files.read("order", np.int32), files.read("common", np.uint8), files.read(f"bwt-{column}", np.uint8)
         place = np.argsort(symbol, kind="stable")
         order, symbol = order[place], symbol[place]
         new = np.zeros(n, np.uint8)
@@ -77,5 +86,5 @@ def columns(strings: np.ndarray, files: Files) -> Iterator[tuple[int, np.ndarray
         files.write("order", order)
         files.write("common", new)
         if column:
-            files.write("bwt", strings[order, column - 1], append=True)
+            files.write(f"bwt-{column - 1}", strings[order, column - 1])
         yield column, order, new

@@ -19,7 +19,6 @@ end within them: the first of a string is remembered and its others are marked a
 from __future__ import annotations
 
 import hashlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -184,9 +183,8 @@ def _repeated_anchors(blocks: DataFrame, path: str, parts: int) -> DataFrame:
                 hashes, n = np.unique(_Block(path, block).hash, return_counts=True)
                 part = (hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
                 edges = np.searchsorted(part, np.arange(parts + 1))
-                for p in np.unique(part).tolist():
-                    own = slice(edges[p], edges[p + 1])
-                    yield pa.RecordBatch.from_arrays([pa.array([int(p)], pa.int32()), pa.array([block]), pa.array([hashes[own].tobytes()], pa.binary()), pa.array([np.packbits(n[own] > 1).tobytes()], pa.binary())], names=["part", "block", "hashes", "several"])
+                own = [slice(edges[p], edges[p + 1]) for p in (used := np.unique(part).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(np.full(len(used), block)), pa.array([hashes[o].tobytes() for o in own], pa.binary()), pa.array([np.packbits(n[o] > 1).tobytes() for o in own], pa.binary())], names=["part", "block", "hashes", "several"])
 
     def meet(table: pa.Table) -> pa.Table:
         blobs = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
@@ -208,7 +206,7 @@ def _repeated_anchors(blocks: DataFrame, path: str, parts: int) -> DataFrame:
         return pa.table({"block": pa.array([x[0] for x in picked], pa.int64()), "repeated": pa.array([x[1] for x in picked], pa.binary()), "hot": pa.array([x[2] for x in picked], pa.binary())})
 
     sent = blocks.select("block").repartition(partitions_for(blocks.sparkSession, 0)).mapInArrow(send, "part int, block long, hashes binary, several binary")
-    return sent.groupBy("part").applyInArrow(meet, "block long, repeated binary, hot binary")
+    return sent.repartition(parts, "part").groupBy("part").applyInArrow(meet, "block long, repeated binary, hot binary")
 
 
 def _joined(blobs: list) -> np.ndarray:
@@ -232,9 +230,9 @@ def _sent_strings(anchors: DataFrame, path: str) -> DataFrame:
     return anchors.groupBy("block").applyInArrow(send, "key long, block long, number int, col short, bytes binary, doc_id long, idx int, pos long")
 
 
-def mark_repeats(text: list[bytes], column: np.ndarray) -> list[np.ndarray]:
+def mark_repeats(text: list[bytes], column: np.ndarray, folder: str) -> list[np.ndarray]:
     """For strings in corpus order, aligned at their columns: flags of the SPAN-byte strings they cover
-    that one before them covers too."""
+    that one before them covers too. Files of the rounds lie in a folder of `folder` while this runs."""
     n = len(text)
     size = np.array([len(t) for t in text], np.int64)
     matrix = np.zeros((n, WIDTH), np.uint8)
@@ -242,8 +240,8 @@ def mark_repeats(text: list[bytes], column: np.ndarray) -> list[np.ndarray]:
     row = np.repeat(np.arange(n), size)
     matrix[row, column[row] + np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
     marks = np.zeros((n, WINDOW), bool)
-    with tempfile.TemporaryDirectory() as folder:
-        for c, order, common in columns(matrix, Files(folder)):
+    with Files(folder) as files:
+        for c, order, common in columns(matrix, files):
             if c >= WINDOW:
                 continue  # too near the end for SPAN bytes
             group = np.empty(n, np.int64)
@@ -255,7 +253,7 @@ def mark_repeats(text: list[bytes], column: np.ndarray) -> list[np.ndarray]:
     return [marks[i, column[i]:column[i] + size[i] - SPAN + 1] for i in range(n)]
 
 
-def _marked(strings: DataFrame, partitions: int) -> DataFrame:
+def _marked(strings: DataFrame, partitions: int, path: str) -> DataFrame:
     """(block, numbers, marks): marks of the strings, back by block."""
     order = ["key", "doc_id", "block", "idx", "pos"]
 
@@ -269,7 +267,7 @@ def _marked(strings: DataFrame, partitions: int) -> DataFrame:
             text, key = table.column("bytes").to_pylist(), table.column("key").to_numpy()
             column = table.column("col").to_numpy().astype(np.int64)
             lead = 1 if first is not None and key[0] == first[0] else 0
-            marks = mark_repeats(([first[1]] if lead else []) + text, np.concatenate([np.full(lead, WINDOW - 1), column]))[lead:]
+            marks = mark_repeats(([first[1]] if lead else []) + text, np.concatenate([np.full(lead, WINDOW - 1), column]), f"{path}/rounds")[lead:]
             single = key[-1] & 1 and len(text[-1]) == SPAN
             if single:
                 start = int(np.searchsorted(key, key[-1]))
@@ -336,9 +334,10 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     path = new_path(spark, "texts")
     blocks = _write_blocks(docs, path)
     total = blocks.agg(F.sum("bytes")).first()[0] or 0
-    anchors = staged(_repeated_anchors(blocks, path, int(total * 16 // WINDOW // RANGE_BYTES) + 1), "anchors")
     partitions = partitions_for(spark, total // 4)
-    results = staged(_marked(_sent_strings(anchors, path), partitions), "marks")
+    anchors = staged(_repeated_anchors(blocks, path, max(partitions, int(total * 16 // WINDOW // RANGE_BYTES) + 1)), "anchors")
+    results = staged(_marked(_sent_strings(anchors, path), partitions, path), "marks")
+    remove(spark, f"{path}/rounds")  # what lost tasks left
     every = blocks.select("block", *[F.lit(None).cast("binary").alias(c) for c in ("repeated", "hot", "numbers", "marks")])
     empty = lambda df, *none: df.select("block", *[F.lit(None).cast("binary").alias(c) if c in none else F.col(c) for c in ("repeated", "hot", "numbers", "marks")])
     back = every.union(empty(anchors, "numbers", "marks")).union(empty(results, "repeated", "hot"))

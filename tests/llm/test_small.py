@@ -365,9 +365,30 @@ def test_repeats(spark, none, monkeypatch, hot):
 def test_column_order(tmp_path):
     rng = np.random.default_rng(9)
     strings = rng.integers(97, 99, (40, 12)).astype(np.uint8)
-    for c, order, common in columns(strings, Files(str(tmp_path))):
-        suffixes = [bytes(strings[i, c:]) for i in range(40)]
-        assert order.tolist() == sorted(range(40), key=lambda i: (suffixes[i], i))
-        for k in range(1, 40):
-            a, b = suffixes[order[k - 1]], suffixes[order[k]]
-            assert common[k] == next((i for i in range(12 - c) if a[i] != b[i]), 12 - c)
+    with Files(f"file://{tmp_path}") as files:
+        for c, order, common in columns(strings, files):
+            suffixes = [bytes(strings[i, c:]) for i in range(40)]
+            assert order.tolist() == sorted(range(40), key=lambda i: (suffixes[i], i))
+            for k in range(1, 40):
+                a, b = suffixes[order[k - 1]], suffixes[order[k]]
+                assert common[k] == next((i for i in range(12 - c) if a[i] != b[i]), 12 - c)
+            if c:  # the transform's column: symbols before the suffixes, in their order
+                assert files.read(f"bwt-{c - 1}", np.uint8).tolist() == [strings[i, c - 1] for i in order]
+    assert not list(tmp_path.iterdir())
+
+
+def test_repeats_on_given_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = sorted((r.doc_id, (r.text or "").encode()) for r in docs.collect())
+    kept = removed([t for _, t in rows])
+    got = {r.doc_id: r for r in QUERIES["op9_repeated_passages"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == len(rows)
+    for (doc_id, text), k in zip(rows, kept):
+        assert (got[doc_id].n_bytes, got[doc_id].n_removed, got[doc_id].kept_sha256) == (len(text), len(text) - len(k), hashlib.sha256(k).hexdigest())
+
+
+def test_repeats_with_null_and_repeated_ids(spark):
+    rows = [(None, "x" * 150), (4, "y" * 120 + "z"), (4, "y" * 120 + "z"), (1, "y" * 130), (9, None), (None, None)]
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in passages.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    # x: its 51 strings are equal, so all bytes but the first are covered by a later one; y the same, then in 4 all again
+    assert got == sorted([(None, 150, 149, 1), (None, 0, 0, 0), (1, 130, 129, 1), (4, 121, 120, 1), (4, 121, 121, 1), (9, 0, 0, 0)], key=str)
