@@ -183,7 +183,8 @@ def _repeated_anchors(blocks: DataFrame, path: str, parts: int) -> DataFrame:
                 hashes, n = np.unique(_Block(path, block).hash, return_counts=True)
                 part = (hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
                 edges = np.searchsorted(part, np.arange(parts + 1))
-                own = [slice(edges[p], edges[p + 1]) for p in (used := np.unique(part).astype(np.int32))]
+                used = np.unique(part).astype(np.int32)
+                own = [slice(edges[p], edges[p + 1]) for p in used]
                 yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(np.full(len(used), block)), pa.array([hashes[o].tobytes() for o in own], pa.binary()), pa.array([np.packbits(n[o] > 1).tobytes() for o in own], pa.binary())], names=["part", "block", "hashes", "several"])
 
     def meet(table: pa.Table) -> pa.Table:
