@@ -43,6 +43,8 @@ WORDS, SIMILARITY = 5, 80
 BLOCK, CLOSE = 1024, 13
 #: Rounds of spanning forests at most; a round without a new pair ends them.
 FORESTS = 3
+#: Bits of a set's number that are kept at first; tests take few, so that sets collide.
+NODE_BITS = 64
 
 
 def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,8 +138,9 @@ def chunk_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def shingled(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, tie, node, n_shingles, sig of docs (doc_id, text); node (a hash of the set) is null without words."""
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), row_key("doc_id", "text").alias("tie"))
+    """doc_id, tie, node, check, n_shingles, sig of docs; tie is the row's key, node and check two hashes of the set,
+    null without words."""
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), row_key(*docs.columns).alias("tie"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,16 +148,31 @@ def shingled(docs: DataFrame, n: int) -> DataFrame:
             for part in row_blocks(batch, "text", 1 << 20):
                 grams, offsets = shingle_sets(part.column(1), n)
                 size = np.diff(offsets)
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(grams, dtype=np.uint64)])
                 with np.errstate(over="ignore"):
-                    node = mix(sums[offsets[1:]] - sums[offsets[:-1]] + mix(size.astype(np.uint64))).view(np.int64)
+                    both = []
+                    for own in (grams, mix(grams ^ np.uint64(0xA0761D6478BD642F))):
+                        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own, dtype=np.uint64)])
+                        both.append(mix(sums[offsets[1:]] - sums[offsets[:-1]] + mix(size.astype(np.uint64))))
+                node = (both[0] & np.uint64((1 << NODE_BITS) - 1)).view(np.int64)
                 sig = signatures(grams, offsets)
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), part.column(2), pa.array(node, mask=size == 0), pa.array(size.astype(np.int64)),
+                    part.column(0), part.column(2), pa.array(node, mask=size == 0), pa.array(both[1].view(np.int64), mask=size == 0), pa.array(size.astype(np.int64)),
                     pa.array(packed(sig, sketches(grams, offsets), size), pa.binary()),
-                ], names=["doc_id", "tie", "node", "n_shingles", "sig"])
+                ], names=["doc_id", "tie", "node", "check", "n_shingles", "sig"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, tie struct<a:long,b:long>, node long, n_shingles long, sig binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, tie struct<a:long,b:long>, node long, check long, n_shingles long, sig binary")
+
+
+def _classes(slim: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(slim, classes): rows with equal node and check have equal sets and are one class, which node then names alone.
+    Classes that share a node (64-bit hashes of 10**10 sets may) get a new one from both hashes."""
+    made = staged(slim.filter("node is not null").groupBy("node", "check").agg(F.min("doc_id").alias("least"), F.min("tie").alias("tie"), F.first("sig").alias("sig")), "classes")
+    several = made.groupBy("node").count().filter("count > 1")
+    ids = staged(made.select("node", "check").join(several, "node", "left_semi").withColumn("id", F.xxhash64("node", "check")), "shared-nodes")
+    if ids.limit(1).count():
+        named = lambda df: df.join(ids, ["node", "check"], "left").withColumn("node", F.coalesce("id", "node")).drop("id")
+        slim, made = staged(named(slim), "shingled"), staged(named(made), "classes")
+    return slim.drop("check"), made.drop("check")
 
 
 def _indexed(classes: DataFrame) -> DataFrame:
@@ -177,10 +195,10 @@ def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(sig("b"), "b").join(sig("a"), "a").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _pairs_of_key(node, label, block, low, high, sig, percent: int, forest: bool) -> list[tuple[int, int]]:
-    """Pairs of one key's blocks low and high across components that signatures don't rule out; with forest, of
-    the probable ones just those that join components, the closest first."""
-    found = []
+def _pairs_of_key(node, label, block, low, high, sig, percent: int, forest: bool) -> np.ndarray:
+    """Pairs (two rows of an array) of one key's blocks low and high across components that signatures don't rule
+    out; with forest, of the probable ones just those that join components, the closest first."""
+    found = [np.zeros((3, 0), np.int32)]
     one, two = (np.flatnonzero(block == low), np.flatnonzero(block == high))
     for at in range(0, len(one), 64):
         rows = one[at:at + 64]
@@ -188,16 +206,18 @@ def _pairs_of_key(node, label, block, low, high, sig, percent: int, forest: bool
         if low == high:
             far &= rows[:, None] < two[None]
         i, j = np.nonzero(far)
-        if not len(i):
-            continue
-        for cut in range(0, len(i), 1 << 16):
-            a, b = rows[i[cut:cut + (1 << 16)]], two[j[cut:cut + (1 << 16)]]
+        for cut in range(0, len(i), 1 << 14):
+            a, b = rows[i[cut:cut + (1 << 14)]], two[j[cut:cut + (1 << 14)]]
             d = (sig[0][a] != sig[0][b]).sum(1)
             ok = np.flatnonzero(d <= (CLOSE if forest else REACH))
             ok = ok[near(tuple(x[a[ok]] for x in sig), tuple(x[b[ok]] for x in sig), percent)]
-            found += zip(d[ok].tolist(), a[ok].tolist(), b[ok].tolist())
+            found.append(np.stack([d[ok], a[ok], b[ok]]).astype(np.int32))
+    d, a, b = np.concatenate(found, 1)
     if not forest:
-        return [(int(node[a]), int(node[b])) for _, a, b in found]
+        return np.stack([node[a], node[b]])
+    order = np.argsort(d, kind="stable")
+    a, b = a[order], b[order]
+    left = len(np.unique(np.append(label[a], label[b]))) - 1  # pairs of a spanning tree
     head: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -207,12 +227,14 @@ def _pairs_of_key(node, label, block, low, high, sig, percent: int, forest: bool
         return x
 
     out = []
-    for _, a, b in sorted(found):
-        x, y = root(int(label[a])), root(int(label[b]))
+    for k in range(len(a)):
+        if len(out) == left:
+            break
+        x, y = root(int(label[a[k]])), root(int(label[b[k]]))
         if x != y:
             head[x] = y
-            out.append((int(node[a]), int(node[b])))
-    return out
+            out.append(k)
+    return np.stack([node[a[out]], node[b[out]]]) if out else np.zeros((2, 0), np.int64)
 
 
 def _across(members: DataFrame, classes: DataFrame, percent: int, forest: bool) -> DataFrame:
@@ -229,11 +251,16 @@ def _across(members: DataFrame, classes: DataFrame, percent: int, forest: bool)
             key, low, high, block, node, label = (table.column(c).to_numpy() for c in ("key", "low", "high", "block", "node", "label"))
             sig = unpacked(table.column("sig").combine_chunks())
             new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
-            pairs = []
+            pairs = [np.zeros((2, 0), np.int64)]
             for a, b in zip(new, np.append(new[1:], len(key))):
-                pairs += _pairs_of_key(node[a:b], label[a:b], block[a:b], low[a], high[a], tuple(x[a:b] for x in sig), percent, forest)
-            pairs = sorted({(min(p), max(p)) for p in pairs})
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+                pairs.append(_pairs_of_key(node[a:b], label[a:b], block[a:b], low[a], high[a], tuple(x[a:b] for x in sig), percent, forest))
+            pairs = np.concatenate(pairs, 1)
+            small, large = np.minimum(*pairs), np.maximum(*pairs)
+            order = np.lexsort((large, small))
+            small, large = small[order], large[order]
+            fresh = np.ones(len(small), bool)
+            fresh[1:] = (small[1:] != small[:-1]) | (large[1:] != large[:-1])
+            return pa.RecordBatch.from_arrays([pa.array(small[fresh]), pa.array(large[fresh])], names=["a", "b"])
 
         for batch in batches:
             held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
@@ -274,14 +301,13 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> Data
 
 
 def near_components(docs: DataFrame, n: int = WORDS, percent: int = SIMILARITY) -> DataFrame:
-    """doc_id, tie, n_shingles, component_id, group for each row of docs (doc_id, text).
+    """doc_id, tie (`row_key` of all columns), n_shingles, component_id, group for each row of docs (doc_id, text, any more).
 
     component_id is the smallest doc_id of the row's component and group a number that is the component's
     own. Null and empty texts and texts without words are components of their own rows. A null doc_id
     takes part but is never a component_id unless its component has no other.
     """
-    slim = staged(shingled(docs, n), "shingled")
-    classes = staged(slim.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("tie").alias("tie"), F.first("sig").alias("sig")), "classes")
+    slim, classes = _classes(staged(shingled(docs, n), "shingled"))
     index = staged(_indexed(classes), "index")
     heads = index.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1").select("key", "head")
     shared = staged(index.join(heads, "key"), "shared-keys")
@@ -289,7 +315,7 @@ def near_components(docs: DataFrame, n: int = WORDS, percent: int = SIMILARITY)
     pairs = staged(_close(stars, classes, percent), "pairs")
     ends = staged(shared.select("node").distinct(), "ends")
     wanted = ends.join(classes, "node").select("node", "tie")
-    sources = docs.select(row_key("doc_id", "text").alias("tie"), F.col("text").cast("string").alias("text"))
+    sources = docs.select(row_key(*docs.columns).alias("tie"), F.col("text").cast("string").alias("text"))
     texts = staged(sources.join(wanted, "tie").dropDuplicates(["node"]).select("node", "text"), "texts")
     links = staged(_confirmed(pairs, texts, n, percent), "links")
     labels = connected_components(links)
@@ -316,11 +342,12 @@ def near_components(docs: DataFrame, n: int = WORDS, percent: int = SIMILARITY)
 
 
 def near_dedup(docs: DataFrame, n: int = WORDS, percent: int = SIMILARITY) -> DataFrame:
-    """docs without near copies: of each component the row with the smallest doc_id stays, of rows equal in
-    that the one with the smaller row hash. Rows without words all stay, once each if they are equal."""
-    rows = near_components(docs.select("doc_id", "text"), n, percent)
+    """docs without near copies: of each component the row with the smallest doc_id stays (null only if there is no
+    other), of rows equal in that the one with the smaller row key. Rows without words all stay. Rows that are equal
+    in every column are one."""
+    rows = near_components(docs, n, percent)
     alone = rows.filter("group is null").select("tie")
     best = rows.filter("group is not null").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("r")).select(F.col("r.tie").alias("tie"))
     key = unique_name(docs, "_near_key")
     keep = staged(alone.union(best).distinct().withColumnRenamed("tie", key), "kept")
-    return docs.withColumn(key, row_key("doc_id", "text")).join(keep, key).dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.withColumn(key, row_key(*docs.columns)).join(keep, key).dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -151,6 +151,49 @@ def test_exact_dedup_and_resumed_index(spark, docs, none):
     assert exact_dedup(docs, again).filter("kept").count() == 0
 
 
+def linked(texts, n, percent):
+    """(component's least number, set size) of each text, by all pairs."""
+    sets = []
+    for t in texts:
+        ws = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+        sets.append({tuple(ws[k:k + n]) for k in range(max(1, len(ws) - n + 1))} if ws else set())
+    head = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= percent * len(sets[i] | sets[j]):
+                a, b = sorted((head[i], head[j]))
+                head = [a if h == b else h for h in head]
+    return [(head[i], len(sets[i])) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("bits", [64, 3])
+def test_near_dedup_against_all_pairs(spark, monkeypatch, bits):
+    from quarry.llm import near_dedup as module
+
+    monkeypatch.setattr(module, "NODE_BITS", bits)
+    rng, texts = random.Random(11), []
+    for group in range(12):
+        base = [f"g{group}w{rng.randint(0, 500)}" for _ in range(rng.randint(30, 90))]
+        for _ in range(rng.choice([1, 2, 9])):
+            words = list(base)
+            for _ in range(rng.randint(0, 5)):
+                words[rng.randrange(len(words))] = f"x{rng.randint(0, 9)}"
+            texts.append(" ".join(words))
+    texts += [None, "", "one two", "ONE two", texts[0].upper()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in near_components(docs, n=4).collect()}
+    assert got == dict(enumerate(linked(texts, 4, 80)))
+    assert sorted(r.doc_id for r in near_dedup(docs).collect()) == sorted({c for c, _ in linked(texts, 5, 80)})
+
+
+def test_near_dedup_is_the_same_in_reruns(spark):
+    rows = [(1, "a b c d e f g", "x", k) for k in range(20)] + [(None, None, "y", 1)] * 2 + [(1, "a b c d e f g", "x", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tie string, node int")
+    got = [sorted(map(str, near_dedup(docs.repartition(k)).collect())) for k in (1, 5)]
+    assert got[0] == got[1] and len(got[0]) == 2
+
+
 def test_near_dedup(spark, none):
     base = [f"w{i}" for i in range(60)]
     texts = [" ".join(base), " ".join(base[:59] + ["x"]), " ".join(base).upper(), " ".join(f"z{i}" for i in range(60)), None, "", "one two", "one two"]
