@@ -143,12 +143,22 @@ def test_exact_dedup_and_resumed_index(spark, docs, none):
     assert rows[(2, sha(""))].keep_id == 3 and rows[(3, sha(""))].kept and not rows[(2, sha(""))].kept
     assert rows[(5, sha("word"))].group_size == 2
     assert exact_dedup(none).count() == 0
+    tables = {t.name for t in spark.catalog.listTables()}
+    twice = sorted(map(str, exact_dedup(docs, batches=3).collect()))
+    assert twice == sorted(map(str, exact_dedup(docs).collect())) and {t.name for t in spark.catalog.listTables()} == tables
     index = DigestIndex(spark, buckets=4)
-    first = index.add(digests(docs)).count()
+    groups = digests(docs).selectExpr("digest", "doc_id AS keep_id").dropDuplicates(["digest"])
+    first = index.add(groups).count()
     index.drop()
     again = DigestIndex(spark, index.path, buckets=4)
-    assert again.add(digests(docs)).count() == 0 and again.rows().count() == first
+    assert again.add(groups).count() == 0 and again.rows().count() == first
     assert exact_dedup(docs, again).filter("kept").count() == 0
+    assert exact_dedup(docs, again).filter("group_size = 2").count() == 2 * exact_dedup(docs, again).filter("group_size = 2").select("text_sha256").distinct().count()
+    more = docs.selectExpr("doc_id", "concat(text, '!') AS text").filter("doc_id < 4 AND text IS NOT NULL")
+    assert exact_dedup(more, again).filter("kept").count() == 2
+    small = again.compact()
+    assert small.add(groups).count() == 0 and small.rows().count() == again.rows().count()
+    again.drop(), small.drop()
 
 
 def linked(texts, n, percent):
