@@ -1,11 +1,11 @@
 """A PostgreSQL-flavoured SQL session on Spark.
 
-Queries go to Spark SQL after small rewrites (DISTINCT ON, row-locking clauses, database.schema names).
-Statements that Spark's Parquet tables lack are done here: constraint-checked INSERT with ON CONFLICT and
-RETURNING, UPDATE, DELETE, DDL with constraints, sequences, types and domains. A table is a Spark
-Parquet table; its constraints and defaults are a JSON table property. A change writes a whole new
-version of the data beside the old one and then moves the table's location, so a failed statement leaves
-the table as it was.
+Queries go to Spark SQL through `dialect`. Statements that Spark's Parquet tables lack are done here:
+constraint-checked INSERT with ON CONFLICT and RETURNING, UPDATE, DELETE, DDL with constraints, sequences, types
+and domains. A table is a Spark Parquet table; its constraints and defaults are a JSON table property, and schemas,
+sequences, types and domains of a database are a property of its hidden table `__engine`, so that every session
+over the same catalog sees them. INSERT adds files; UPDATE and DELETE rewrite the files that hold rows they touch
+(`tablestore`). A statement validates all its rows before any is visible.
 """
 from __future__ import annotations
 
@@ -17,8 +17,10 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .dialect import Dialect, tokens
 from .errors import BindError, CatalogError, ConstraintError, ParseError
-from .operators import duplicates, upsert
+from .operators import duplicates
+from .tablestore import TableStore
 from .types import spark_type
 
 _NAME = r"(?:\"[^\"]+\"|`[^`]+`|[A-Za-z_]\w*)"
@@ -43,6 +45,8 @@ class Meta:
     foreign: dict[str, list] = field(default_factory=dict)  # name -> [columns, table, columns]
     generated: dict[str, str] = field(default_factory=dict)
     identity: list[str] = field(default_factory=list)
+    cluster: list[str] = field(default_factory=list)  # columns of PARTITION BY: files are sorted by them
+    options: dict[str, str] = field(default_factory=dict)
 
 
 #: Strings, quoted names and dollar-quoted bodies: what is inside is never rewritten.
@@ -76,13 +80,18 @@ def flattened(text: str) -> str:
     return "".join(out).strip()
 
 
-def unquoted_sub(pattern: str, value: str, text: str) -> str:
-    """re.sub on what stands outside quotes."""
-    out, at = [], 0
-    for quoted in _QUOTED.finditer(text):
-        out += [re.sub(pattern, lambda m: value, text[at:quoted.start()]), quoted[0]]
-        at = quoted.end()
-    return "".join(out) + re.sub(pattern, lambda m: value, text[at:])
+def renamed(text: str, old: str, new: str) -> str:
+    """An expression with the column's name changed where it stands as a name."""
+    out = []
+    for t in tokens(text):
+        same = t.kind in ("word", "name") and bare(t.text) == old
+        out.append(f"`{new}`" if same else t.text)
+    return " ".join(out)
+
+
+def mentions(text: str, column: str) -> bool:
+    """Whether an expression names a column."""
+    return any(t.kind in ("word", "name") and bare(t.text) == column for t in tokens(text))
 
 
 def split(text: str, at: str = ",") -> list[str]:
@@ -131,19 +140,42 @@ def bare(name: str) -> str:
     return name.strip().strip('"`')
 
 
+def _literal(text: str) -> str:
+    """text as a string of Spark SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 class Session:
     """Statements against databases of schemas of tables; every database starts with `public`."""
 
     def __init__(self, spark: SparkSession | None = None, database: str = "main"):
         self.spark = spark or new_spark()
-        self.databases: dict[str, dict[str, str]] = {}
-        self.types: dict[str, str] = {}
-        self.domains: dict[str, str] = {}
-        self.sequences: dict[str, dict[str, int]] = {}
+        self.store = TableStore(self.spark)
         self.database = database
+        self.tag: str | None = None
         self._create_database(database, True, {})
 
-    # Names
+    # Catalog
+
+    def _load(self) -> None:
+        """Read the current database's schemas, types, domains and sequences."""
+        row = self.spark.sql(f"SHOW TBLPROPERTIES {self._place('__engine')}").filter("key = 'engine.catalog'").first()
+        kept = json.loads(row["value"])
+        self.schemas, self.types, self.domains, self.sequences = (kept[k] for k in ("schemas", "types", "domains", "sequences"))
+
+    def _keep(self) -> None:
+        """Write them."""
+        kept = {"schemas": self.schemas, "types": self.types, "domains": self.domains, "sequences": self.sequences}
+        self.spark.sql(f"ALTER TABLE {self._place('__engine')} SET TBLPROPERTIES ('engine.catalog' = {_literal(json.dumps(kept))})")
+
+    def _dialect(self, take: bool = True) -> Dialect:
+        return Dialect(self.spark, self.types, lambda parts: self._place(".".join(f'"{p}"' for p in parts)) if len(parts) == 2 and parts[0] in self.schemas else None,
+                       (lambda name: str(self.nextval(name))) if take else None)
+
+    def _expr(self, text: str, source: str = "") -> str:
+        """An expression in Spark's words, over the columns of `source` (a FROM clause's content)."""
+        self.spark.catalog.setCurrentDatabase(self._space())
+        return self._dialect().expression(text, source)
 
     def _space(self, schema: str = "public") -> str:
         return f"{self.database}__{schema}"
@@ -161,6 +193,7 @@ class Session:
     def _meta(self, name: str) -> Meta:
         if not self._exists(name):
             raise CatalogError(f"table {name} does not exist")
+        self.store.recover(self._place(name), self.store.location(self._place(name)))
         rows = self.spark.sql(f"SHOW TBLPROPERTIES {self._place(name)}").filter("key = 'engine.meta'").collect()
         if rows:
             return Meta(**json.loads(rows[0]["value"]))
@@ -173,12 +206,17 @@ class Session:
     # Dispatch
 
     def sql(self, text: str) -> DataFrame | None:
-        """Run one statement; queries and RETURNING give a DataFrame, others None."""
+        """Run one statement; queries and RETURNING give a DataFrame, others None. `tag` is its command tag."""
         flat = flattened(text).rstrip(";").strip()
         for pattern, run in self._STATEMENTS:
             if m := re.match(pattern, flat, re.I):
-                return run(self, m, flat[m.end():].strip())
+                self._load()
+                out = run(self, m, flat[m.end():].strip())
+                words = re.match(r"(?:CREATE|DROP|ALTER)\s+(?:OR REPLACE |TEMP |TEMPORARY |UNLOGGED |UNIQUE |MATERIALIZED )*(\w+)|(\w+)", flat, re.I)
+                self.tag = "INSERT TABLE" if flat[:6].upper() == "INSERT" else f"{flat.split()[0].upper()} {words[1].upper()}" if words[1] else words[2].upper()
+                return out
         if re.match(r"(SELECT|WITH|VALUES|EXPLAIN|DESCRIBE|SHOW|ANALYZE)\b|\(", flat, re.I):
+            self.tag = "SELECT"
             return self.query(flat)
         raise ParseError(f"unsupported statement: {flat[:60]}")
 
@@ -188,67 +226,71 @@ class Session:
     def query(self, text: str) -> DataFrame:
         """A query in the engine's dialect."""
         self.spark.catalog.setCurrentDatabase(self._space())
+        if re.match(r"(DESCRIBE|SHOW|ANALYZE)\b", text, re.I):
+            return self.spark.sql(text)
+        if explain := re.match(r"EXPLAIN( EXTENDED| FORMATTED| COST| CODEGEN)?\s+", text, re.I):
+            return self.spark.sql(explain[0] + self._rewritten(text[explain.end():]))
         return self.spark.sql(self._rewritten(text))
 
     def _rewritten(self, text: str) -> str:
-        text = re.sub(r"\s+FOR\s+(?:NO\s+KEY\s+UPDATE|UPDATE|KEY\s+SHARE|SHARE)(?:\s+OF\s+[\w.,\s]+?)?(?:\s+NOWAIT|\s+NO\s+WAIT|\s+SKIP\s+LOCKED)?\s*$", "", text, flags=re.I)
-        if m := re.match(r"\s*SELECT\s+DISTINCT\s+ON\s*(?=\()", text, re.I):
-            keys, rest = inner(text[m.end():])
-            body, order = cut(rest, "ORDER BY") if " ORDER BY " in re.sub(r"\s+", " ", rest).upper() else (rest, None)
-            order, limit = cut(order, "LIMIT") if order else (None, None)
-            columns, source = cut(body, "FROM")
-            ranked = f"SELECT {columns}, row_number() OVER (PARTITION BY {keys} ORDER BY {order or keys}) AS __rn FROM {source}"
-            text = f"SELECT * EXCEPT (__rn) FROM ({ranked}) WHERE __rn = 1" + (f" LIMIT {limit}" if limit else "")
-        for schema in self.databases.get(self.database, {}):
-            text = unquoted_sub(rf"(?<![\w.`]){re.escape(schema)}\.(?=[A-Za-z_]|$)", f"`{self._space(schema)}`.", text)
-        return text
+        return self._dialect().query(text)
 
     # Databases and schemas
 
+    def _known(self, name: str) -> bool:
+        return self.spark.catalog.databaseExists(f"{name}__public")
+
     def _create_database(self, name: str, silent: bool, options: dict) -> None:
-        if name in self.databases:
-            if not silent:
-                raise CatalogError(f"database {name} already exists")
-            return
         if int(options.get("CONNECTION LIMIT", -1)) < -1:
             raise BindError("connection limit is below -1")
-        self.databases[name] = {"public": ""}
+        if self._known(name) and not silent:
+            raise CatalogError(f"database {name} already exists")
         self.spark.sql(f"CREATE SCHEMA IF NOT EXISTS `{name}__public`")
+        first = _literal(json.dumps({"schemas": {"public": ""}, "types": {}, "domains": {}, "sequences": {}}))
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS `{name}__public`.`__engine` (x INT) USING parquet TBLPROPERTIES ('engine.catalog' = {first})")
+        if name == self.database:
+            self._load()
 
     def _database(self, m, rest):
         options = {k.upper(): v.strip("'\"") for k, v in re.findall(r"(OWNER|ENCODING|LOCALE|TABLESPACE|CONNECTION LIMIT)\s*=?\s*('[^']*'|-?\w+)", rest, re.I)}
         self._create_database(bare(m[2]), bool(m[1]), options)
 
     def _use(self, m, rest):
-        if bare(m[1]) not in self.databases:
+        if not self._known(bare(m[1])):
             raise CatalogError(f"database {m[1]} does not exist")
         self.database = bare(m[1])
+        self._load()
 
     def _schema(self, m, rest):
         owner = re.search(rf"AUTHORIZATION\s+({_NAME})", m[2] + rest, re.I)
         name = re.match(rf"(?!AUTHORIZATION\b){_NAME}", m[2], re.I)
         name = bare(name[0] if name else owner[1])
-        if name in self.databases[self.database]:
+        if name in self.schemas:
             if m[1]:
                 return
             raise CatalogError(f"schema {name} already exists")
-        self.databases[self.database][name] = bare(owner[1]) if owner else ""
         self.spark.sql(f"CREATE SCHEMA IF NOT EXISTS `{self._space(name)}`")
+        self.schemas[name] = bare(owner[1]) if owner else ""
+        self._keep()
 
     def _drop_space(self, m, rest):
         kind, names = m[1].upper(), [bare(x) for x in split(re.sub(r"\b(CASCADE|RESTRICT)\b", "", rest, flags=re.I))]
         for name in names:
-            spaces = self.databases.get(name) if kind == "DATABASE" else ({name: ""} if name in self.databases[self.database] else None)
-            if spaces is None:
+            found = self._known(name) if kind == "DATABASE" else name in self.schemas
+            if not found:
                 if m[2]:
                     continue
                 raise CatalogError(f"{kind.lower()} {name} does not exist")
-            for s in spaces:
-                space = f"{name if kind == 'DATABASE' else self.database}__{s}"
+            spaces = [d.name for d in self.spark.catalog.listDatabases(f"{name}__*")] if kind == "DATABASE" else [self._space(name)]
+            for space in spaces:
                 if self.spark.catalog.currentDatabase().lower() == space.lower():
                     self.spark.catalog.setCurrentDatabase("default")  # no statement resolves in a dropped schema
+                root = self.store.schema_root(space)
                 self.spark.sql(f"DROP SCHEMA IF EXISTS `{space}` CASCADE")
-            self.databases.pop(name) if kind == "DATABASE" else self.databases[self.database].pop(name)
+                self.store.remove(root)
+            if kind == "SCHEMA":
+                self.schemas.pop(name)
+                self._keep()
 
     # Tables
 
@@ -260,7 +302,7 @@ class Session:
             raise CatalogError(f"table {name} already exists")
         if re.match(r"AS\b", rest, re.I):
             df = self.query(rest[2:].strip().strip("()"))
-            self._save(name, df, Meta(df.columns, [f.dataType.simpleString() for f in df.schema]))
+            self._save(name, df, Meta(df.columns, [f.dataType.simpleString() for f in df.schema]), "")
             return
         body, tail = inner(rest)
         meta = Meta([], [])
@@ -274,8 +316,7 @@ class Session:
                     continue
                 columns = [bare(x) for x in split(content)]
                 if kind == "FOREIGN KEY":
-                    ref = re.match(rf"REFERENCES {_TABLE}\s*(?:\(([^)]*)\))?", after, re.I)
-                    meta.foreign[own or f"{label}_{'_'.join(columns)}_fkey"] = [columns, ref[1], [bare(x) for x in split(ref[2] or "")] or columns]
+                    self._add_foreign(meta, columns, after, own, label)
                     continue
                 self._add_key(meta, kind, columns, own, label)
                 continue
@@ -286,7 +327,8 @@ class Session:
                     raise BindError(f"column {c} of a constraint does not exist")
         schema = ", ".join(f"`{c}` {t}" for c, t in zip(meta.columns, meta.types))
         parts = re.search(r"PARTITION BY (?:RANGE|LIST|HASH)\s*\(([^)]*)\)", tail, re.I)
-        self._save(name, self.spark.createDataFrame([], schema), meta, [bare(x) for x in split(parts[1])] if parts else [])
+        meta.cluster = [bare(x) for x in split(parts[1]) if bare(x) in meta.columns] if parts else []
+        self._save(name, self.spark.createDataFrame([], schema), meta, "")
 
     def _add_key(self, meta: Meta, kind: str, columns: list[str], own: str | None, label: str) -> None:
         primary = kind.upper() == "PRIMARY KEY"
@@ -296,6 +338,12 @@ class Session:
         if primary:
             meta.not_null += [c for c in columns if c not in meta.not_null]
 
+    def _add_foreign(self, meta: Meta, columns: list[str], after: str, own: str | None, label: str) -> None:
+        ref = re.match(rf"REFERENCES {_TABLE}\s*(?:\(([^)]*)\))?", after, re.I)
+        if not ref:
+            raise ParseError("a foreign key without REFERENCES")
+        meta.foreign[own or f"{label}_{'_'.join(columns)}_fkey"] = [columns, ref[1], [bare(x) for x in split(ref[2] or "")] or columns]
+
     def _add_column(self, meta: Meta, part: str, label: str) -> None:
         found = re.match(rf"({_NAME})\s+((?:DOUBLE PRECISION|CHARACTER VARYING|[\w.]+)(?:\s*\([\d,\s]+\))?(?:\[\])*)\s*(.*)$", part, re.I)
         if not found:
@@ -306,7 +354,7 @@ class Session:
         meta.columns.append(name)
         meta.types.append(spark_type(kind, self.types))
         if kind.lower() in self.domains:
-            meta.checks[f"{label}_{name}_domain"] = re.sub(r"\bVALUE\b", f"`{name}`", self.domains[kind.lower()], flags=re.I)
+            meta.checks[f"{label}_{name}_domain"] = "".join(f" `{name}`" if t.key == "VALUE" else f" {t.text}" for t in tokens(self.domains[kind.lower()]))
         if re.search(r"\bNOT NULL\b", rest, re.I):
             meta.not_null.append(name)
         if re.search(r"\bPRIMARY KEY\b", rest, re.I):
@@ -324,29 +372,25 @@ class Session:
         if r := re.search(rf"\bREFERENCES {_TABLE}\s*(?:\(([^)]*)\))?", rest, re.I):
             meta.foreign[f"{label}_{name}_fkey"] = [[name], r[1], [bare(r[2])] if r[2] else [name]]
 
-    def _save(self, name: str, df: DataFrame, meta: Meta, parts: list[str] | None = None) -> None:
-        """Write a new version of a table's rows and point the table at it."""
+    def _save(self, name: str, df: DataFrame, meta: Meta, old: str | None = None) -> None:
+        """Write a new version of a whole table beside the old one, point the table at it and delete the old
+        one; old = "" for a new table."""
         place = self._place(name)
-        space, label = place.replace("`", "").split(".")
-        root = self.spark.sql(f"DESCRIBE SCHEMA `{space}`").filter("info_name = 'Location'").first()["info_value"]
-        path = f"{root}/{label}-{uuid.uuid4().hex}"
-        known = self.spark.catalog.tableExists(place)
-        if known:
-            parts = [c.name for c in self.spark.catalog.listColumns(place) if c.isPartition]
-        (df.write.partitionBy(*parts) if parts else df.write).parquet(path)
-        value = json.dumps(asdict(meta)).replace("\\", "\\\\").replace("'", "\\'")
-        same = known and [f.name for f in self.spark.table(place).schema] == df.columns and not parts
-        if same:
-            self.spark.sql(f"ALTER TABLE {place} SET LOCATION '{path}'")
-            self.spark.sql(f"ALTER TABLE {place} SET TBLPROPERTIES ('engine.meta' = '{value}')")
-        else:
-            self.spark.sql(f"DROP TABLE IF EXISTS {place}")
-            schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-            by = f"PARTITIONED BY ({', '.join(parts)})" if parts else ""
-            self.spark.sql(f"CREATE TABLE {place} ({schema}) USING parquet {by} LOCATION '{path}' TBLPROPERTIES ('engine.meta' = '{value}')")
-            if parts:
-                self.spark.catalog.recoverPartitions(place)
-        self.spark.catalog.refreshTable(place)
+        old = self.store.location(place) if old is None else old
+        path = self.store.new_location(place)
+        (df.sortWithinPartitions(*meta.cluster) if meta.cluster else df).write.parquet(path)
+        self.spark.sql(f"DROP TABLE IF EXISTS {place}")
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+        self.spark.sql(f"CREATE TABLE {place} ({schema}) USING parquet LOCATION '{path}' TBLPROPERTIES ('engine.meta' = {_literal(json.dumps(asdict(meta)))})")
+        if old:
+            self.store.remove(old)
+
+    def _set_meta(self, name: str, meta: Meta) -> None:
+        self.spark.sql(f"ALTER TABLE {self._place(name)} SET TBLPROPERTIES ('engine.meta' = {_literal(json.dumps(asdict(meta)))})")
+
+    def _tables(self) -> list[str]:
+        """All tables of the database, as schema.table."""
+        return [f'{schema}."{t.name}"' for schema in self.schemas for t in self.spark.catalog.listTables(self._space(schema)) if t.tableType != "VIEW" and not t.isTemporary and t.name != "__engine"]
 
     def _drop_table(self, m, rest):
         for name in split(re.sub(r"\b(CASCADE|RESTRICT)\b", "", rest, flags=re.I)):
@@ -354,96 +398,197 @@ class Session:
                 if m[1]:
                     continue
                 raise CatalogError(f"table {name} does not exist")
+            root = self.store.location(self._place(name))
             self.spark.sql(f"DROP TABLE {self._place(name)}")
+            self.store.remove(root)
 
     def _truncate(self, m, rest):
         for name in split(re.sub(r"\b(RESTART IDENTITY|CONTINUE IDENTITY|CASCADE|RESTRICT)\b", "", rest, flags=re.I)):
-            self._save(name, self.table(name).limit(0), self._meta(name))
+            meta, df = self._meta(name), self.table(name)
+            self._check_children(name, meta, df, df.limit(0))
+            place = self._place(name)
+            folder = self.store.location(place)
+            self.store.commit(place, folder, None, self.store.names(folder))
+
+    def compact(self, name: str) -> None:
+        """Rewrite a table's files as few large ones and delete the old ones."""
+        meta, df = self._meta(name), self.table(name)
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        self._save(name, df.repartition(max(1, size // (256 << 20))), meta)
 
     def _alter(self, m, rest):
-        name, meta, df = m[1], self._meta(m[1]), self.table(m[1])
-        if a := re.match(r"ADD (?:COLUMN )?(?!CONSTRAINT)(?:IF NOT EXISTS )?(.+)$", rest, re.I):
-            self._add_column(meta, a[1], bare(name))
-            c = meta.columns[-1]
-            value = F.expr(meta.defaults[c]) if c in meta.defaults else F.lit(None)
-            df = df.withColumn(c, value.cast(meta.types[-1]))
-        elif a := re.match(rf"DROP (?:COLUMN )?(?!CONSTRAINT)(?:IF EXISTS )?({_NAME})", rest, re.I):
-            c = bare(a[1])
+        name, meta = m[1], self._meta(m[1])
+        df, label = self.table(name), bare(name.split(".")[-1])
+        if a := re.match(rf"ADD (?:CONSTRAINT ({_NAME}) )?(PRIMARY KEY|UNIQUE|CHECK|FOREIGN KEY)\s*(?=\()", rest, re.I):
+            content, after = inner(rest[a.end():])
+            own, kind = bare(a[1]) if a[1] else None, a[2].upper()
+            if kind == "CHECK":
+                meta.checks[own or f"{label}_check{len(meta.checks) + 1}"] = content
+            elif kind == "FOREIGN KEY":
+                self._add_foreign(meta, [bare(x) for x in split(content)], after, own, label)
+            else:
+                self._add_key(meta, kind, [bare(x) for x in split(content)], own, label)
+            self._validate(meta, name, df)
+            self._set_meta(name, meta)
+        elif a := re.match(r"ADD (?:COLUMN )?(IF NOT EXISTS )?(.+)$", rest, re.I):
+            if a[1] and bare(re.match(_NAME, a[2])[0]) in meta.columns:
+                return
+            before = Meta(**json.loads(json.dumps(asdict(meta))))
+            self._add_column(meta, a[2], label)
+            c, kind = meta.columns[-1], meta.types[-1]
+            value = meta.generated.get(c) or meta.defaults.get(c)
+            if value or c in meta.not_null or meta.checks != before.checks or meta.keys != before.keys:
+                df = df.withColumn(c, F.expr(self._expr(value or "NULL", self._place(name))).cast(kind))
+                self._validate(meta, name, df, columns=[c])
+                self._save(name, df, meta)
+            else:  # the files lack the column, which reads as NULL
+                self.spark.sql(f"ALTER TABLE {self._place(name)} ADD COLUMNS (`{c}` {kind})")
+                self._set_meta(name, meta)
+        elif a := re.match(rf"DROP CONSTRAINT (IF EXISTS )?({_NAME})", rest, re.I):
+            found = [g for g in (meta.keys, meta.checks, meta.foreign) if bare(a[2]) in g]
+            if not found and not a[1]:
+                raise CatalogError(f"constraint {a[2]} does not exist")
+            for group in found:
+                group.pop(bare(a[2]))
+            self._set_meta(name, meta)
+        elif a := re.match(rf"DROP (?:COLUMN )?(IF EXISTS )?({_NAME})", rest, re.I):
+            c = bare(a[2])
+            if c not in meta.columns:
+                if a[1]:
+                    return
+                raise BindError(f"column {c} does not exist")
             at = meta.columns.index(c)
             del meta.columns[at], meta.types[at]
-            meta.not_null = [x for x in meta.not_null if x != c]
+            meta.not_null, meta.identity, meta.cluster = ([x for x in own if x != c] for own in (meta.not_null, meta.identity, meta.cluster))
             meta.defaults.pop(c, None)
             meta.keys = {k: v for k, v in meta.keys.items() if c not in v}
-            df = df.drop(c)
-        elif a := re.match(rf"RENAME (?:COLUMN )?({_NAME}) TO ({_NAME})", rest, re.I):
-            old, new = bare(a[1]), bare(a[2])
-            meta = Meta(**json.loads(re.sub(rf'"{re.escape(old)}"', f'"{new}"', json.dumps(asdict(meta)))))
-            df = df.withColumnRenamed(old, new)
+            meta.foreign = {k: v for k, v in meta.foreign.items() if c not in v[0]}
+            meta.checks = {k: v for k, v in meta.checks.items() if not mentions(v, c)}
+            meta.generated = {k: v for k, v in meta.generated.items() if k != c and not mentions(v, c)}
+            self._save(name, df.drop(c), meta)
+        elif a := re.match(rf"RENAME CONSTRAINT ({_NAME}) TO ({_NAME})", rest, re.I):
+            for group in (meta.keys, meta.checks, meta.foreign):
+                if bare(a[1]) in group:
+                    group[bare(a[2])] = group.pop(bare(a[1]))
+            self._set_meta(name, meta)
         elif a := re.match(rf"RENAME TO ({_NAME})", rest, re.I):
             place = self._place(name)
             self.spark.sql(f"ALTER TABLE {place} RENAME TO {place.rsplit('.', 1)[0]}.`{bare(a[1])}`")
-            return
-        elif a := re.match(rf"ADD (?:CONSTRAINT ({_NAME}) )?(PRIMARY KEY|UNIQUE|CHECK)\s*(?=\()", rest, re.I):
-            content = inner(rest[a.end():])[0]
-            if a[2].upper() == "CHECK":
-                meta.checks[bare(a[1]) if a[1] else f"{bare(name)}_check{len(meta.checks) + 1}"] = content
+        elif a := re.match(rf"RENAME (?:COLUMN )?({_NAME}) TO ({_NAME})", rest, re.I):
+            old, new = bare(a[1]), bare(a[2])
+            if old not in meta.columns or new in meta.columns:
+                raise BindError(f"cannot rename column {old} to {new}")
+            swap = lambda names: [new if x == old else x for x in names]
+            meta.columns, meta.not_null, meta.identity, meta.cluster = swap(meta.columns), swap(meta.not_null), swap(meta.identity), swap(meta.cluster)
+            meta.keys = {k: swap(v) for k, v in meta.keys.items()}
+            meta.foreign = {k: [swap(v[0]), v[1], swap(v[2]) if v[1] == name else v[2]] for k, v in meta.foreign.items()}
+            meta.checks = {k: renamed(v, old, new) for k, v in meta.checks.items()}
+            meta.generated = {new if k == old else k: renamed(v, old, new) for k, v in meta.generated.items()}
+            meta.defaults = {new if k == old else k: v for k, v in meta.defaults.items()}
+            self._save(name, df.withColumnRenamed(old, new), meta)
+            for child, own in self._children(name):
+                for f in own.foreign.values():
+                    if self._place(f[1]) == self._place(name):
+                        f[2] = swap(f[2])
+                self._set_meta(child, own)
+        elif a := re.match(rf"SET SCHEMA ({_NAME})", rest, re.I):
+            if bare(a[1]) not in self.schemas:
+                raise CatalogError(f"schema {a[1]} does not exist")
+            old, root = self._place(name), self.store.location(self._place(name))
+            self._save(f"{a[1]}.{name.split('.')[-1]}", df, meta, "")
+            self.spark.sql(f"DROP TABLE {old}")
+            self.store.remove(root)
+        elif a := re.match(r"(OWNER TO|SET TABLESPACE|(?:NO )?INHERIT) (\S+)$|(SET|RESET)\s*(?=\()", rest, re.I):
+            if a[3]:
+                for item in split(inner(rest[a.end():])[0]):
+                    key, _, value = item.partition("=")
+                    meta.options.pop(key.strip(), None) if a[3].upper() == "RESET" else meta.options.update({key.strip(): value.strip()})
             else:
-                self._add_key(meta, a[2], [bare(x) for x in split(content)], bare(a[1]) if a[1] else None, bare(name))
-            self._validate(df.limit(0), df, meta, name)
-        elif a := re.match(rf"DROP CONSTRAINT (?:IF EXISTS )?({_NAME})", rest, re.I):
-            for group in (meta.keys, meta.checks, meta.foreign):
-                group.pop(bare(a[1]), None)
-        elif a := re.match(rf"ALTER (?:COLUMN )?({_NAME}) (SET NOT NULL|DROP NOT NULL|DROP DEFAULT|SET DEFAULT (.+)|(?:SET DATA )?TYPE (.+?)(?: USING (.+))?)$", rest, re.I):
+                meta.options[a[1].lower()] = bare(a[2])
+            self._set_meta(name, meta)
+        elif a := re.match(rf"ALTER (?:COLUMN )?({_NAME}) (SET NOT NULL|DROP NOT NULL|DROP DEFAULT|SET DEFAULT (.+)|SET (?:STATISTICS|STORAGE) \S+|(?:SET DATA )?TYPE (.+?)(?: USING (.+))?)$", rest, re.I):
             c, what = bare(a[1]), a[2].upper()
+            if c not in meta.columns:
+                raise BindError(f"column {c} does not exist")
             if what == "SET NOT NULL":
-                meta.not_null.append(c)
-                self._validate(df.limit(0), df, meta, name)
+                meta.not_null += [c] if c not in meta.not_null else []
+                self._validate(meta, name, df, columns=[])
             elif what == "DROP NOT NULL":
-                meta.not_null.remove(c)
+                meta.not_null = [x for x in meta.not_null if x != c]
             elif what == "DROP DEFAULT":
                 meta.defaults.pop(c, None)
             elif what.startswith("SET DEFAULT"):
                 meta.defaults[c] = a[3]
+            elif what.startswith(("SET STATISTICS", "SET STORAGE")):
+                meta.options[f"{c}.{what.split()[1].lower()}"] = what.split()[2]
             else:
                 kind = spark_type(a[4], self.types)
                 meta.types[meta.columns.index(c)] = kind
-                df = df.withColumn(c, F.expr(a[5] or f"`{c}`").cast(kind))
-                self._save_new(name, df, meta)
+                df = df.withColumn(c, F.expr(self._expr(a[5], self._place(name)) if a[5] else f"`{c}`").cast(kind))
+                self._validate(meta, name, df, columns=[c])
+                self._save(name, df, meta)
                 return
+            self._set_meta(name, meta)
         else:
             raise ParseError(f"unsupported ALTER TABLE action: {rest[:40]}")
-        self._save(name, df, meta)
 
-    def _save_new(self, name: str, df: DataFrame, meta: Meta) -> None:
-        self._save(f"{name}", df.select("*", F.lit(None).cast("string").alias("__")), meta)
-        self._save(name, self.table(name).drop("__"), meta)
-
-    # Rows
-
-    def _validate(self, old: DataFrame, new: DataFrame, meta: Meta, name: str) -> None:
-        """Raise if rows `new`, added to `old`, violate a constraint."""
-        for c in meta.not_null:
-            if new.filter(F.col(c).isNull()).limit(1).count():
-                raise ConstraintError(f"null value in column {c} violates not-null constraint")
-        for key, columns in meta.keys.items():
-            if duplicates(new.select(*columns), columns).limit(1).count() or new.select(*columns).dropna().join(old.select(*columns), columns, "left_semi").limit(1).count():
+    # Constraints
+
+    def _validate(self, meta: Meta, name: str, new: DataFrame, rest: DataFrame | None = None, columns: list[str] | None = None) -> None:
+        """Raise if rows `new`, beside `rest`, violate a constraint. Keys and foreign keys without any of `columns`
+        (all, if None) are left out. Conditions on single rows take one pass."""
+        tests = [(F.col(f"`{c}`").isNull(), f"null value in column {c} violates not-null constraint") for c in meta.not_null]
+        tests += [(F.expr(f"NOT ({self._expr(e, self._place(name))})"), f"row violates check constraint {k}") for k, e in meta.checks.items()]
+        touched = lambda own: columns is None or set(own) & set(columns)
+        keys = {k: own for k, own in meta.keys.items() if touched(own)}
+        bounds = {own[0]: None for own in keys.values()} if rest is not None else {}
+        if tests or bounds:
+            row = new.agg(*[F.count_if(t).alias(f"t{i}") for i, (t, _) in enumerate(tests)], *[f(f"`{c}`").alias(f"{n}{i}") for i, c in enumerate(bounds) for n, f in (("low", F.min), ("high", F.max))]).first()
+            for i, (_, what) in enumerate(tests):
+                if row[f"t{i}"]:
+                    raise ConstraintError(what)
+            bounds = {c: (row[f"low{i}"], row[f"high{i}"]) for i, c in enumerate(bounds)}
+        for key, own in keys.items():
+            again = duplicates(new.select(*own), own).limit(1).count() > 0
+            if not again and rest is not None and bounds[own[0]][0] is not None:  # only row groups within the new keys' bounds are read
+                near = rest.filter(F.col(f"`{own[0]}`").between(*(F.lit(x) for x in bounds[own[0]]))).select(*own)
+                again = new.select(*own).dropna().join(near, own, "left_semi").limit(1).count() > 0
+            if again:
                 raise ConstraintError(f"duplicate key value violates unique constraint {key}")
-        for key, condition in meta.checks.items():
-            if new.filter(f"NOT ({condition})").limit(1).count():
-                raise ConstraintError(f"row violates check constraint {key}")
-        for key, (columns, table, theirs) in meta.foreign.items():
-            parents = new.select(*columns) if table == name else self.table(table)
-            keys = parents.select(*[F.col(t).alias(c) for c, t in zip(columns, theirs)]) if table != name else self.table(name).select(*[F.col(t).alias(c) for c, t in zip(columns, theirs)]).union(new.select(*theirs))
-            if new.select(*columns).dropna().join(keys, columns, "left_anti").limit(1).count():
+        for key, (own, table, theirs) in meta.foreign.items():
+            if not touched(own):
+                continue
+            same = self._place(table) == self._place(name)
+            parents = self.table(table) if not same else new if rest is None else rest.select(*theirs).unionByName(new.select(*theirs))
+            if new.select(*own).dropna().join(parents.select(*[F.col(t).alias(c) for c, t in zip(own, theirs)]), own, "left_anti").limit(1).count():
                 raise ConstraintError(f"row violates foreign key constraint {key}")
 
+    def _children(self, name: str) -> list[tuple[str, Meta]]:
+        """Tables with foreign keys to a table."""
+        found = [(t, self._meta(t)) for t in self._tables()]
+        return [(t, own) for t, own in found if any(self._place(f[1]) == self._place(name) for f in own.foreign.values())]
+
+    def _check_children(self, name: str, meta: Meta, gone: DataFrame, left: DataFrame, columns: list[str] | None = None, own_left: DataFrame | None = None) -> None:
+        """Raise if a row of another table, or of what is left of this one, refers to a key of `gone` that `left` lacks."""
+        for child, own in self._children(name):
+            for key, (mine, table, theirs) in own.foreign.items():
+                if self._place(table) != self._place(name) or columns is not None and not set(theirs) & set(columns):
+                    continue
+                lost = gone.select(*theirs).dropna().join(left.select(*theirs), theirs, "left_anti").select(*[F.col(t).alias(c) for c, t in zip(mine, theirs)])
+                rows = left if self._place(child) == self._place(name) else self.table(child)
+                if rows.select(*mine).join(lost, mine, "left_semi").limit(1).count():
+                    raise ConstraintError(f"row is still referenced by foreign key constraint {key}")
+
+    # Rows
+
     def _insert(self, m, rest):
         name, meta = m[1], self._meta(m[1])
-        target = self.table(name)
-        columns = meta.columns
+        place = self._place(name)
+        folder, columns, target = self.store.location(place), meta.columns, self.table(name)
+        alias = bare(m[2] or name.split(".")[-1])
         if rest.startswith("("):
             given, after = inner(rest)
-            if not re.match(r"\s*(SELECT|WITH)\b", given, re.I):
+            if not re.match(r"\s*(SELECT|WITH|VALUES)\b", given, re.I):
                 columns, rest = [bare(c) for c in split(given)], after
         for c in columns:
             if c not in meta.columns:
@@ -452,6 +597,7 @@ class Session:
             raise BindError("a column is given twice")
         rest, returning = cut(rest, "RETURNING")
         rest, conflict = cut(rest, "ON CONFLICT")
+        kinds = dict(zip(meta.columns, meta.types))
         if re.match(r"DEFAULT VALUES", rest, re.I):
             columns, source = [], self.spark.range(1).select()
         elif v := re.match(r"VALUES\b", rest, re.I):
@@ -460,141 +606,275 @@ class Session:
                 values = split(inner(part)[0])
                 if len(values) != len(columns):
                     raise BindError(f"{len(values)} values for {len(columns)} columns")
-                kinds = [meta.types[meta.columns.index(c)] for c in columns]
-                rows.append("SELECT " + ", ".join(self._value(x, c, k, meta) for x, c, k in zip(values, columns, kinds)))
+                rows.append("SELECT " + ", ".join(self._value(x, c, kinds[c], meta) for x, c in zip(values, columns)))
             source = self.spark.sql(" UNION ALL ".join(rows)).toDF(*columns)
         else:
             source = self.query(rest)
             if len(source.columns) != len(columns):
                 raise BindError(f"{len(source.columns)} columns for {len(columns)}")
             source = source.toDF(*columns)
+        counted = {c: self._step(meta.defaults[c]) for c in meta.columns if c not in columns and c in meta.defaults and self._step(meta.defaults[c])}
+        numbered = bool(counted) or any(c in meta.identity for c in meta.columns if c not in columns)
+        if numbered:  # each row takes the next number
+            source = self.store.numbered(folder + "/_numbered", source)
         ready = []
-        for c, kind in zip(meta.columns, meta.types):
+        for c, kind in kinds.items():
             if c in columns:
-                ready.append(F.col(c).cast(kind).alias(c))
+                ready.append(F.col(f"`{c}`").cast(kind).alias(c))
             elif c in meta.generated:
                 continue
+            elif c in counted:
+                n = source.count()
+                s = self.sequences[counted[c]]
+                if n > 1 and not s["low"] <= s["next"] + s["step"] * (n - 1) <= s["high"]:
+                    raise ConstraintError(f"sequence {counted[c]} is at its end")
+                first = self.nextval(counted[c]) if n else 0
+                if n > 1:
+                    s = self.sequences[counted[c]]
+                    s["next"] = first + s["step"] * n
+                    self._keep()
+                ready.append((F.lit(first) + F.col("__n") * s["step"]).cast(kind).alias(c))
             elif c in meta.identity:
-                start = (target.agg(F.max(c)).first()[0] or 0) + 1
-                source = source.withColumn(c, F.lit(start) + F.monotonically_increasing_id())
-                ready.append(F.col(c).cast(kind).alias(c))
+                ready.append((F.lit((target.agg(F.max(c)).first()[0] or 0) + 1) + F.col("__n")).cast(kind).alias(c))
             else:
-                ready.append(F.expr(self._sequenced(meta.defaults[c]) if c in meta.defaults else "NULL").cast(kind).alias(c))
-        new = source.select(*ready).withColumns({c: F.expr(e) for c, e in meta.generated.items()}).select(*[F.col(c).cast(k).alias(c) for c, k in zip(meta.columns, meta.types)])
-        update = None
-        if conflict is not None:
-            what = re.match(rf"(?:\(([^)]*)\)|ON CONSTRAINT ({_NAME}))?\s*DO (NOTHING|UPDATE SET (.+))$", conflict, re.I)
-            if not what:
-                raise ParseError(f"bad ON CONFLICT: {conflict[:40]}")
-            keys = [bare(x) for x in split(what[1])] if what[1] else meta.keys[bare(what[2])] if what[2] else next(iter(meta.keys.values()))
-            sets, where = cut(what[4] or "", "WHERE")
-            if what[3].upper() != "NOTHING":
-                if duplicates(new, keys).limit(1).count():
-                    raise ConstraintError("ON CONFLICT would change a row twice")
-                update = {}
-                for item in split(sets):
-                    c, e = (x.strip() for x in item.split("=", 1))
-                    value = F.expr(self._row_names(e, bare(name)))
-                    update[bare(c)] = F.when(F.expr(self._row_names(where, bare(name))), value).otherwise(F.col(f"t.{bare(c)}")) if where else value
-            else:
-                new = new.dropDuplicates(keys)
-            merged = upsert(target, new, keys, update)
-            self._validate(target.limit(0), merged, meta, name)
-            fresh = new.join(target.select(*keys), keys, "left_anti").select(*meta.columns) if update is None else new
+                ready.append(F.expr(self._expr(meta.defaults.get(c, "NULL"))).cast(kind).alias(c))
+        new = source.select(*ready)
+        if meta.generated:
+            base = self._view_of(new)
+            new = new.withColumns({c: F.expr(self._expr(e, base)).cast(kinds[c]) for c, e in meta.generated.items()})
+            self.spark.catalog.dropTempView(base)
+        new = new.select(*[F.col(f"`{c}`").cast(k).alias(c) for c, k in kinds.items()])
+        try:
+            if conflict is not None:
+                return self._insert_or(name, meta, target, new, conflict, alias, returning)
+            key, staged = self.store.stage(folder, new, meta.cluster)
+            try:
+                self._validate(meta, name, staged, target)
+                out = self._returned(staged, returning)
+            except Exception:
+                self.store.discard(folder, key)
+                raise
+            self.store.commit(place, folder, key)
+            return out
+        finally:
+            self.store.remove(folder + "/_numbered")
+
+    def _view_of(self, df: DataFrame) -> str:
+        """A temporary view for the dialect to look types up in."""
+        view = f"__view_{uuid.uuid4().hex}"
+        df.createOrReplaceTempView(view)
+        return view
+
+    def _insert_or(self, name: str, meta: Meta, target: DataFrame, new: DataFrame, conflict: str, alias: str, returning: str | None) -> DataFrame | None:
+        """INSERT ... ON CONFLICT. Rows with a NULL in the key conflict with nothing."""
+        what = re.match(rf"(?:\(([^)]*)\)|ON CONSTRAINT ({_NAME}))?\s*DO (NOTHING|UPDATE SET (.+))$", conflict, re.I | re.S)
+        if not what:
+            raise ParseError(f"bad ON CONFLICT: {conflict[:40]}")
+        place = self._place(name)
+        folder = self.store.location(place)
+        if what[2] and bare(what[2]) not in meta.keys:
+            raise CatalogError(f"constraint {what[2]} does not exist")
+        keys = [[bare(x) for x in split(what[1])]] if what[1] else [meta.keys[bare(what[2])]] if what[2] else list(meta.keys.values())
+        if what[1] and sorted(keys[0]) not in [sorted(k) for k in meta.keys.values()]:
+            raise BindError("there is no unique constraint for the columns of ON CONFLICT")
+        if what[3].upper() == "NOTHING":
+            rows = self.store.numbered(folder + "/_numbered", new)
+            for key in keys:
+                rows = rows.join(target.select(*key), key, "left_anti") if key else rows
+            fresh = self._first_of_each(rows, keys, folder + "/_numbered").select(*meta.columns)
+            staged_key, staged = self.store.stage(folder, fresh, meta.cluster)
+            try:
+                self._validate(meta, name, staged, target)
+                out = self._returned(staged, returning)
+            except Exception:
+                self.store.discard(folder, staged_key)
+                raise
+            self.store.commit(place, folder, staged_key)
+            return out
+        if not what[1] and not what[2]:
+            raise BindError("ON CONFLICT DO UPDATE needs a key")
+        own = keys[0]
+        if duplicates(new.select(*own), own).limit(1).count():
+            raise ConstraintError("ON CONFLICT would change a row twice")
+        sets_text, where = cut(what[4], "WHERE")
+        sets = self._assignments(sets_text, meta)
+        # The target's columns are plain and qualified names, the new row's fields of `excluded`: nothing is renamed.
+        excluded = new.select(F.struct(*[F.col(f"`{c}`") for c in meta.columns]).alias("excluded"))
+        on = lambda rows: [F.col(f"{alias}.`{c}`") == F.col(f"excluded.`{c}`") for c in own]
+        kinds = dict(zip(meta.columns, meta.types))
+        scope = self._view_of(target.alias(alias).crossJoin(excluded.limit(0)).select(f"{alias}.*", "excluded"))
+        values = {c: F.expr(self._expr(e, f"{scope} AS {alias}")).cast(kinds[c]) for c, e in sets.items()}
+        wanted = F.coalesce(F.expr(self._expr(where, f"{scope} AS {alias}")), F.lit(False)) if where else F.lit(True)
+        self.spark.catalog.dropTempView(scope)
+        placed = self.store.placed(target)
+        met = lambda rows: rows.alias(alias).join(excluded, on(rows), "left")
+        touched = sorted(r["__file"] for r in placed.alias(alias).join(excluded, on(placed), "inner").filter(wanted).select("__file").distinct().collect())
+        rest = placed.filter(~F.col("__file").isin(touched)).select(*meta.columns) if touched else target
+        fresh = new.join(target.select(*own), own, "left_anti").select(*meta.columns)
+        if touched:
+            rows = met(self.store.read(target, touched))
+            hit = F.col("excluded").isNotNull() & wanted
+            changed = rows.filter(hit).select(*[values.get(c, F.col(f"{alias}.`{c}`")).alias(c) for c in meta.columns])
+            changed = self._generated(changed, meta)
+            kept = rows.filter(~F.coalesce(hit, F.lit(False))).select(*[F.col(f"{alias}.`{c}`") for c in meta.columns])
+            written = kept.unionByName(changed).unionByName(fresh)
+            added, beside = changed.unionByName(fresh), rest.unionByName(kept)
+            before = rows.filter(hit).select(*[F.col(f"{alias}.`{c}`") for c in meta.columns])
         else:
-            self._validate(target, new, meta, name)
-            merged, fresh = target.unionByName(new), new
-        out = self._returned(fresh, returning)
-        self._save(name, merged, meta)
+            written, added, beside, before = fresh, fresh, rest, target.limit(0)
+        staged_key, _ = self.store.stage(folder, written, meta.cluster)
+        try:
+            self._validate(meta, name, added, beside)
+            if touched:
+                self._check_children(name, meta, before, beside.unionByName(added), list(sets))
+            out = self._returned(added, returning)
+        except Exception:
+            self.store.discard(folder, staged_key)
+            raise
+        self.store.commit(place, folder, staged_key, [f.rsplit("/", 1)[1] for f in touched])
         return out
 
+    def _first_of_each(self, rows: DataFrame, keys: list[list[str]], folder: str) -> DataFrame:
+        """Rows (with `__n`) that are inserted one after the other where none inserted before has an equal key: in each
+        round those that come first under all their keys are in, and what meets one of them is out."""
+        if not keys:
+            return rows
+        done = None
+        while True:
+            ahead = rows
+            for i, key in enumerate(keys):
+                least = rows.dropna(subset=key).groupBy(*key).agg(F.min("__n").alias(f"__least{i}"))
+                ahead = ahead.join(least, key, "left")
+            ahead = ahead.filter(" AND ".join(f"coalesce(__least{i}, __n) = __n" for i in range(len(keys)))).select(*rows.columns)
+            ahead = self._kept(ahead, "_first", folder)
+            done = ahead if done is None else done.unionByName(ahead)
+            if len(keys) == 1:
+                return done
+            for key in keys:
+                rows = rows.join(ahead.select(*key), key, "left_anti")
+            rows = self._kept(rows.join(ahead.select("__n"), "__n", "left_anti"), "_left", folder)
+            if not rows.limit(1).count():
+                return done
+
+    def _generated(self, rows: DataFrame, meta: Meta) -> DataFrame:
+        """rows with their generated columns computed anew."""
+        if not meta.generated:
+            return rows
+        view = self._view_of(rows)
+        made = {c: F.expr(self._expr(e, view)).cast(meta.types[meta.columns.index(c)]) for c, e in meta.generated.items()}
+        self.spark.catalog.dropTempView(view)
+        return rows.withColumns(made)
+
+    def _assignments(self, text: str, meta: Meta) -> dict[str, str]:
+        """column -> expression of a SET list."""
+        sets = {}
+        for item in split(text):
+            c, eq, e = item.partition("=")
+            c = bare(c.strip().split(".")[-1])
+            if not eq or c not in meta.columns:
+                raise BindError(f"column {c} does not exist")
+            if c in meta.generated:
+                raise BindError(f"column {c} is generated")
+            sets[c] = meta.defaults.get(c, "NULL") if e.strip().upper() == "DEFAULT" else e.strip()
+        return sets
+
     def _returned(self, rows: DataFrame, returning: str | None) -> DataFrame | None:
         """The rows that RETURNING gives, written before the table moves on: they may be as many as the table's."""
-        return None if returning is None else self._kept(rows.selectExpr(*split(returning)), "returned")
+        if returning is None:
+            return None
+        view = self._view_of(rows)
+        out = self.spark.sql(f"SELECT {self._expr(returning, view)} FROM {view}")
+        out = self._kept(out, "returned")
+        self.spark.catalog.dropTempView(view)
+        return out
 
-    def _kept(self, rows: DataFrame, label: str) -> DataFrame:
+    def _kept(self, rows: DataFrame, label: str, folder: str | None = None) -> DataFrame:
         """rows, written beside the tables of `public` and read back, so that later reads see the same."""
-        root = self.spark.sql(f"DESCRIBE SCHEMA `{self._space()}`").filter("info_name = 'Location'").first()["info_value"]
-        path = f"{root}/{label}-{uuid.uuid4().hex}"
+        path = f"{folder or self.store.schema_root(self._space())}/{label}-{uuid.uuid4().hex}"
         rows.write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
     def _value(self, text: str, column: str, kind: str, meta: Meta) -> str:
         if text.upper() == "DEFAULT":
-            return f"CAST({self._sequenced(meta.defaults.get(column, 'NULL'))} AS {kind})"
+            return f"CAST({self._expr(meta.defaults.get(column, 'NULL'))} AS {kind})"
         quoted, number = re.fullmatch(r"'(?:[^']|'')*'", text, re.S), re.fullmatch(r"-?\d+(\.\d+)?([eE][+-]?\d+)?", text)
         family = "text" if kind == "string" else "bool" if kind == "boolean" else "int" if kind in ("smallint", "bigint") else "float" if kind in ("float", "double") else "other"
         wrong = (quoted and family in ("int", "float", "bool")) or (number and (family in ("text", "bool") or family == "int" and (number[1] or number[2]))) or (re.fullmatch(r"(?i)true|false", text) and family in ("int", "float", "text"))
         if wrong:
             raise BindError(f"value {text} does not fit column {column} of type {kind}")
-        whole = re.fullmatch(r"(-?\d+)\s*/\s*(-?\d+)", text)
-        return f"CAST({f'{whole[1]} DIV {whole[2]}' if whole else self._sequenced(text)} AS {kind})"
-
-    def _row_names(self, text: str, table: str) -> str:
-        text = re.sub(r"\bexcluded\.", "s.", text, flags=re.I)
-        text = re.sub(rf"\b{re.escape(table)}\.", "t.", text)
-        return re.sub(r"(?<![\w.'])([A-Za-z_]\w*)(?![\w('.])", lambda x: x[1] if x[1].lower() in ("and", "or", "not", "null", "is", "case", "when", "then", "else", "end", "true", "false", "s", "t", "in", "like", "between") else f"t.{x[1]}", text)
+        return f"CAST({self._expr(text)} AS {kind})"
 
     def _update(self, m, rest):
         name, meta = m[1], self._meta(m[1])
         rest, returning = cut(rest, "RETURNING")
         rest, where = cut(rest, "WHERE")
         rest, source = cut(rest, "FROM")
-        sets = {bare(k): v.strip() for k, v in (x.split("=", 1) for x in split(rest))}
-        if bad := [c for c in sets if c not in meta.columns]:
-            raise BindError(f"column {bad[0]} does not exist")
-        sets = {c: meta.defaults.get(c, "NULL") if e.upper() == "DEFAULT" else e for c, e in sets.items()}
-        sets = {c: self._sequenced(e) for c, e in sets.items()}
-        kinds = dict(zip(meta.columns, meta.types))
+        sets, kinds = self._assignments(rest, meta), dict(zip(meta.columns, meta.types))
+        alias, target = bare(m[2] or name.split(".")[-1]), self.table(name)
         if source or self._nested(where, *sets.values()):
-            rows, found = self._matches(m, source, where, {c: f"CAST({e} AS {kinds[c]})" for c, e in sets.items()})
-            df, value = rows.join(found, "__row", "left"), {c: F.col(f"__new.{c}") for c in sets}
-            hit = F.col("__new").isNotNull()
+            found, hit, value = self._matches(name, alias, source, where, {c: f"CAST(({e}) AS {kinds[c]})" for c, e in sets.items()}), F.col("__new").isNotNull(), {c: F.col(f"__new.`{c}`") for c in sets}
         else:
-            df, value = self.table(name).alias(bare(m[2] or name.split(".")[-1])), {c: F.expr(e) for c, e in sets.items()}
-            hit = F.coalesce(F.expr(where), F.lit(False)) if where else F.lit(True)
-        new = df.select(*[(F.when(hit, value[c]).otherwise(F.col(c)) if c in sets else F.col(c)).cast(k).alias(c) for c, k in kinds.items()], hit.alias("__hit"))
-        new = new.withColumns({c: F.expr(e).cast(kinds[c]) for c, e in meta.generated.items()})
-        self._validate(new.drop("__hit").limit(0), new.drop("__hit"), meta, name)
-        out = self._returned(new.filter("__hit").drop("__hit"), returning)
-        self._save(name, new.drop("__hit"), meta)
-        return out
+            scope = f"{self._place(name)} AS {alias}"
+            found, value = None, {c: F.expr(self._expr(e, scope)) for c, e in sets.items()}
+            hit = F.coalesce(F.expr(self._expr(where, scope)), F.lit(False)) if where else F.lit(True)
+        change = lambda rows: self._generated(rows.select(*[value.get(c, F.col(f"{alias}.`{c}`")).cast(k).alias(c) for c, k in kinds.items()]), meta)
+        return self._exchange(name, meta, target, alias, found, hit, change, list(sets) + list(meta.generated), returning)
 
     def _delete(self, m, rest):
         name, meta = m[1], self._meta(m[1])
         rest, returning = cut(rest, "RETURNING")
         rest, where = cut(rest, "WHERE")
         source = cut(rest, "USING")[1]
+        alias, target = bare(m[2] or name.split(".")[-1]), self.table(name)
         if source or self._nested(where):
-            rows, found = self._matches(m, source, where, {})
-            gone, left = (rows.join(found, "__row", how).drop("__row") for how in ("left_semi", "left_anti"))
+            found, hit = self._matches(name, alias, source, where, {}), F.col("__new").isNotNull()
         else:
-            df = self.table(name).alias(bare(m[2] or name.split(".")[-1]))
-            hit = F.coalesce(F.expr(where), F.lit(False)) if where else F.lit(True)
-            gone, left = df.filter(hit), df.filter(~hit)
-        out = self._returned(gone.select(*meta.columns), returning)
-        self._save(name, left.select(*meta.columns), meta)
-        return out
+            found, hit = None, F.coalesce(F.expr(self._expr(where, f"{self._place(name)} AS {alias}")), F.lit(False)) if where else F.lit(True)
+        return self._exchange(name, meta, target, alias, found, hit, None, None, returning)
+
+    def _exchange(self, name: str, meta: Meta, target: DataFrame, alias: str, found: DataFrame | None, hit, change, columns: list[str] | None, returning: str | None) -> DataFrame | None:
+        """Change (or, without `change`, delete) the rows that are hit; only files that hold such rows are rewritten."""
+        place = self._place(name)
+        folder = self.store.location(place)
+        plain = [F.col(f"{alias}.`{c}`").alias(c) for c in meta.columns]
+        placed = lambda rows: rows.alias(alias) if found is None else rows.alias(alias).join(found, ["__file", "__row"], "left")
+        every = placed(self.store.placed(target))
+        touched = sorted(r["__file"] for r in (every.filter(hit).select("__file") if found is None else found.select("__file")).distinct().collect())
+        if touched:
+            rows = placed(self.store.read(target, touched))
+            others = self.store.placed(target).filter(~F.col("__file").isin(touched)).select(*meta.columns)
+            kept = rows.filter(~hit).select(*plain)
+            before = rows.filter(hit)
+            changed = change(before) if change else None
+            left = others.unionByName(kept)
+            key, _ = self.store.stage(folder, kept if changed is None else kept.unionByName(changed), meta.cluster)
+            try:
+                if changed is not None:
+                    self._validate(meta, name, changed, left, columns)
+                self._check_children(name, meta, before.select(*plain), left if changed is None else left.unionByName(changed), columns)
+                out = self._returned(before.select(*plain) if changed is None else changed, returning)
+            except Exception:
+                self.store.discard(folder, key)
+                raise
+            self.store.commit(place, folder, key, [f.rsplit("/", 1)[1] for f in touched])
+            return out
+        return self._returned(target.limit(0), returning)
 
     @staticmethod
     def _nested(*texts: str | None) -> bool:
         """Whether an expression holds a subquery."""
         return any(t and re.search(r"\(\s*(SELECT|WITH)\b", t, re.I) for t in texts)
 
-    def _matches(self, m, source: str | None, where: str | None, sets: dict[str, str]) -> tuple[DataFrame, DataFrame]:
-        """The target's rows with a number `__row`, and for each row that joins `source` under `where` its
-        number and new values `__new`. A row that joins more than once takes the least of its new values, so
-        that reruns agree. RETURNING sees the target's columns only."""
-        numbered = self._kept(self.table(m[1]).withColumn("__row", F.monotonically_increasing_id()), "numbered")
-        view = f"__numbered_{uuid.uuid4().hex}"
-        numbered.createOrReplaceTempView(view)
-        alias = bare(m[2] or m[1].split(".")[-1])
+    def _matches(self, name: str, alias: str, source: str | None, where: str | None, sets: dict[str, str]) -> DataFrame:
+        """For each row of the target that joins `source` under `where` its file, row and new values `__new`. A row
+        that joins more than once takes the least of its new values, so that reruns agree."""
+        view = self._view_of(self.store.placed(self.table(name)))
         values = ", ".join(f"{e} AS `{c}`" for c, e in sets.items()) or "true AS `__any`"
         try:
-            found = self.query(f"SELECT `{alias}`.`__row` AS `__row`, struct({values}) AS `__new` FROM {view} AS `{alias}`{', ' + source if source else ''}{' WHERE ' + where if where else ''}")
+            found = self.query(f"SELECT {alias}.__file AS __file, {alias}.__row AS __row, struct({values}) AS __new FROM {view} AS {alias}{', ' + source if source else ''}{' WHERE ' + where if where else ''}")
+            return self._kept(found.groupBy("__file", "__row").agg(F.min("__new").alias("__new")), "_matches", self.store.location(self._place(name)) + "/_scratch")
         finally:
             self.spark.catalog.dropTempView(view)
-        return numbered, found.groupBy("__row").agg(F.min("__new").alias("__new"))
 
     # Other objects
 
@@ -618,8 +898,20 @@ class Session:
         step = of(r"INCREMENT(?: BY)?", 1)
         start = of(r"START(?: WITH)?", of("MINVALUE", 1) if step > 0 else of("MAXVALUE", -1))
         self.sequences[bare(m[2])] = {"next": start, "step": step, "low": of("MINVALUE", 1 if step > 0 else -(1 << 63)), "high": of("MAXVALUE", (1 << 63) - 1 if step > 0 else -1), "cycle": int(bool(re.search(r"(?<!NO )\bCYCLE\b", rest, re.I)))}
+        self._keep()
+
+    def _drop_sequence(self, m, rest):
+        for name in (bare(x) for x in split(re.sub(r"\b(CASCADE|RESTRICT)\b", "", rest, flags=re.I))):
+            if name not in self.sequences and not m[1]:
+                raise CatalogError(f"sequence {name} does not exist")
+            self.sequences.pop(name, None)
+        self._keep()
 
     def nextval(self, name: str) -> int:
+        """The next number of a sequence, which is kept before it is used."""
+        self._load()
+        if name not in self.sequences:
+            raise CatalogError(f"sequence {name} does not exist")
         s = self.sequences[name]
         value = s["next"]
         if not s["low"] <= value <= s["high"]:
@@ -627,11 +919,14 @@ class Session:
                 raise ConstraintError(f"sequence {name} is at its end")
             value = s["low"] if s["step"] > 0 else s["high"]
         s["next"] = value + s["step"]
+        self._keep()
         return value
 
-    def _sequenced(self, text: str) -> str:
-        """text with each nextval('s') as a number and now() as text of the UTC time."""
-        return re.sub(r"nextval\(\s*'(\w+)'\s*\)", lambda x: str(self.nextval(x[1])), text, flags=re.I)
+    @staticmethod
+    def _step(default: str) -> str | None:
+        """The sequence of a default that is one's nextval."""
+        found = re.fullmatch(r"\s*nextval\(\s*'(\w+)'\s*\)\s*", default, re.I)
+        return found[1] if found else None
 
     def _type(self, m, rest):
         name = bare(m[1]).lower()
@@ -641,6 +936,7 @@ class Session:
         else:
             fields = [re.match(rf"({_NAME})\s+(.+)$", x) for x in split(inner(rest)[0])]
             self.types[name] = "struct<" + ",".join(f"{bare(x[1])}:{spark_type(x[2], self.types)}" for x in fields) + ">"
+        self._keep()
 
     def _domain(self, m, rest):
         name = bare(m[1]).lower()
@@ -648,17 +944,24 @@ class Session:
         checks = [inner(rest[c.end():])[0] for c in re.finditer(r"CHECK\s*(?=\()", rest, re.I)] + (["VALUE IS NOT NULL"] if re.search(r"NOT NULL", rest, re.I) else [])
         if checks:
             self.domains[name] = " AND ".join(f"({c})" for c in checks)
+        self._keep()
 
     def _function(self, m, rest):
         """SQL functions, scalar or RETURNS TABLE, by Spark's own temporary functions."""
-        body = re.search(r"\bAS\s+(?:'((?:[^']|'')*)'|\$\$(.*?)\$\$)|\bRETURN\b(.+)$", rest, re.I)
+        body = re.search(r"\bAS\s+(?:'((?:[^']|'')*)'|\$\w*\$(.*?)\$\w*\$)|\bRETURN\b(.+)$", rest, re.I | re.S)
+        if (language := re.search(r"\bLANGUAGE\s+(\w+)", rest, re.I)) and language[1].upper() != "SQL":
+            raise ParseError(f"functions of language {language[1]} are not supported")
         head = re.match(r"(\(.*?\))\s*RETURNS\s+(TABLE\s*\([^)]*\)|\w+(?:\s*\([\d, ]+\))?)", rest, re.I)
         if not body or not head:
             raise ParseError("only SQL functions with a body are supported")
         code = (body[1] or body[2] or body[3]).strip().rstrip(";")
         returns = head[2] if head[2].upper().startswith("TABLE") else spark_type(head[2], self.types)
         typed = lambda text: re.sub(rf"({_NAME})\s+(\w+)(?=\s*[,)])", lambda x: f"{x[1]} {spark_type(x[2], self.types)}", text)
-        code = self._rewritten(code) if head[2].upper().startswith("TABLE") else re.sub(r"^SELECT\s+", "", code, flags=re.I)
+        table = head[2].upper().startswith("TABLE")
+        code = self._rewritten(code) if table else self._expr(re.sub(r"^SELECT\s+", "", code.replace("''", "'") if body[1] else code, flags=re.I))
+        if not table and re.search(r"\bSTRICT\b|\bRETURNS NULL ON NULL INPUT\b", rest, re.I):
+            names = [re.match(_NAME, x)[0] for x in split(inner(head[1])[0])]
+            code = f"CASE WHEN {' OR '.join(f'{n} IS NULL' for n in names)} THEN NULL ELSE {code} END"
         self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {m[1]}{typed(head[1])} RETURNS {typed(returns) if '(' in returns and returns.upper().startswith('TABLE') else returns} RETURN {code}")
 
     def _index(self, m, rest):
@@ -667,8 +970,8 @@ class Session:
         if m[1]:
             meta = self._meta(table)
             meta.keys[bare(m[2]) if m[2] else f"{bare(table)}_{'_'.join(columns)}_idx"] = columns
-            self._validate(self.table(table).limit(0), self.table(table), meta, table)
-            self._save(table, self.table(table), meta)
+            self._validate(meta, table, self.table(table), columns=columns)
+            self._set_meta(table, meta)
         elif not self._exists(table):
             raise CatalogError(f"table {table} does not exist")
 
@@ -685,12 +988,13 @@ class Session:
         (r"DROP (?:TEMP(?:ORARY)? )?TABLE (IF EXISTS )?", _drop_table),
         (r"TRUNCATE TABLE ()", _truncate),
         (rf"ALTER TABLE (?:IF EXISTS )?{_TABLE} ", _alter),
-        (rf"INSERT INTO {_TABLE}\s*(?:AS {_NAME}\s*)?", _insert),
+        (rf"INSERT INTO {_TABLE}\s*(?:AS ({_NAME})\s*)?", _insert),
         (rf"UPDATE {_TABLE}(?: (?:AS )?((?!SET\b){_NAME}))? SET ", _update),
         (rf"DELETE FROM {_TABLE}(?: (?:AS )?((?!(?:USING|WHERE|RETURNING)\b){_NAME}))?\s*", _delete),
         (rf"CREATE ((?:OR REPLACE )?(?:TEMP(?:ORARY)? )?)(?:MATERIALIZED )?VIEW {_TABLE}\s*(?:\(([^)]*)\))?\s*(?:WITH \([^)]*\) )?AS ", _view),
         (r"DROP VIEW (IF EXISTS )?", _drop_view),
         (rf"CREATE SEQUENCE (IF NOT EXISTS )?({_NAME})", _sequence),
+        (r"DROP SEQUENCE (IF EXISTS )?", _drop_sequence),
         (rf"CREATE TYPE ({_NAME}) AS (ENUM\s*|)(?=\()", _type),
         (rf"CREATE DOMAIN ({_NAME}) AS (\w+(?:\s*\([\d, ]+\))?)", _domain),
         (rf"CREATE (?:OR REPLACE )?FUNCTION ({_NAME})\s*(?=\()", _function),

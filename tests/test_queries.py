@@ -37,14 +37,14 @@ def test_against_oracle(spark, duck, name):
     assert rows == Counter(tuple(plain(r[i]) for i in at) for r in want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["upsert_whole", "insert_select_whole"])
+@pytest.mark.parametrize("name", ["upsert", "insert_select"])
 def test_every_customer_takes_part(spark, duck, name):
     ids = {r[0] for r in duck.sql("SELECT c_custkey FROM customer").fetchall()}
     rows = [r.c_custkey for r in QUERIES[name](spark, SF).collect()]
-    assert set(rows) == ids and len(rows) == len(ids) + (name == "insert_select_whole") * duck.sql("SELECT * FROM customer WHERE c_mktsegment = 'BUILDING'").shape[0]
+    assert set(rows) == ids and len(rows) == len(ids) + (name == "insert_select") * duck.sql("SELECT * FROM customer WHERE c_mktsegment = 'BUILDING'").shape[0]
 
 
 def test_null_tests_return_the_whole_join(spark, duck):
-    rows = QUERIES["null_tests_whole"](spark, SF).collect()
+    rows = QUERIES["null_tests"](spark, SF).collect()
     assert Counter(r.o_orderkey for r in rows) == Counter(dict(duck.sql("SELECT o_orderkey, greatest(count(l_orderkey), 1) FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL").fetchall()))
     assert any(r.missing and r.line == -1 for r in rows) and not any(r.missing != (r.line == -1) for r in rows)
