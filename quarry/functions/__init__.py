@@ -27,13 +27,3 @@ def to_text(a: Column, kind: T.DataType) -> Column:
 def trunc_int(a: Column) -> Column:
     """Integer part of a float, cut towards zero."""
     return a.cast("bigint")
-
-
-def now_text() -> Column:
-    """The UTC time as `YYYY-MM-DD HH:MM:SS`."""
-    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd HH:mm:ss")
-
-
-def order_by(column: Column, descending: bool = False) -> Column:
-    """Sort key with nulls last ascending and first descending."""
-    return column.desc_nulls_first() if descending else column.asc_nulls_last()

@@ -18,7 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .dialect import Dialect, tokens
-from .errors import BindError, CatalogError, ConstraintError, ParseError
+from .errors import (
+    BindError, CatalogError, ConstraintError, ParseError,
+    DatabaseAlreadyExists, DatabaseNotFound, SchemaAlreadyExists, SchemaNotFound, TableAlreadyExists, TableNotFound, ObjectNotFound, InvalidConnectionLimit, DuplicateColumn, ColumnNotFound, MultiplePrimaryKeys, ArityMismatch, TypeMismatch, NotNullViolation, UniqueViolation, CheckViolation, ForeignKeyViolation,
+)
 from .operators import duplicates
 from .tablestore import TableStore
 from .types import spark_type
@@ -192,7 +195,7 @@ class Session:
 
     def _meta(self, name: str) -> Meta:
         if not self._exists(name):
-            raise CatalogError(f"table {name} does not exist")
+            raise TableNotFound(f"table {name} does not exist")
         self.store.recover(self._place(name), self.store.location(self._place(name)))
         rows = self.spark.sql(f"SHOW TBLPROPERTIES {self._place(name)}").filter("key = 'engine.meta'").collect()
         if rows:
@@ -242,9 +245,9 @@ class Session:
 
     def _create_database(self, name: str, silent: bool, options: dict) -> None:
         if int(options.get("CONNECTION LIMIT", -1)) < -1:
-            raise BindError("connection limit is below -1")
+            raise InvalidConnectionLimit("connection limit is below -1")
         if self._known(name) and not silent:
-            raise CatalogError(f"database {name} already exists")
+            raise DatabaseAlreadyExists(f"database {name} already exists")
         self.spark.sql(f"CREATE SCHEMA IF NOT EXISTS `{name}__public`")
         first = _literal(json.dumps({"schemas": {"public": ""}, "types": {}, "domains": {}, "sequences": {}}))
         self.spark.sql(f"CREATE TABLE IF NOT EXISTS `{name}__public`.`__engine` (x INT) USING parquet TBLPROPERTIES ('engine.catalog' = {first})")
@@ -257,7 +260,7 @@ class Session:
 
     def _use(self, m, rest):
         if not self._known(bare(m[1])):
-            raise CatalogError(f"database {m[1]} does not exist")
+            raise DatabaseNotFound(f"database {m[1]} does not exist")
         self.database = bare(m[1])
         self._load()
 
@@ -268,7 +271,7 @@ class Session:
         if name in self.schemas:
             if m[1]:
                 return
-            raise CatalogError(f"schema {name} already exists")
+            raise SchemaAlreadyExists(f"schema {name} already exists")
         self.spark.sql(f"CREATE SCHEMA IF NOT EXISTS `{self._space(name)}`")
         self.schemas[name] = bare(owner[1]) if owner else ""
         self._keep()
@@ -280,7 +283,7 @@ class Session:
             if not found:
                 if m[2]:
                     continue
-                raise CatalogError(f"{kind.lower()} {name} does not exist")
+                raise (DatabaseNotFound if kind == "DATABASE" else SchemaNotFound)(f"{kind.lower()} {name} does not exist")
             spaces = [d.name for d in self.spark.catalog.listDatabases(f"{name}__*")] if kind == "DATABASE" else [self._space(name)]
             for space in spaces:
                 if self.spark.catalog.currentDatabase().lower() == space.lower():
@@ -299,7 +302,7 @@ class Session:
         if self._exists(name):
             if silent:
                 return
-            raise CatalogError(f"table {name} already exists")
+            raise TableAlreadyExists(f"table {name} already exists")
         if re.match(r"AS\b", rest, re.I):
             df = self.query(rest[2:].strip().strip("()"))
             self._save(name, df, Meta(df.columns, [f.dataType.simpleString() for f in df.schema]), "")
@@ -324,7 +327,7 @@ class Session:
         for columns in [*meta.keys.values(), *(f[0] for f in meta.foreign.values())]:
             for c in columns:
                 if c not in meta.columns:
-                    raise BindError(f"column {c} of a constraint does not exist")
+                    raise ColumnNotFound(f"column {c} of a constraint does not exist")
         schema = ", ".join(f"`{c}` {t}" for c, t in zip(meta.columns, meta.types))
         parts = re.search(r"PARTITION BY (?:RANGE|LIST|HASH)\s*\(([^)]*)\)", tail, re.I)
         meta.cluster = [bare(x) for x in split(parts[1]) if bare(x) in meta.columns] if parts else []
@@ -333,7 +336,7 @@ class Session:
     def _add_key(self, meta: Meta, kind: str, columns: list[str], own: str | None, label: str) -> None:
         primary = kind.upper() == "PRIMARY KEY"
         if primary and any(k.endswith("_pkey") for k in meta.keys):
-            raise BindError("more than one primary key")
+            raise MultiplePrimaryKeys("more than one primary key")
         meta.keys[own + ("_pkey" if primary and not own.endswith("_pkey") else "") if own else f"{label}_pkey" if primary else f"{label}_{'_'.join(columns)}_key"] = columns
         if primary:
             meta.not_null += [c for c in columns if c not in meta.not_null]
@@ -350,7 +353,7 @@ class Session:
             raise ParseError(f"bad column: {part}")
         name, kind, rest = bare(found[1]), found[2], found[3]
         if name in meta.columns:
-            raise BindError(f"column {name} is given twice")
+            raise DuplicateColumn(f"column {name} is given twice")
         meta.columns.append(name)
         meta.types.append(spark_type(kind, self.types))
         if kind.lower() in self.domains:
@@ -397,7 +400,7 @@ class Session:
             if not self._exists(name):
                 if m[1]:
                     continue
-                raise CatalogError(f"table {name} does not exist")
+                raise TableNotFound(f"table {name} does not exist")
             root = self.store.location(self._place(name))
             self.spark.sql(f"DROP TABLE {self._place(name)}")
             self.store.remove(root)
@@ -447,7 +450,7 @@ class Session:
         elif a := re.match(rf"DROP CONSTRAINT (IF EXISTS )?({_NAME})", rest, re.I):
             found = [g for g in (meta.keys, meta.checks, meta.foreign) if bare(a[2]) in g]
             if not found and not a[1]:
-                raise CatalogError(f"constraint {a[2]} does not exist")
+                raise ObjectNotFound(f"constraint {a[2]} does not exist")
             for group in found:
                 group.pop(bare(a[2]))
             self._set_meta(name, meta)
@@ -456,7 +459,7 @@ class Session:
             if c not in meta.columns:
                 if a[1]:
                     return
-                raise BindError(f"column {c} does not exist")
+                raise ColumnNotFound(f"column {c} does not exist")
             at = meta.columns.index(c)
             del meta.columns[at], meta.types[at]
             meta.not_null, meta.identity, meta.cluster = ([x for x in own if x != c] for own in (meta.not_null, meta.identity, meta.cluster))
@@ -493,7 +496,7 @@ class Session:
                 self._set_meta(child, own)
         elif a := re.match(rf"SET SCHEMA ({_NAME})", rest, re.I):
             if bare(a[1]) not in self.schemas:
-                raise CatalogError(f"schema {a[1]} does not exist")
+                raise SchemaNotFound(f"schema {a[1]} does not exist")
             old, root = self._place(name), self.store.location(self._place(name))
             self._save(f"{a[1]}.{name.split('.')[-1]}", df, meta, "")
             self.spark.sql(f"DROP TABLE {old}")
@@ -509,7 +512,7 @@ class Session:
         elif a := re.match(rf"ALTER (?:COLUMN )?({_NAME}) (SET NOT NULL|DROP NOT NULL|DROP DEFAULT|SET DEFAULT (.+)|SET (?:STATISTICS|STORAGE) \S+|(?:SET DATA )?TYPE (.+?)(?: USING (.+))?)$", rest, re.I):
             c, what = bare(a[1]), a[2].upper()
             if c not in meta.columns:
-                raise BindError(f"column {c} does not exist")
+                raise ColumnNotFound(f"column {c} does not exist")
             if what == "SET NOT NULL":
                 meta.not_null += [c] if c not in meta.not_null else []
                 self._validate(meta, name, df, columns=[])
@@ -546,7 +549,7 @@ class Session:
             row = new.agg(*[F.count_if(t).alias(f"t{i}") for i, (t, _) in enumerate(tests)], *[f(f"`{c}`").alias(f"{n}{i}") for i, c in enumerate(bounds) for n, f in (("low", F.min), ("high", F.max))]).first()
             for i, (_, what) in enumerate(tests):
                 if row[f"t{i}"]:
-                    raise ConstraintError(what)
+                    raise (NotNullViolation if i < len(meta.not_null) else CheckViolation)(what)
             bounds = {c: (row[f"low{i}"], row[f"high{i}"]) for i, c in enumerate(bounds)}
         for key, own in keys.items():
             again = duplicates(new.select(*own), own).limit(1).count() > 0
@@ -554,14 +557,14 @@ class Session:
                 near = rest.filter(F.col(f"`{own[0]}`").between(*(F.lit(x) for x in bounds[own[0]]))).select(*own)
                 again = new.select(*own).dropna().join(near, own, "left_semi").limit(1).count() > 0
             if again:
-                raise ConstraintError(f"duplicate key value violates unique constraint {key}")
+                raise UniqueViolation(f"duplicate key value violates unique constraint {key}")
         for key, (own, table, theirs) in meta.foreign.items():
             if not touched(own):
                 continue
             same = self._place(table) == self._place(name)
             parents = self.table(table) if not same else new if rest is None else rest.select(*theirs).unionByName(new.select(*theirs))
             if new.select(*own).dropna().join(parents.select(*[F.col(t).alias(c) for c, t in zip(own, theirs)]), own, "left_anti").limit(1).count():
-                raise ConstraintError(f"row violates foreign key constraint {key}")
+                raise ForeignKeyViolation(f"row violates foreign key constraint {key}")
 
     def _children(self, name: str) -> list[tuple[str, Meta]]:
         """Tables with foreign keys to a table."""
@@ -577,7 +580,7 @@ class Session:
                 lost = gone.select(*theirs).dropna().join(left.select(*theirs), theirs, "left_anti").select(*[F.col(t).alias(c) for c, t in zip(mine, theirs)])
                 rows = left if self._place(child) == self._place(name) else self.table(child)
                 if rows.select(*mine).join(lost, mine, "left_semi").limit(1).count():
-                    raise ConstraintError(f"row is still referenced by foreign key constraint {key}")
+                    raise ForeignKeyViolation(f"row is still referenced by foreign key constraint {key}")
 
     # Rows
 
@@ -592,9 +595,9 @@ class Session:
                 columns, rest = [bare(c) for c in split(given)], after
         for c in columns:
             if c not in meta.columns:
-                raise BindError(f"column {c} does not exist")
+                raise ColumnNotFound(f"column {c} does not exist")
         if len(set(columns)) < len(columns):
-            raise BindError("a column is given twice")
+            raise DuplicateColumn("a column is given twice")
         rest, returning = cut(rest, "RETURNING")
         rest, conflict = cut(rest, "ON CONFLICT")
         kinds = dict(zip(meta.columns, meta.types))
@@ -605,13 +608,13 @@ class Session:
             for part in split(rest[v.end():]):
                 values = split(inner(part)[0])
                 if len(values) != len(columns):
-                    raise BindError(f"{len(values)} values for {len(columns)} columns")
+                    raise ArityMismatch(f"{len(values)} values for {len(columns)} columns")
                 rows.append("SELECT " + ", ".join(self._value(x, c, kinds[c], meta) for x, c in zip(values, columns)))
             source = self.spark.sql(" UNION ALL ".join(rows)).toDF(*columns)
         else:
             source = self.query(rest)
             if len(source.columns) != len(columns):
-                raise BindError(f"{len(source.columns)} columns for {len(columns)}")
+                raise ArityMismatch(f"{len(source.columns)} columns for {len(columns)}")
             source = source.toDF(*columns)
         counted = {c: self._step(meta.defaults[c]) for c in meta.columns if c not in columns and c in meta.defaults and self._step(meta.defaults[c])}
         numbered = bool(counted) or any(c in meta.identity for c in meta.columns if c not in columns)
@@ -673,7 +676,7 @@ class Session:
         place = self._place(name)
         folder = self.store.location(place)
         if what[2] and bare(what[2]) not in meta.keys:
-            raise CatalogError(f"constraint {what[2]} does not exist")
+            raise ObjectNotFound(f"constraint {what[2]} does not exist")
         keys = [[bare(x) for x in split(what[1])]] if what[1] else [meta.keys[bare(what[2])]] if what[2] else list(meta.keys.values())
         if what[1] and sorted(keys[0]) not in [sorted(k) for k in meta.keys.values()]:
             raise BindError("there is no unique constraint for the columns of ON CONFLICT")
@@ -772,7 +775,7 @@ class Session:
             c, eq, e = item.partition("=")
             c = bare(c.strip().split(".")[-1])
             if not eq or c not in meta.columns:
-                raise BindError(f"column {c} does not exist")
+                raise ColumnNotFound(f"column {c} does not exist")
             if c in meta.generated:
                 raise BindError(f"column {c} is generated")
             sets[c] = meta.defaults.get(c, "NULL") if e.strip().upper() == "DEFAULT" else e.strip()
@@ -801,7 +804,7 @@ class Session:
         family = "text" if kind == "string" else "bool" if kind == "boolean" else "int" if kind in ("smallint", "bigint") else "float" if kind in ("float", "double") else "other"
         wrong = (quoted and family in ("int", "float", "bool")) or (number and (family in ("text", "bool") or family == "int" and (number[1] or number[2]))) or (re.fullmatch(r"(?i)true|false", text) and family in ("int", "float", "text"))
         if wrong:
-            raise BindError(f"value {text} does not fit column {column} of type {kind}")
+            raise TypeMismatch(f"value {text} does not fit column {column} of type {kind}")
         return f"CAST({self._expr(text)} AS {kind})"
 
     def _update(self, m, rest):
@@ -903,7 +906,7 @@ class Session:
     def _drop_sequence(self, m, rest):
         for name in (bare(x) for x in split(re.sub(r"\b(CASCADE|RESTRICT)\b", "", rest, flags=re.I))):
             if name not in self.sequences and not m[1]:
-                raise CatalogError(f"sequence {name} does not exist")
+                raise ObjectNotFound(f"sequence {name} does not exist")
             self.sequences.pop(name, None)
         self._keep()
 
@@ -911,7 +914,7 @@ class Session:
         """The next number of a sequence, which is kept before it is used."""
         self._load()
         if name not in self.sequences:
-            raise CatalogError(f"sequence {name} does not exist")
+            raise ObjectNotFound(f"sequence {name} does not exist")
         s = self.sequences[name]
         value = s["next"]
         if not s["low"] <= value <= s["high"]:
@@ -973,7 +976,7 @@ class Session:
             self._validate(meta, table, self.table(table), columns=columns)
             self._set_meta(table, meta)
         elif not self._exists(table):
-            raise CatalogError(f"table {table} does not exist")
+            raise TableNotFound(f"table {table} does not exist")
 
     def _transaction(self, m, rest):
         if m[1].upper().startswith("ROLLBACK"):
