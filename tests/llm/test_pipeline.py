@@ -1,7 +1,12 @@
 """The pipeline's stages, held against brute force where they filter."""
 import re
+from collections import Counter
+
+from test_small import expected_targets, linked
+from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
+from quarry.llm.token_files import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -58,3 +63,46 @@ def test_run(spark):
             assert 0 < at.count() < before, name  # every filter takes effect
             assert at.count() > 0.7 * before, name  # and leaves most documents alone
     assert at.count() > 0 and {"doc_id", "start", "n_tokens", "ids_crc32"} <= set(at.columns)
+
+
+def test_near_duplicates_stage_against_all_pairs(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = sorted(docs.collect(), key=lambda r: r.doc_id)
+    groups = linked([r.text for r in rows], 5, 80)
+    empty = {k for k, (_, n) in enumerate(groups) if n == 0}
+    want = sorted(rows[k].doc_id for k, (head, _) in enumerate(groups) if head == k or k in empty)
+    assert sorted(r.doc_id for r in pipeline.near_duplicates(spark, docs, SF).collect()) == want
+
+
+def test_mixing_and_token_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    rows = docs.collect()
+    sizes, mixed = {}, {}
+    for r in rows:
+        sizes[r.source] = sizes.get(r.source, 0) + size(r.text)
+    out = pipeline.mixing(spark, docs, SF)
+    assert out.columns == docs.columns
+    times = Counter(r.doc_id for r in out.collect())
+    assert max(times.values()) <= 2 and set(times) <= {r.doc_id for r in rows}
+    for r in rows:
+        mixed[r.source] = mixed.get(r.source, 0) + size(r.text) * times[r.doc_id]
+    longest = max(size(r.text) for r in rows)
+    for source, target in expected_targets(sizes).items():
+        assert abs(mixed[source] - target) <= longest
+    tokens = pipeline.token_output(spark, docs, SF).collect()
+    library = Tokenizer.from_file(tokenizer_path())
+    assert {r.doc_id: r.n_tokens for r in tokens} == {r.doc_id: len(library.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in rows}
+
+
+def test_run_on_empty_and_odd_tables(spark, tmp_path):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(None, None)], "item_id long, text string")
+    odd = [(None, None, None, None, None), (1, "", "en", "a", 0), (1, "", "en", "a", 0), (2, "w " * 30, "en", None, 5), (3, "w " * 30, "en", "b", 5), (None, "x" * 50_000, "en", "b", 5)]
+    for k, rows in enumerate(([], odd)):
+        folder = f"{tmp_path}/{k}"
+        spark.createDataFrame(rows, SCHEMA).write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        bench.write.parquet(f"{folder}/benchmark.parquet")
+        got = pipeline.run(spark, folder).collect()
+        assert (len(got) > 0) == bool(rows)
