@@ -171,7 +171,7 @@ def _hits(candidates: DataFrame, windows: DataFrame) -> DataFrame:
     key = met.schema["key"].dataType
     n_hit = met.groupBy("key").agg(F.collect_list(F.struct("n", "places")).alias("found")).mapInArrow(_covered, T.StructType([T.StructField("key", key), T.StructField("n_hit", T.LongType())]))
     items = met.select("key", "print", "more", "n").join(windows, ["print", "more", "n"]).select("key", "item").distinct().groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    return staged(n_hit.join(items, "key"), "overlaps")
+    return n_hit.join(items, "key")
 
 
 def _filled(rows: DataFrame) -> DataFrame:
@@ -198,7 +198,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
     """
     windows = benchmark_windows(benchmark)
     key = unique_name(docs, "_overlap_key")
-    hits = _hits(staged(_candidates(docs, windows, text, []).filter(F.size("found") > 0), "fingerprints"), windows).withColumnRenamed("key", key)
+    hits = staged(_hits(staged(_candidates(docs, windows, text, []).filter(F.size("found") > 0), "fingerprints"), windows), "overlaps").withColumnRenamed("key", key)
     rows = docs.drop("n_words", "n_hit", "items").withColumn(key, row_key(text))
     n_words = F.regexp_count(lowered(text_of(text)), F.lit(_WORDS)).cast("long")
     return _filled(rows.withColumn("n_words", n_words).join(hits, key, "left")).drop(key)
