@@ -712,7 +712,7 @@ class Session:
         placed = self.store.placed(target)
         met = lambda rows: rows.alias(alias).join(excluded, on(rows), "left")
         touched = sorted(r["__file"] for r in placed.alias(alias).join(excluded, on(placed), "inner").filter(wanted).select("__file").distinct().collect())
-        rest = placed.filter(~F.col("__file").isin(touched)).select(*meta.columns) if touched else target
+        rest = self.store.without(target, touched)
         fresh = new.join(target.select(*own), own, "left_anti").select(*meta.columns)
         if touched:
             rows = met(self.store.read(target, touched))
@@ -821,7 +821,10 @@ class Session:
             found, value = None, {c: F.expr(self._expr(e, scope)) for c, e in sets.items()}
             hit = F.coalesce(F.expr(self._expr(where, scope)), F.lit(False)) if where else F.lit(True)
         change = lambda rows: self._generated(rows.select(*[value.get(c, F.col(f"{alias}.`{c}`")).cast(k).alias(c) for c, k in kinds.items()]), meta)
-        return self._exchange(name, meta, target, alias, found, hit, change, list(sets) + list(meta.generated), returning)
+        try:
+            return self._exchange(name, meta, target, alias, found, hit, change, list(sets) + list(meta.generated), returning)
+        finally:
+            self.store.remove(self.store.location(self._place(name)) + "/_scratch")
 
     def _delete(self, m, rest):
         name, meta = m[1], self._meta(m[1])
@@ -833,7 +836,10 @@ class Session:
             found, hit = self._matches(name, alias, source, where, {}), F.col("__new").isNotNull()
         else:
             found, hit = None, F.coalesce(F.expr(self._expr(where, f"{self._place(name)} AS {alias}")), F.lit(False)) if where else F.lit(True)
-        return self._exchange(name, meta, target, alias, found, hit, None, None, returning)
+        try:
+            return self._exchange(name, meta, target, alias, found, hit, None, None, returning)
+        finally:
+            self.store.remove(self.store.location(self._place(name)) + "/_scratch")
 
     def _exchange(self, name: str, meta: Meta, target: DataFrame, alias: str, found: DataFrame | None, hit, change, columns: list[str] | None, returning: str | None) -> DataFrame | None:
         """Change (or, without `change`, delete) the rows that are hit; only files that hold such rows are rewritten."""
@@ -845,7 +851,7 @@ class Session:
         touched = sorted(r["__file"] for r in (every.filter(hit).select("__file") if found is None else found.select("__file")).distinct().collect())
         if touched:
             rows = placed(self.store.read(target, touched))
-            others = self.store.placed(target).filter(~F.col("__file").isin(touched)).select(*meta.columns)
+            others = self.store.without(target, touched)
             kept = rows.filter(~hit).select(*plain)
             before = rows.filter(hit)
             changed = change(before) if change else None
@@ -889,8 +895,24 @@ class Session:
         name = m[2] if "TEMPORARY" in kind else self._place(m[2])
         self.spark.sql(f"CREATE {kind} {name} {columns} AS {self._rewritten(body)}")
 
+    def _materialized(self, m, rest):
+        """A table of a query's rows, and the query, by which REFRESH makes them anew."""
+        if self._exists(m[2]):
+            if m[1]:
+                return
+            raise TableAlreadyExists(f"table {m[2]} already exists")
+        df = self.query(rest)
+        self._save(m[2], df, Meta(df.columns, [f.dataType.simpleString() for f in df.schema], options={"query": rest}), "")
+
+    def _refresh(self, m, rest):
+        meta = self._meta(m[1])
+        if "query" not in meta.options:
+            raise BindError(f"{m[1]} is not a materialized view")
+        self._save(m[1], self.query(meta.options["query"]), meta)
+
     def _drop_view(self, m, rest):
-        self.spark.sql(f"DROP VIEW {'IF EXISTS ' if m[1] else ''}{self._place(rest)}")
+        for name in split(re.sub(r"\b(CASCADE|RESTRICT)\b", "", rest, flags=re.I)):
+            self.spark.sql(f"DROP VIEW {'IF EXISTS ' if m[1] else ''}{self._place(name)}")
 
     def _sequence(self, m, rest):
         if bare(m[2]) in self.sequences:
@@ -994,7 +1016,10 @@ class Session:
         (rf"INSERT INTO {_TABLE}\s*(?:AS ({_NAME})\s*)?", _insert),
         (rf"UPDATE {_TABLE}(?: (?:AS )?((?!SET\b){_NAME}))? SET ", _update),
         (rf"DELETE FROM {_TABLE}(?: (?:AS )?((?!(?:USING|WHERE|RETURNING)\b){_NAME}))?\s*", _delete),
-        (rf"CREATE ((?:OR REPLACE )?(?:TEMP(?:ORARY)? )?)(?:MATERIALIZED )?VIEW {_TABLE}\s*(?:\(([^)]*)\))?\s*(?:WITH \([^)]*\) )?AS ", _view),
+        (rf"CREATE MATERIALIZED VIEW (IF NOT EXISTS )?{_TABLE}\s+AS ", _materialized),
+        (rf"REFRESH MATERIALIZED VIEW {_TABLE}$", _refresh),
+        (r"DROP MATERIALIZED VIEW (IF EXISTS )?", _drop_table),
+        (rf"CREATE ((?:OR REPLACE )?(?:TEMP(?:ORARY)? )?)VIEW {_TABLE}\s*(?:\(([^)]*)\))?\s*(?:WITH \([^)]*\) )?AS ", _view),
         (r"DROP VIEW (IF EXISTS )?", _drop_view),
         (rf"CREATE SEQUENCE (IF NOT EXISTS )?({_NAME})", _sequence),
         (r"DROP SEQUENCE (IF EXISTS )?", _drop_sequence),

@@ -97,6 +97,15 @@ class TableStore:
         """The rows of some of a table's files."""
         return self.placed(self.spark.read.schema(rows.schema).parquet(*files))
 
+    def without(self, rows: DataFrame, files: list[str]) -> DataFrame:
+        """The rows of a table's other files. A short list of files prunes the scan, a long one is joined."""
+        placed = self.placed(rows)
+        if len(files) > 500:
+            placed = placed.join(F.broadcast(self.spark.createDataFrame([(f,) for f in files], "__file string")), "__file", "left_anti")
+        elif files:
+            placed = placed.filter(~F.col("__file").isin(files))
+        return placed.select(*rows.columns)
+
     def numbered(self, folder: str, rows: DataFrame) -> DataFrame:
         """rows with `__n`, counted from 0 without gaps, the same in every reading: they are written, and a file's
         rows follow those of the files before it. One count a file reaches the driver."""

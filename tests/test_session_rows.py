@@ -199,3 +199,16 @@ def test_partitioned_tables_keep_the_columns_order(db):
     db.sql("UPDATE p SET b = 'z' WHERE a = 2")
     db.sql("DELETE FROM p WHERE a = 1")
     assert rows(db, "SELECT * FROM p") == [(2, "z")]
+
+
+def test_materialized_views(db):
+    db.sql("CREATE TABLE b (id INT)")
+    db.sql("INSERT INTO b VALUES (1), (2)")
+    db.sql("CREATE MATERIALIZED VIEW v AS SELECT id / 2 AS half FROM b")
+    db.sql("INSERT INTO b VALUES (9)")
+    assert sorted(rows(db, "SELECT half FROM v")) == [(0,), (1,)]
+    db.sql("REFRESH MATERIALIZED VIEW v")
+    assert sorted(rows(db, "SELECT half FROM v")) == [(0,), (1,), (4,)]
+    db.sql("DROP MATERIALIZED VIEW v")
+    with pytest.raises(CatalogError):
+        db.sql("DROP TABLE v")
