@@ -194,3 +194,101 @@ def types_and_domains(db):
     db.sql("INSERT INTO o SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
     db.sql("INSERT INTO o (o_orderkey) SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F'")
     return db.sql("SELECT * FROM o")
+
+
+@statements("""SELECT c_custkey, CASE WHEN c_mktsegment = 'MACHINERY' THEN lower(c_name) ELSE c_name END AS c_name,
+    CASE c_mktsegment WHEN 'BUILDING' THEN c_acctbal + 1 WHEN 'MACHINERY' THEN 0 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_mktsegment IS DISTINCT FROM 'HOUSEHOLD'""")
+def merge_rows(db):
+    _customers(db)
+    db.sql("""MERGE INTO target AS t USING (SELECT * FROM customer WHERE c_mktsegment IN ('MACHINERY', 'BUILDING', 'HOUSEHOLD')) AS s ON s.c_custkey = t.c_custkey
+        WHEN MATCHED AND CASE WHEN s.c_mktsegment = 'HOUSEHOLD' THEN true ELSE false END THEN DELETE
+        WHEN MATCHED THEN UPDATE SET c_acctbal = s.c_acctbal + 1
+        WHEN NOT MATCHED THEN INSERT (c_custkey, c_name, c_acctbal) VALUES (s.c_custkey, lower(s.c_name), 0)""")
+    return db.sql("SELECT * FROM target")
+
+
+@statements("SELECT p_partkey, nullif(p_brand, 'Brand#11') AS brand, CASE WHEN p_size > 25 THEN '' ELSE p_name || chr(10) || ' \"x\", ' END AS label, p_retailprice FROM part")
+def copy_round_trip(db):
+    """Rows written by COPY TO and read by COPY FROM: NULLs, empty texts, quotes and line breaks stay."""
+    folder = db.store.schema_root(db._space()) + "/copied"
+    db.sql("CREATE TABLE p (p_partkey BIGINT PRIMARY KEY, brand TEXT, label TEXT, p_retailprice DOUBLE)")
+    db.sql(f"COPY (SELECT p_partkey, nullif(p_brand, 'Brand#11') AS brand, CASE WHEN p_size > 25 THEN '' ELSE p_name || chr(10) || ' \"x\", ' END AS label, p_retailprice FROM part) TO '{folder}' WITH (FORMAT csv, HEADER, DELIMITER ';')")
+    db.sql(f"COPY p FROM '{folder}' WITH (FORMAT csv, HEADER, DELIMITER ';')")
+    return db.sql("SELECT * FROM p")
+
+
+@statements("SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem")
+def composite_key(db):
+    db.sql("CREATE TABLE l (l_orderkey BIGINT, l_linenumber INT, PRIMARY KEY (l_orderkey, l_linenumber))")
+    db.sql("INSERT INTO l SELECT l_orderkey, l_linenumber FROM lineitem ON CONFLICT (l_orderkey, l_linenumber) DO NOTHING")
+    return db.sql("SELECT * FROM l")
+
+
+@statements("SELECT n_nationkey, n_name, n_regionkey * 2 AS twice FROM nation UNION ALL SELECT -1, 'none', 0")
+def defaults_and_generated(db):
+    db.sql("CREATE TABLE n (n_nationkey INT DEFAULT -1, n_name TEXT DEFAULT 'none', r INT DEFAULT 0, twice INT GENERATED ALWAYS AS (r * 2) STORED) PARTITION BY LIST (r)")
+    db.sql("INSERT INTO n DEFAULT VALUES")
+    db.sql("INSERT INTO n (n_nationkey, n_name, r) SELECT * FROM nation")
+    return db.sql("SELECT n_nationkey, n_name, twice FROM n")
+
+
+@statements("SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal >= 0")
+def truncate_rows(db):
+    db.sql("CREATE TABLE s AS SELECT s_suppkey, s_name FROM supplier")
+    db.sql("TRUNCATE TABLE s RESTART IDENTITY CASCADE")
+    db.sql("INSERT INTO s SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal >= 0")
+    db.sql("VACUUM s")
+    return db.sql("SELECT * FROM s")
+
+
+@statements("SELECT o_custkey AS customer, count(*) AS n FROM orders GROUP BY o_custkey")
+def materialized_view(db):
+    db.sql("CREATE TABLE o AS SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F'")
+    db.sql("CREATE MATERIALIZED VIEW counts AS SELECT o_custkey AS customer, count(*) AS n FROM o GROUP BY o_custkey")
+    db.sql("INSERT INTO o SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus <> 'F'")
+    db.sql("REFRESH MATERIALIZED VIEW counts")
+    return db.sql("SELECT * FROM counts")
+
+
+@statements("SELECT c_mktsegment AS segment, count(*) AS n FROM customer GROUP BY c_mktsegment")
+def altered_view(db):
+    db.sql("CREATE TABLE c AS SELECT c_nationkey, c_mktsegment FROM customer")
+    db.sql("CREATE VIEW v (segment) AS SELECT c_nationkey FROM c")
+    db.sql("ALTER VIEW v AS SELECT c_mktsegment AS segment FROM c")
+    db.sql("ALTER VIEW v RENAME TO w")
+    return db.sql("SELECT segment, count(*) AS n FROM w GROUP BY segment")
+
+
+@statements("SELECT event_id, CAST(json_extract_string('{\"a\":{\"b\":[5,' || props || ']}}', '$.a.b[1].k') AS BIGINT) AS k FROM events")
+def json_paths(db):
+    return db.sql("""SELECT event_id, (('{"a":{"b":[5,' || props || ']}}') #>> '{a,b,1,k}')::bigint AS k FROM events""")
+
+
+@statements("SELECT r_name, n_name FROM region LEFT JOIN nation ON true")
+def join_without_on(db):
+    return db.sql("SELECT r_name, n_name FROM region LEFT JOIN nation")
+
+
+@statements("SELECT p_partkey, p_brand || '/' || p_type AS label, p_size AS n, substring(p_name, 2, 3) AS part, upper(p_type) AS loud FROM part WHERE p_size IN (3, 7, 9, 11) AND p_name ILIKE '%A%' AND (p_type LIKE '%A%' OR p_type LIKE '%B%') AND p_brand NOT IN ('none')")
+def lists_and_texts(db):
+    return db.sql("SELECT ALL p_partkey, p_brand || '/' || p_type AS label, +p_size AS n, Substring(p_name, 2, 3) AS part, UPPER(p_type) AS loud, FROM part WHERE p_size IN (3, 7, 9, 11) AND p_name ILIKE '%A%' AND p_type LIKE ANY ('%A%', '%B%') AND p_brand NOT IN ('none')")
+
+
+@statements("SELECT l_orderkey, l_partkey, CAST(l_partkey AS DOUBLE) AS d, CAST(l_quantity > 10 AS VARCHAR) AS many, l_quantity > 10 AS flag, CAST(NULL AS BIGINT) AS none, CAST(l_linenumber AS SMALLINT) AS small FROM lineitem")
+def casts(db):
+    return db.sql("SELECT l_orderkey, l_partkey, l_partkey::float8 AS d, (l_quantity > 10)::text AS many, (l_quantity > 10)::bool AS flag, NULL::int AS none, CAST(l_linenumber AS INT2) AS small FROM lineitem")
+
+
+@statements("SELECT o_orderkey, extract(year FROM o_orderdate) AS y, o_orderdate + INTERVAL 1 DAY AS after, (o_orderkey * 2) AS second FROM orders")
+def dates_and_arrays(db):
+    return db.sql("SELECT o_orderkey, CAST(extract(year FROM o_orderdate) AS INT8) AS y, o_orderdate + INTERVAL '1' DAY AS after, array(o_orderkey, o_orderkey * 2)[1] AS second FROM orders")
+
+
+@statements("SELECT k FROM ((SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier) EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
+def set_chain(db):
+    return db.sql("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 1")
+
+
+@statements("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) ORDER BY r DESC, o_orderkey LIMIT 30")
+def window_in_order(db):
+    return db.sql("SELECT o_orderkey FROM orders ORDER BY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) DESC, o_orderkey LIMIT 30")

@@ -616,10 +616,29 @@ class Session:
             if len(source.columns) != len(columns):
                 raise ArityMismatch(f"{len(source.columns)} columns for {len(columns)}")
             source = source.toDF(*columns)
+        new = self._completed(name, meta, columns, source)
+        try:
+            if conflict is not None:
+                return self._insert_or(name, meta, target, new, conflict, alias, returning)
+            key, staged = self.store.stage(folder, new, meta.cluster)
+            try:
+                self._validate(meta, name, staged, target)
+                out = self._returned(staged, returning)
+            except Exception:
+                self.store.discard(folder, key)
+                raise
+            self.store.commit(place, folder, key)
+            return out
+        finally:
+            self.store.remove(folder + "/_numbered")
+
+    def _completed(self, name: str, meta: Meta, columns: list[str], source: DataFrame) -> DataFrame:
+        """Rows of `columns` as rows of the whole table: defaults, numbers and generated columns added, all cast."""
+        kinds, target = dict(zip(meta.columns, meta.types)), self.table(name)
         counted = {c: self._step(meta.defaults[c]) for c in meta.columns if c not in columns and c in meta.defaults and self._step(meta.defaults[c])}
         numbered = bool(counted) or any(c in meta.identity for c in meta.columns if c not in columns)
         if numbered:  # each row takes the next number
-            source = self.store.numbered(folder + "/_numbered", source)
+            source = self.store.numbered(self.store.location(self._place(name)) + "/_numbered", source)
         ready = []
         for c, kind in kinds.items():
             if c in columns:
@@ -646,21 +665,7 @@ class Session:
             base = self._view_of(new)
             new = new.withColumns({c: F.expr(self._expr(e, base)).cast(kinds[c]) for c, e in meta.generated.items()})
             self.spark.catalog.dropTempView(base)
-        new = new.select(*[F.col(f"`{c}`").cast(k).alias(c) for c, k in kinds.items()])
-        try:
-            if conflict is not None:
-                return self._insert_or(name, meta, target, new, conflict, alias, returning)
-            key, staged = self.store.stage(folder, new, meta.cluster)
-            try:
-                self._validate(meta, name, staged, target)
-                out = self._returned(staged, returning)
-            except Exception:
-                self.store.discard(folder, key)
-                raise
-            self.store.commit(place, folder, key)
-            return out
-        finally:
-            self.store.remove(folder + "/_numbered")
+        return new.select(*[F.col(f"`{c}`").cast(k).alias(c) for c, k in kinds.items()])
 
     def _view_of(self, df: DataFrame) -> str:
         """A temporary view for the dialect to look types up in."""
@@ -885,6 +890,133 @@ class Session:
         finally:
             self.spark.catalog.dropTempView(view)
 
+    def _merge(self, m, rest):
+        """MERGE: for each pair of a source and a target row, and each source row without one, the first WHEN that fits
+        is carried out. A target row that would be changed twice is refused, as is WHEN NOT MATCHED BY SOURCE."""
+        name, meta = m[1], self._meta(m[1])
+        place, target, alias = self._place(name), self.table(name), bare(m[2] or name.split(".")[-1])
+        folder, kinds = self.store.location(place), dict(zip(meta.columns, meta.types))
+        rest, returning = cut(rest, "RETURNING")
+        head, clauses = [], []
+        for part in split(rest, "WHEN"):  # a WHEN of a CASE belongs to what is before it
+            if re.match(r"(NOT )?MATCHED\b", part, re.I):
+                clauses.append(part)
+            elif clauses:
+                clauses[-1] += f" WHEN {part}"
+            else:
+                head.append(part)
+        source, on = cut(" WHEN ".join(head), "ON")
+        if on is None or not clauses:
+            raise ParseError("MERGE needs ON and WHEN")
+        conditions, values, acts = [], [], []
+        for clause in clauses:
+            when = re.match(r"(NOT )?MATCHED(?: BY TARGET)?\s*(?:AND\b)?", clause, re.I)
+            parts = split(clause[when.end():], "THEN")
+            k = next((i for i, x in enumerate(parts) if re.match(r"(UPDATE SET |INSERT\b)|(DELETE|DO NOTHING)$", x, re.I)), None)
+            if k is None or bool(when[1]) == bool(re.match(r"UPDATE|DELETE", parts[k], re.I)) and not re.match("DO", parts[k], re.I):
+                raise ParseError(f"bad WHEN of MERGE: {clause[:40]}")
+            test, what = " THEN ".join(parts[:k]), " THEN ".join(parts[k:])
+            conditions.append(f"{alias}.__row IS {'' if when[1] else 'NOT '}NULL{f' AND ({test})' if test else ''}")
+            act, columns, made = what.split()[0].upper(), [], ["true AS `__any`"]
+            if act == "UPDATE":
+                sets = self._assignments(re.sub(r"^UPDATE SET ", "", what, flags=re.I), meta)
+                columns, made = list(sets), [f"CAST(({e}) AS {kinds[c]}) AS `{c}`" for c, e in sets.items()]
+            elif act == "INSERT" and not re.match(r"INSERT DEFAULT VALUES$", what, re.I):
+                given = re.match(r"INSERT\s*(\([^)]*\))?\s*VALUES\s*(?=\()", what, re.I)
+                if not given:
+                    raise ParseError(f"bad INSERT of MERGE: {what[:40]}")
+                columns = [bare(c) for c in split(given[1][1:-1])] if given[1] else [c for c in meta.columns if c not in meta.generated]
+                items = split(inner(what[given.end():])[0])
+                if len(items) != len(columns):
+                    raise ArityMismatch(f"{len(items)} values for {len(columns)} columns")
+                for c in columns:
+                    if c not in kinds:
+                        raise ColumnNotFound(f"column {c} does not exist")
+                made = [f"CAST(({meta.defaults.get(c, 'NULL') if e.upper() == 'DEFAULT' else e}) AS {kinds[c]}) AS `{c}`" for c, e in zip(columns, items)]
+            before = "".join(f"WHEN {c} THEN NULL " for c in conditions[:-1])
+            values.append(f"CASE {before}WHEN {conditions[-1]} THEN struct({', '.join(made)}) END AS __v{len(acts)}")
+            acts.append((act, columns))
+        view = self._view_of(self.store.placed(target))
+        try:
+            which = " ".join(f"WHEN {c} THEN {k}" for k, c in enumerate(conditions))
+            found = self.query(f"SELECT {alias}.__file AS __file, {alias}.__row AS __row, CASE {which} END AS __act, {', '.join(values)} FROM {source} LEFT JOIN {view} AS {alias} ON {on}")
+            of = lambda *kind: F.col("__act").isin([k for k, (act, _) in enumerate(acts) if act in kind])
+            found = self._kept(found.filter(of("UPDATE", "DELETE", "INSERT")), "_matches", folder + "/_scratch")
+            hits = found.filter(of("UPDATE", "DELETE"))
+            if hits.groupBy("__file", "__row").count().filter("count > 1").limit(1).count():
+                raise ConstraintError("MERGE would change a row twice")
+            touched = sorted(r["__file"] for r in hits.select("__file").distinct().collect())
+            added, beside = target.limit(0), self.store.without(target, touched)
+            for k, (act, columns) in enumerate(acts):
+                if act == "INSERT":
+                    rows = found.filter(F.col("__act") == k)
+                    added = added.unionByName(self._completed(name, meta, columns, rows.select(*[F.col(f"__v{k}.`{c}`").alias(c) for c in columns])))
+            written, before = added, target.limit(0)
+            if touched:
+                rows = self.store.read(target, touched).alias(alias).join(hits, ["__file", "__row"], "left")
+                own = {c: F.col(f"{alias}.`{c}`") for c in meta.columns}
+                kept, before = (rows.filter(f"__act IS {x}NULL").select(*[e.alias(c) for c, e in own.items()]) for x in ("", "NOT "))
+                new = dict(own)
+                for k, (act, columns) in enumerate(acts):
+                    if act == "UPDATE":
+                        new |= {c: F.when(F.col("__act") == k, F.col(f"__v{k}.`{c}`")).otherwise(new[c]) for c in columns}
+                changed = self._generated(rows.filter(of("UPDATE")).select(*[e.alias(c) for c, e in new.items()]), meta)
+                added = changed.unionByName(added)
+                beside, written = beside.unionByName(kept), kept.unionByName(added)
+            key, _ = self.store.stage(folder, written, meta.cluster)
+            try:
+                self._validate(meta, name, added, beside)
+                if touched:
+                    self._check_children(name, meta, before, beside.unionByName(added))
+                out = self._returned(added, returning)
+            except Exception:
+                self.store.discard(folder, key)
+                raise
+            self.store.commit(place, folder, key, [f.rsplit("/", 1)[1] for f in touched])
+            return out
+        finally:
+            self.spark.catalog.dropTempView(view)
+            for scratch in ("_scratch", "_numbered"):
+                self.store.remove(f"{folder}/{scratch}")
+
+    def _copy(self, m, rest):
+        """COPY table [(columns)] FROM 'path', or table or (query) TO 'path'. A path is a folder of files of one format:
+        csv (as it is where none is named; NULL is the unquoted empty text, or that of NULL '..'), json or parquet.
+        A csv file may break lines within quotes, so each is read by one task; TO writes one for each partition."""
+        what, rest = inner(rest) if rest.startswith("(") else (None, rest)
+        found = re.match(rf"(?:{_TABLE}\s*(?:\(([^)]*)\))?\s*)?(FROM|TO)\s+'((?:[^']|'')*)'\s*(?:WITH\s*)?(\(.*\))?$", rest, re.I)
+        if not found or (what is None) != bool(found[1]) or what is not None and found[3].upper() == "FROM":
+            raise ParseError(f"bad COPY: {rest[:40]}")
+        path = found[4].replace("''", "'")
+        given = {k.upper(): v.strip("'") for k, v in re.findall(r"(\w+)(?:\s+('[^']*'|\w+))?\s*(?:,|$)", inner(found[5])[0])} if found[5] else {}
+        kind = given.get("FORMAT", "csv").lower()
+        if kind not in ("csv", "json", "parquet") or set(given) - {"FORMAT", "HEADER", "DELIMITER", "NULL"}:
+            raise ParseError(f"bad options of COPY: {found[5]}")
+        reads = found[3].upper() == "FROM"
+        options = {"header": str("HEADER" in given and given["HEADER"].lower() not in ("false", "off")).lower(), "sep": given.get("DELIMITER", ","), "quote": '"', "escape": '"', "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"} if kind == "csv" else {}
+        if reads:
+            meta = self._meta(found[1])
+            columns = [bare(c) for c in split(found[2])] if found[2] else [c for c in meta.columns if c not in meta.generated]
+            if absent := [c for c in columns if c not in meta.columns]:
+                raise ColumnNotFound(f"column {absent[0]} does not exist")
+            options |= {"nullValue": given.get("NULL", "\x00"), "multiLine": "true", "mode": "FAILFAST"} if kind == "csv" else {"mode": "FAILFAST"} if kind == "json" else {}
+            rows = self.spark.read.format(kind).options(**options).schema(", ".join(f"`{c}` {meta.types[meta.columns.index(c)]}" for c in columns)).load(path)
+            view = self._view_of(rows)
+            try:
+                self.sql(f"INSERT INTO {found[1]} ({', '.join(f'`{c}`' for c in columns)}) SELECT * FROM {view}")
+            finally:
+                self.spark.catalog.dropTempView(view)
+            return
+        rows = self.query(what) if what is not None else self.table(found[1])
+        rows = rows.select(*[F.col(f"`{bare(c)}`") for c in split(found[2])]) if found[2] else rows
+        options |= {"nullValue": given.get("NULL", ""), "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"} if kind == "csv" else {"ignoreNullFields": "false"} if kind == "json" else {}
+        rows.write.format(kind).options(**options).save(path)
+
+    def _vacuum(self, m, rest):
+        """Merge the small files of the tables named, or of all."""
+        for name in split(rest) or self._tables():
+            self.compact(name)
+
     # Other objects
 
     def _view(self, m, rest):
@@ -914,6 +1046,16 @@ class Session:
         for name in split(re.sub(r"\b(CASCADE|RESTRICT)\b", "", rest, flags=re.I)):
             self.spark.sql(f"DROP VIEW {'IF EXISTS ' if m[1] else ''}{self._place(name)}")
 
+    def _alter_view(self, m, rest):
+        place = self._place(m[1])
+        if a := re.match(rf"RENAME TO ({_NAME})$", rest, re.I):
+            self.spark.sql(f"ALTER VIEW {place} RENAME TO {place.rsplit('.', 1)[0]}.`{bare(a[1])}`")
+        elif a := re.match(r"AS ", rest, re.I):
+            self.spark.catalog.setCurrentDatabase(self._space())
+            self.spark.sql(f"ALTER VIEW {place} AS {self._rewritten(rest[a.end():])}")
+        else:
+            raise ParseError(f"unsupported ALTER VIEW action: {rest[:40]}")
+
     def _sequence(self, m, rest):
         if bare(m[2]) in self.sequences:
             if m[1]:
@@ -1016,6 +1158,10 @@ class Session:
         (rf"INSERT INTO {_TABLE}\s*(?:AS ({_NAME})\s*)?", _insert),
         (rf"UPDATE {_TABLE}(?: (?:AS )?((?!SET\b){_NAME}))? SET ", _update),
         (rf"DELETE FROM {_TABLE}(?: (?:AS )?((?!(?:USING|WHERE|RETURNING)\b){_NAME}))?\s*", _delete),
+        (rf"MERGE INTO {_TABLE}(?: (?:AS )?((?!USING\b){_NAME}))? USING ", _merge),
+        (r"COPY ", _copy),
+        (r"VACUUM(?: FULL)?\b", _vacuum),
+        (rf"ALTER VIEW {_TABLE} ", _alter_view),
         (rf"CREATE MATERIALIZED VIEW (IF NOT EXISTS )?{_TABLE}\s+AS ", _materialized),
         (rf"REFRESH MATERIALIZED VIEW {_TABLE}$", _refresh),
         (r"DROP MATERIALIZED VIEW (IF EXISTS )?", _drop_table),

@@ -212,3 +212,40 @@ def test_materialized_views(db):
     db.sql("DROP MATERIALIZED VIEW v")
     with pytest.raises(CatalogError):
         db.sql("DROP TABLE v")
+
+
+def test_merge(db):
+    db.sql("CREATE TABLE t (id INT PRIMARY KEY, v TEXT NOT NULL DEFAULT 'd', twice INT GENERATED ALWAYS AS (id * 2) STORED)")
+    db.sql("INSERT INTO t (id, v) VALUES (1, 'a'), (2, 'b'), (3, 'c')")
+    db.sql("CREATE TABLE s (id INT, v TEXT, x INT)")
+    db.sql("INSERT INTO s VALUES (1, 'WHEN it''s THEN', 1), (2, 'z', 0), (8, 'new', 5), (9, NULL, 7), (NULL, 'n', 1)")
+    out = db.sql("""MERGE INTO t USING s ON t.id = s.id WHEN MATCHED AND x = 0 THEN DELETE WHEN MATCHED THEN UPDATE SET v = s.v, id = t.id + 10 / x
+        WHEN NOT MATCHED AND s.id IS NULL THEN DO NOTHING WHEN NOT MATCHED AND s.v IS NULL THEN INSERT (id) VALUES (s.id) WHEN NOT MATCHED THEN INSERT (id, v) VALUES (s.id, s.v) RETURNING id, v""")
+    want = [(8, "new"), (9, "d"), (11, "WHEN it's THEN")]
+    assert db.tag == "MERGE" and sorted(map(tuple, out.collect())) == want
+    assert sorted(rows(db, "SELECT * FROM t")) == sorted([(3, "c", 6), *((i, v, 2 * i) for i, v in want)])
+    db.sql("INSERT INTO s VALUES (3, 'p', 1), (3, 'q', 1)")
+    for text, error in (("UPDATE SET v = s.v", ConstraintError), ("DELETE", ConstraintError), ("INSERT (id) VALUES (s.id)", ParseError), ("UPDATE SET zz = 1", BindError)):
+        with pytest.raises(error):
+            db.sql(f"MERGE INTO t USING s ON t.id = s.id WHEN MATCHED THEN {text}")
+    with pytest.raises(ConstraintError, match="unique"):
+        db.sql("MERGE INTO t USING s ON false WHEN NOT MATCHED AND s.id = 3 THEN INSERT (id, v) VALUES (s.id, s.v)")
+    assert sorted(rows(db, "SELECT id FROM t")) == [(3,), (8,), (9,), (11,)]
+
+
+def test_copy_and_vacuum(db, tmp_path):
+    db.sql("CREATE TABLE t (id INT PRIMARY KEY, v TEXT, twice INT GENERATED ALWAYS AS (id * 2) STORED)")
+    db.sql("INSERT INTO t (id, v) VALUES (1, 'a;b'), (2, NULL)")
+    db.sql("INSERT INTO t (id, v) VALUES (3, ''), (4, ' \"q\" ')")
+    for kind in ("csv", "json", "parquet"):
+        db.sql(f"COPY t (id, v) TO '{tmp_path}/{kind}' (FORMAT {kind})")
+        db.sql(f"CREATE TABLE {kind} (id INT PRIMARY KEY, v TEXT)")
+        db.sql(f"COPY {kind} FROM '{tmp_path}/{kind}' WITH (FORMAT {kind})")
+        assert sorted(rows(db, f"SELECT * FROM {kind}")) == [(1, "a;b"), (2, None), (3, ""), (4, ' "q" ')]
+        with pytest.raises(ConstraintError):
+            db.sql(f"COPY t (id, v) FROM '{tmp_path}/{kind}' WITH (FORMAT {kind})")
+    for text in ("COPY t FROM stdin", "COPY (SELECT 1) FROM 'x'", "COPY t TO 'x' (FORMAT xml)"):
+        with pytest.raises(ParseError):
+            db.sql(text)
+    db.sql("VACUUM t")
+    assert len(db.store.names(db.store.location(db._place("t")))) == 1 and len(rows(db, "SELECT * FROM t")) == 4
