@@ -274,14 +274,14 @@ def lists_and_texts(db):
     return db.sql("SELECT ALL p_partkey, p_brand || '/' || p_type AS label, +p_size AS n, Substring(p_name, 2, 3) AS part, UPPER(p_type) AS loud, FROM part WHERE p_size IN (3, 7, 9, 11) AND p_name ILIKE '%A%' AND p_type LIKE ANY ('%A%', '%B%') AND p_brand NOT IN ('none')")
 
 
-@statements("SELECT l_orderkey, l_partkey, CAST(l_partkey AS DOUBLE) AS d, CAST(l_quantity > 10 AS VARCHAR) AS many, l_quantity > 10 AS flag, CAST(NULL AS BIGINT) AS none, CAST(l_linenumber AS SMALLINT) AS small FROM lineitem")
+@statements("SELECT l_orderkey, l_partkey, CAST(l_partkey AS DOUBLE) AS d, CAST(l_quantity > 10 AS VARCHAR) AS many, l_quantity > 10 AS flag, CASE WHEN l_linenumber > 3 THEN CAST(l_linenumber AS BIGINT) END AS some, CAST(l_linenumber AS SMALLINT) AS small FROM lineitem")
 def casts(db):
-    return db.sql("SELECT l_orderkey, l_partkey, l_partkey::float8 AS d, (l_quantity > 10)::text AS many, (l_quantity > 10)::bool AS flag, NULL::int AS none, CAST(l_linenumber AS INT2) AS small FROM lineitem")
+    return db.sql("SELECT l_orderkey, l_partkey, l_partkey::float8 AS d, (l_quantity > 10)::text AS many, (l_quantity > 10)::bool AS flag, CASE WHEN l_linenumber > 3 THEN l_linenumber::int ELSE NULL::int END AS some, CAST(l_linenumber AS INT2) AS small FROM lineitem")
 
 
-@statements("SELECT o_orderkey, extract(year FROM o_orderdate) AS y, o_orderdate + INTERVAL 1 DAY AS after, (o_orderkey * 2) AS second FROM orders")
+@statements("SELECT o_orderkey, extract(year FROM o_orderdate) AS y, CAST(o_orderdate + INTERVAL 1 DAY AS VARCHAR) AS after, (o_orderkey * 2) AS second FROM orders")
 def dates_and_arrays(db):
-    return db.sql("SELECT o_orderkey, CAST(extract(year FROM o_orderdate) AS INT8) AS y, o_orderdate + INTERVAL '1' DAY AS after, array(o_orderkey, o_orderkey * 2)[1] AS second FROM orders")
+    return db.sql("SELECT o_orderkey, CAST(extract(year FROM o_orderdate) AS INT8) AS y, (o_orderdate + INTERVAL '1' DAY)::text AS after, array(o_orderkey, o_orderkey * 2)[1] AS second FROM orders")
 
 
 @statements("SELECT k FROM ((SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier) EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
