@@ -4,7 +4,9 @@ Every round inserts one symbol of every string, from the last column to the firs
 suffixes that start there follows from the next column's order by one stable sort on the inserted
 symbols, and the common prefix of two neighbours is one more than the smallest common prefix between
 them in the next column's order (none if their symbols differ). Order and common prefixes live in
-sequential files, read and rewritten once a round; the transform is a file that grows by one column.
+sequential files: a round reads the last one's, removes them and writes its own; the transform grows by
+one column. No file is written twice, as file systems flush a file that is cut to nothing and written again
+when it is closed, which held each round up by the disk.
 
 The strings are aligned: only suffixes that start in one column are ever compared, so the transform is
 kept column by column, a file each, and a round costs the number of strings, not the size of the transform
@@ -23,8 +25,8 @@ MOST = 255
 
 
 class Files:
-    """Arrays as sequential files of a folder of the shared storage (a URI or a local path); a rewritten one
-    is a new file, and the folder goes when the block ends."""
+    """Arrays as sequential files of a folder of the shared storage (a URI or a local path), each written
+    once; the folder goes when the block ends."""
 
     def __init__(self, folder: str):
         self.place, self.folder = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
@@ -45,23 +47,11 @@ class Files:
         with self.place.open_input_stream(f"{self.folder}/{name}", compression=None) as f:
             return np.frombuffer(f.read(), kind)
 
-
-def _range_minimum(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """min(values[low:high]) of each pair, low < high."""
-    level = np.zeros(len(low), np.int64)
-    size = high - low
-    top = int(size.max()).bit_length() - 1
-    for k in range(1, top + 1):
-        level += size >= 1 << k
-    out = np.empty(len(low), values.dtype)
-    row, span = values, 1
-    for k in range(top + 1):
-        at = np.flatnonzero(level == k)
-        out[at] = np.minimum(row[low[at]], row[high[at] - span])
-        if k < top:
-            row = np.minimum(row[:-span], row[span:]) if len(row) > span else row
-            span *= 2
-    return out
+    def take(self, name: str, kind: type) -> np.ndarray:
+        """Read a file and remove it."""
+        values = self.read(name, kind)
+        self.place.delete_file(f"{self.folder}/{name}")
+        return values
 
 
 def columns(strings: np.ndarray, files: Files) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -72,19 +62,19 @@ def columns(strings: np.ndarray, files: Files) -> Iterator[tuple[int, np.ndarray
     up to MOST. File `bwt-<column>` holds the symbols of the column in the order of the suffixes after it.
     """
     n, width = strings.shape
-    files.write("order", np.arange(n, dtype=np.int32))
-    files.write("common", np.zeros(n, np.uint8))  # empty suffixes share nothing
+    files.write(f"order-{width}", np.arange(n, dtype=np.int32))
+    files.write(f"common-{width}", np.zeros(n, np.uint8))  # empty suffixes share nothing
     files.write(f"bwt-{width - 1}", strings[:, width - 1])
     for column in range(width - 1, -1, -1):
-        order, common, symbol = files.read("order", np.int32), files.read("common", np.uint8), files.read(f"bwt-{column}", np.uint8)
+        order, common, symbol = files.take(f"order-{column + 1}", np.int32), files.take(f"common-{column + 1}", np.uint8), files.read(f"bwt-{column}", np.uint8)
         place = np.argsort(symbol, kind="stable")
         order, symbol = order[place], symbol[place]
+        # the least from behind a place up to the place that follows in the new order; of use where symbols are equal
+        least = np.minimum.reduceat(np.append(common, np.uint8(0)), place + 1)[:-1]
         new = np.zeros(n, np.uint8)
-        same = np.flatnonzero(symbol[1:] == symbol[:-1]) + 1
-        if len(same):
-            new[same] = np.minimum(_range_minimum(common, place[same - 1] + 1, place[same] + 1), MOST - 1) + 1
-        files.write("order", order)
-        files.write("common", new)
+        new[1:] = np.where(symbol[1:] == symbol[:-1], np.minimum(least, MOST - 1) + 1, 0)
         if column:
-            files.write(f"bwt-{column - 1}", strings[order, column - 1])
+            files.write(f"order-{column}", order)
+            files.write(f"common-{column}", new)
+            files.write(f"bwt-{column - 1}", strings[:, column - 1][order])
         yield column, order, new

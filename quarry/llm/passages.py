@@ -231,27 +231,38 @@ def _sent_strings(anchors: DataFrame, path: str) -> DataFrame:
     return anchors.groupBy("block").applyInArrow(send, "key long, block long, number int, col short, bytes binary, doc_id long, idx int, pos long")
 
 
-def mark_repeats(text: list[bytes], column: np.ndarray, folder: str) -> list[np.ndarray]:
-    """For strings in corpus order, aligned at their columns: flags of the SPAN-byte strings they cover
-    that one before them covers too. Files of the rounds lie in a folder of `folder` while this runs."""
-    n = len(text)
-    size = np.array([len(t) for t in text], np.int64)
-    matrix = np.zeros((n, WIDTH), np.uint8)
-    flat = np.frombuffer(b"".join(text), np.uint8)
-    row = np.repeat(np.arange(n), size)
-    matrix[row, column[row] + np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
-    marks = np.zeros((n, WINDOW), bool)
+def mark_repeats(text: pa.Array, column: np.ndarray, folder: str) -> np.ndarray:
+    """For strings in corpus order, aligned at their columns: a row of WINDOW flags each, of the SPAN-byte
+    strings it covers that one before it covers too. Of strings with equal bytes and column the first is
+    inserted; the others repeat it whole. Files of the rounds lie in a folder of `folder` while this runs."""
+    code = text.dictionary_encode().indices.to_numpy().astype(np.int64)
+    own = np.sort(np.unique(code * WIDTH + column, return_index=True)[1])
+    flags = np.arange(WINDOW) <= pc.binary_length(text).to_numpy().astype(np.int64)[:, None] - SPAN
+    column = column[own]
+    data, offsets = text_bytes(text.take(pa.array(own)))
+    n, size = len(own), np.diff(offsets)
+    end = column + size
+    matrix = np.zeros(n * WIDTH, np.uint8)
+    matrix[np.repeat(np.arange(n) * WIDTH + column - offsets[:-1], size) + np.arange(len(data))] = data
+    matrix = np.asfortranarray(matrix.reshape(n, WIDTH))
+    marks = np.zeros((2 * WINDOW, n), bool)
     with Files(folder) as files:
         for c, order, common in columns(matrix, files):
             if c >= WINDOW:
                 continue  # too near the end for SPAN bytes
-            group = np.empty(n, np.int64)
-            group[order] = np.cumsum(common < SPAN)
-            inside = np.flatnonzero((column <= c) & (c + SPAN <= column + size))
-            head = np.full(n + 1, -1, np.int64)
-            head[group[inside[::-1]]] = inside[::-1]  # the last write is the first string
-            marks[inside, c] = head[group[inside]] != inside
-    return [marks[i, column[i]:column[i] + size[i] - SPAN + 1] for i in range(n)]
+            near = common >= SPAN
+            several = near.copy()
+            several[:-1] |= near[1:]
+            at = np.flatnonzero(several)
+            row, group = order[at], np.cumsum(~near[at])
+            inside = (column[row] <= c) & (c + SPAN <= end[row])
+            row, group = row[inside], group[inside]
+            if len(row):
+                edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+                first = np.repeat(np.minimum.reduceat(row, edge), np.diff(np.append(edge, len(row))))
+                marks[c, row[row != first]] = True
+    flags[own] = marks[column[:, None] + np.arange(WINDOW), np.arange(n)[:, None]]
+    return flags
 
 
 def _marked(strings: DataFrame, partitions: int, path: str) -> DataFrame:
@@ -265,22 +276,23 @@ def _marked(strings: DataFrame, partitions: int, path: str) -> DataFrame:
 
         def out(table: pa.Table) -> pa.RecordBatch:
             nonlocal first
-            text, key = table.column("bytes").to_pylist(), table.column("key").to_numpy()
+            text, key = table.column("bytes").combine_chunks(), table.column("key").to_numpy()
             column = table.column("col").to_numpy().astype(np.int64)
             lead = 1 if first is not None and key[0] == first[0] else 0
-            marks = mark_repeats(([first[1]] if lead else []) + text, np.concatenate([np.full(lead, WINDOW - 1), column]), f"{path}/rounds")[lead:]
-            single = key[-1] & 1 and len(text[-1]) == SPAN
+            marks = mark_repeats(pa.concat_arrays([pa.array([first[1]], text.type), text]) if lead else text, np.concatenate([np.full(lead, WINDOW - 1), column]), f"{path}/rounds")[lead:]
+            single = key[-1] & 1 and len(text[-1].as_py()) == SPAN
             if single:
                 start = int(np.searchsorted(key, key[-1]))
-                first = first if lead and start == 0 else (int(key[-1]), text[start])
+                first = first if lead and start == 0 else (int(key[-1]), text[start].as_py())
             else:
                 first = None
-            block, number = table.column("block").to_numpy(), table.column("number").to_numpy()
+            marked = np.flatnonzero(marks.any(axis=1))
+            block, number = table.column("block").to_numpy()[marked], table.column("number").to_numpy()[marked]
             by = np.argsort(block, kind="stable")
-            edge = np.flatnonzero(np.concatenate([[True], np.diff(block[by]) != 0]))
+            edge = np.flatnonzero(np.diff(block[by], prepend=-1))
             cut = [by[a:b] for a, b in zip(edge, np.append(edge[1:], len(by)))]
-            raw = np.frombuffer(b"".join(np.packbits(np.append(m, np.zeros(WINDOW - len(m), bool))).tobytes() for m in marks), np.uint8).reshape(len(marks), -1)
-            return pa.RecordBatch.from_arrays([pa.array([int(block[c[0]]) for c in cut]), pa.array([number[c].astype(np.int32).tobytes() for c in cut], pa.binary()), pa.array([raw[c].tobytes() for c in cut], pa.binary())], names=["block", "numbers", "marks"])
+            raw = np.packbits(marks[marked], axis=1)
+            return pa.RecordBatch.from_arrays([pa.array([int(block[c[0]]) for c in cut], pa.int64()), pa.array([number[c].astype(np.int32).tobytes() for c in cut], pa.binary()), pa.array([raw[c].tobytes() for c in cut], pa.binary())], names=["block", "numbers", "marks"])
 
         for batch in batches:
             held.append(batch)

@@ -430,6 +430,37 @@ def test_column_order(tmp_path):
     assert not list(tmp_path.iterdir())
 
 
+def test_rounds_write_no_file_twice(tmp_path, monkeypatch):
+    written, write = [], Files.write
+    monkeypatch.setattr(Files, "write", lambda self, name, values: (written.append(name), write(self, name, values)))
+    strings = np.random.default_rng(3).integers(97, 99, (30, 9)).astype(np.uint8)
+    with Files(f"file://{tmp_path}") as files:
+        for c, *_ in columns(strings, files):
+            left = [f.name for f in tmp_path.glob("*/*") if not f.name.startswith("bwt-")]
+            assert len(left) == (2 if c else 0)  # a round's order and common prefixes, until the next one took them
+    assert len(written) == len(set(written))
+
+
+def test_marks_of_equal_strings(tmp_path, monkeypatch):
+    rng, inserted = random.Random(5), []
+    monkeypatch.setattr(passages, "columns", lambda strings, files: (inserted.append(len(strings)), columns(strings, files))[1])
+    text, column = [], []
+    for anchor in (b"\0" * 32, bytes(range(32)), b"xy" * 16):
+        around = [(rng.choice([b"\0", b"a"]) * 30 + b"b" * 38, rng.choice([b"\0", b"c"]) * 50 + b"d" * 18) for _ in range(3)]
+        for _ in range(40):
+            before, after = rng.choice(around)[0], rng.choice(around)[1]
+            left = rng.choice([0, 8, 40, 68])
+            text.append(before[68 - left:] + anchor + after[:rng.randint(max(0, 68 - left), 68) if rng.random() < 0.5 else 68])
+            column.append(68 - left)
+    got = passages.mark_repeats(pa.array(text, pa.binary()), np.array(column), str(tmp_path))
+    seen: set = set()
+    for t, c, flags in zip(text, column, got):
+        want = [(c + j, t[j:j + 100]) in seen for j in range(len(t) - 99)]
+        assert flags[:len(want)].tolist() == want and not flags[len(want):].any()
+        seen.update((c + j, t[j:j + 100]) for j in range(len(t) - 99))
+    assert inserted == [len(set(zip(text, column)))] and inserted[0] < len(text)
+
+
 def test_repeats_on_given_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = sorted((r.doc_id, (r.text or "").encode()) for r in docs.collect())
