@@ -175,16 +175,22 @@ def _write_blocks(docs: DataFrame, path: str) -> DataFrame:
     return staged(rows.mapInArrow(run, "block long, bytes long"), "blocks")
 
 
+def range_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The hash range of each anchor, of `parts` even ones. Anchors are least hashes, which crowd at 0, so they are hashed again."""
+    return (mix(hashes) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+
+
 def _repeated_anchors(blocks: DataFrame, path: str, parts: int) -> DataFrame:
     """(block, repeated, hot): the anchors' hashes of each block that occur elsewhere, by hash range."""
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in batch.column(0).to_pylist():
                 hashes, n = np.unique(_Block(path, block).hash, return_counts=True)
-                part = (hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-                edges = np.searchsorted(part, np.arange(parts + 1))
+                part = range_of(hashes, parts)
+                by = np.argsort(part, kind="stable")
+                edges = np.searchsorted(part[by], np.arange(parts + 1))
                 used = np.unique(part).astype(np.int32)
-                own = [slice(edges[p], edges[p + 1]) for p in used]
+                own = [by[edges[p]:edges[p + 1]] for p in used]
                 yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(np.full(len(used), block)), pa.array([hashes[o].tobytes() for o in own], pa.binary()), pa.array([np.packbits(n[o] > 1).tobytes() for o in own], pa.binary())], names=["part", "block", "hashes", "several"])
 
     def meet(table: pa.Table) -> pa.Table:
@@ -214,7 +220,7 @@ def _joined(blobs: list) -> np.ndarray:
     return np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(b, np.uint64) for b in blobs if b)]))
 
 
-def _sent_strings(anchors: DataFrame, path: str) -> DataFrame:
+def _sent_strings(anchors: DataFrame, path: str, parts: int) -> DataFrame:
     """One row for each distinct string of a block: key, block, number, col, bytes and its first place."""
     names = ["key", "block", "number", "col", "bytes", "doc_id", "idx", "pos"]
 
@@ -228,7 +234,7 @@ def _sent_strings(anchors: DataFrame, path: str) -> DataFrame:
             block.doc_id.take(pa.array(row)), pa.array(row.astype(np.int32)), pa.array((first[at] - block.offsets[row]).astype(np.int64)),
         ], names=names)
 
-    return anchors.groupBy("block").applyInArrow(send, "key long, block long, number int, col short, bytes binary, doc_id long, idx int, pos long")
+    return anchors.repartition(parts, "block").groupBy("block").applyInArrow(send, "key long, block long, number int, col short, bytes binary, doc_id long, idx int, pos long")
 
 
 def mark_repeats(text: pa.Array, column: np.ndarray, folder: str) -> np.ndarray:
@@ -348,8 +354,9 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     blocks = _write_blocks(docs, path)
     total = blocks.agg(F.sum("bytes")).first()[0] or 0
     partitions = partitions_for(spark, total // 4)
+    by_block = partitions_for(spark, total)  # counted, as the rows that come are far smaller than the blocks that a task reads
     anchors = staged(_repeated_anchors(blocks, path, max(partitions, int(total * 16 // WINDOW // RANGE_BYTES) + 1)), "anchors")
-    results = staged(_marked(_sent_strings(anchors, path), partitions, path), "marks")
+    results = staged(_marked(_sent_strings(anchors, path, by_block), partitions, path), "marks")
     remove(spark, f"{path}/rounds")  # what lost tasks left
     every = blocks.select("block", *[F.lit(None).cast("binary").alias(c) for c in ("repeated", "hot", "numbers", "marks")])
     empty = lambda df, *none: df.select("block", *[F.lit(None).cast("binary").alias(c) if c in none else F.col(c) for c in ("repeated", "hot", "numbers", "marks")])
@@ -371,4 +378,4 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
         return pa.table(out)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, spans array<array<long>>" if texts else "")
-    return back.groupBy("block").applyInArrow(finish, schema)
+    return back.repartition(by_block, "block").groupBy("block").applyInArrow(finish, schema)

@@ -461,6 +461,13 @@ def test_marks_of_equal_strings(tmp_path, monkeypatch):
     assert inserted == [len(set(zip(text, column)))] and inserted[0] < len(text)
 
 
+def test_anchors_fill_ranges_evenly():
+    data = np.random.default_rng(2).integers(97, 123, 200_000).astype(np.uint8)
+    hashes = np.unique(passages.anchored(data, np.array([0, len(data)]))[0])
+    filled = np.bincount(passages.range_of(hashes, 16).astype(np.int64), minlength=16)
+    assert filled.sum() == len(hashes) and filled.max() < 1.3 * filled.mean()
+
+
 def test_repeats_on_given_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = sorted((r.doc_id, (r.text or "").encode()) for r in docs.collect())
