@@ -851,9 +851,9 @@ class Session:
         place = self._place(name)
         folder = self.store.location(place)
         plain = [F.col(f"{alias}.`{c}`").alias(c) for c in meta.columns]
-        placed = lambda rows: rows.alias(alias) if found is None else rows.alias(alias).join(found, ["__file", "__row"], "left")
-        every = placed(self.store.placed(target))
-        touched = sorted(r["__file"] for r in (every.filter(hit).select("__file") if found is None else found.select("__file")).distinct().collect())
+        files = sorted(target.inputFiles())
+        placed = lambda rows: rows.alias(alias) if found is None else self.store.located(rows, files).alias(alias).join(found, "__at", "left")
+        touched = self.store.files_of(found, files) if found is not None else sorted(r["__file"] for r in placed(self.store.placed(target)).filter(hit).select("__file").distinct().collect())
         if touched:
             rows = placed(self.store.read(target, touched))
             others = self.store.without(target, touched)
@@ -880,13 +880,14 @@ class Session:
         return any(t and re.search(r"\(\s*(SELECT|WITH)\b", t, re.I) for t in texts)
 
     def _matches(self, name: str, alias: str, source: str | None, where: str | None, sets: dict[str, str]) -> DataFrame:
-        """For each row of the target that joins `source` under `where` its file, row and new values `__new`. A row
+        """For each row of the target that joins `source` under `where` its place `__at` and new values `__new`. A row
         that joins more than once takes the least of its new values, so that reruns agree."""
-        view = self._view_of(self.store.placed(self.table(name)))
+        target = self.table(name)
+        view = self._view_of(self.store.located(self.store.placed(target), sorted(target.inputFiles())))
         values = ", ".join(f"{e} AS `{c}`" for c, e in sets.items()) or "true AS `__any`"
         try:
-            found = self.query(f"SELECT {alias}.__file AS __file, {alias}.__row AS __row, struct({values}) AS __new FROM {view} AS {alias}{', ' + source if source else ''}{' WHERE ' + where if where else ''}")
-            return self._kept(found.groupBy("__file", "__row").agg(F.min("__new").alias("__new")), "_matches", self.store.location(self._place(name)) + "/_scratch")
+            found = self.query(f"SELECT {alias}.__at AS __at, struct({values}) AS __new FROM {view} AS {alias}{', ' + source if source else ''}{' WHERE ' + where if where else ''}")
+            return self._kept(found.groupBy("__at").agg(F.min("__new").alias("__new")), "_matches", self.store.location(self._place(name)) + "/_scratch")
         finally:
             self.spark.catalog.dropTempView(view)
 
@@ -916,7 +917,7 @@ class Session:
             if k is None or bool(when[1]) == bool(re.match(r"UPDATE|DELETE", parts[k], re.I)) and not re.match("DO", parts[k], re.I):
                 raise ParseError(f"bad WHEN of MERGE: {clause[:40]}")
             test, what = " THEN ".join(parts[:k]), " THEN ".join(parts[k:])
-            conditions.append(f"{alias}.__row IS {'' if when[1] else 'NOT '}NULL{f' AND ({test})' if test else ''}")
+            conditions.append(f"{alias}.__at IS {'' if when[1] else 'NOT '}NULL{f' AND ({test})' if test else ''}")
             act, columns, made = what.split()[0].upper(), [], ["true AS `__any`"]
             if act == "UPDATE":
                 sets = self._assignments(re.sub(r"^UPDATE SET ", "", what, flags=re.I), meta)
@@ -936,16 +937,17 @@ class Session:
             before = "".join(f"WHEN {c} THEN NULL " for c in conditions[:-1])
             values.append(f"CASE {before}WHEN {conditions[-1]} THEN struct({', '.join(made)}) END AS __v{len(acts)}")
             acts.append((act, columns))
-        view = self._view_of(self.store.placed(target))
+        files = sorted(target.inputFiles())
+        view = self._view_of(self.store.located(self.store.placed(target), files))
         try:
             which = " ".join(f"WHEN {c} THEN {k}" for k, c in enumerate(conditions))
-            found = self.query(f"SELECT {alias}.__file AS __file, {alias}.__row AS __row, CASE {which} END AS __act, {', '.join(values)} FROM {source} LEFT JOIN {view} AS {alias} ON {on}")
+            found = self.query(f"SELECT {alias}.__at AS __at, CASE {which} END AS __act, {', '.join(values)} FROM {source} LEFT JOIN {view} AS {alias} ON {on}")
             of = lambda *kind: F.col("__act").isin([k for k, (act, _) in enumerate(acts) if act in kind])
             found = self._kept(found.filter(of("UPDATE", "DELETE", "INSERT")), "_matches", folder + "/_scratch")
             hits = found.filter(of("UPDATE", "DELETE"))
-            if hits.groupBy("__file", "__row").count().filter("count > 1").limit(1).count():
+            if hits.groupBy("__at").count().filter("count > 1").limit(1).count():
                 raise ConstraintError("MERGE would change a row twice")
-            touched = sorted(r["__file"] for r in hits.select("__file").distinct().collect())
+            touched = self.store.files_of(hits, files)
             added, beside = target.limit(0), self.store.without(target, touched)
             for k, (act, columns) in enumerate(acts):
                 if act == "INSERT":
@@ -953,7 +955,7 @@ class Session:
                     added = added.unionByName(self._completed(name, meta, columns, rows.select(*[F.col(f"__v{k}.`{c}`").alias(c) for c in columns])))
             written, before = added, target.limit(0)
             if touched:
-                rows = self.store.read(target, touched).alias(alias).join(hits, ["__file", "__row"], "left")
+                rows = self.store.located(self.store.read(target, touched), files).alias(alias).join(hits, "__at", "left")
                 own = {c: F.col(f"{alias}.`{c}`") for c in meta.columns}
                 kept, before = (rows.filter(f"__act IS {x}NULL").select(*[e.alias(c) for c, e in own.items()]) for x in ("", "NOT "))
                 new = dict(own)

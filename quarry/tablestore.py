@@ -14,6 +14,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Of `__at`: the row's place in its file; the file's number is above it.
+_ROW_BITS = 40
+#: A placed row's file without its folder, which Spark writes in more than one way.
+_NAME = "substring_index(__file, '/', -1)"
+
 
 class TableStore:
     def __init__(self, spark: SparkSession):
@@ -93,17 +98,28 @@ class TableStore:
         """rows of a table or of files with `__file` and `__row`, which tell them apart."""
         return rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
 
+    def located(self, placed: DataFrame, files: list[str]) -> DataFrame:
+        """placed rows with one number, `__at`, for file and row, so that joins hold 8 bytes for a row and not its file's
+        path. `files` are all of the table's, in the order that `files_of` is given."""
+        first = self.spark.createDataFrame([(f.rsplit("/", 1)[1], i << _ROW_BITS) for i, f in enumerate(files)], "__name string, __first long")
+        at = F.coalesce("__first", F.raise_error(F.lit("a file of the table is not among its files")).cast("long")) + F.col("__row")
+        return placed.withColumn("__name", F.expr(_NAME)).join(F.broadcast(first), "__name", "left").withColumn("__at", at).drop("__file", "__row", "__name", "__first")
+
+    def files_of(self, located: DataFrame, files: list[str]) -> list[str]:
+        """The files that hold rows with an `__at`."""
+        return [files[i] for i in sorted(r["i"] for r in located.select(F.shiftright("__at", _ROW_BITS).cast("int").alias("i")).distinct().collect())]
+
     def read(self, rows: DataFrame, files: list[str]) -> DataFrame:
         """The rows of some of a table's files."""
         return self.placed(self.spark.read.schema(rows.schema).parquet(*files))
 
     def without(self, rows: DataFrame, files: list[str]) -> DataFrame:
         """The rows of a table's other files. A short list of files prunes the scan, a long one is joined."""
-        placed = self.placed(rows)
-        if len(files) > 500:
-            placed = placed.join(F.broadcast(self.spark.createDataFrame([(f,) for f in files], "__file string")), "__file", "left_anti")
-        elif files:
-            placed = placed.filter(~F.col("__file").isin(files))
+        placed, names = self.placed(rows), [f.rsplit("/", 1)[1] for f in files]
+        if len(names) > 500:
+            placed = placed.withColumn("__name", F.expr(_NAME)).join(F.broadcast(self.spark.createDataFrame([(n,) for n in names], "__name string")), "__name", "left_anti")
+        elif names:
+            placed = placed.filter(~F.expr(_NAME).isin(names))
         return placed.select(*rows.columns)
 
     def numbered(self, folder: str, rows: DataFrame) -> DataFrame:

@@ -249,3 +249,24 @@ def test_copy_and_vacuum(db, tmp_path):
             db.sql(text)
     db.sql("VACUUM t")
     assert len(db.store.names(db.store.location(db._place("t")))) == 1 and len(rows(db, "SELECT * FROM t")) == 4
+
+
+def test_matches_hold_a_number_for_each_row(db, monkeypatch):
+    """What is joined with the target's rows has no file paths, over several files."""
+    kept = []
+    inner = Session._kept
+    monkeypatch.setattr(Session, "_kept", lambda self, rows, label, folder=None: kept.append((label, rows.dtypes)) or inner(self, rows, label, folder))
+    db.sql('CREATE TABLE many (id BIGINT, v INT)')
+    for i in range(5):
+        db.sql(f'INSERT INTO many SELECT id + {i * 100}, 0 FROM range(100)')
+    db.sql("CREATE TABLE s AS SELECT id * 3 AS id FROM range(1000) WHERE id >= 0")
+    gone = db.sql('DELETE FROM many AS t USING s WHERE s.id = t.id AND t.id >= 200 RETURNING id')
+    want = {i for i in range(500) if i % 3 or i < 200}
+    assert sorted(r[0] for r in gone.collect()) == sorted(set(range(500)) - want)
+    assert sorted(rows(db, 'SELECT id, v FROM many')) == [(i, 0) for i in sorted(want)]
+    db.sql('UPDATE many AS t SET v = 1 FROM s WHERE s.id = t.id')
+    assert sorted(rows(db, 'SELECT id, v FROM many')) == [(i, int(i % 3 == 0)) for i in sorted(want)]
+    db.sql('MERGE INTO many AS t USING s ON s.id = t.id WHEN MATCHED AND t.id < 100 THEN DELETE WHEN MATCHED THEN UPDATE SET v = 2 WHEN NOT MATCHED AND s.id >= 2900 THEN INSERT (id, v) VALUES (s.id, 3)')
+    assert sorted(rows(db, 'SELECT id, v FROM many')) == sorted([(i, 0 if i % 3 else 2) for i in want if i % 3 or i >= 100] + [(i, 3) for i in range(2901, 3000, 3)])
+    matches = [dict(types) for label, types in kept if label == "_matches"]
+    assert len(matches) == 3 and all(m["__at"] == "bigint" and "string" not in m.values() for m in matches)
